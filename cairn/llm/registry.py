@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import packing, token_counts
-from cairn.llm.common import documents
+from cairn.llm import decontaminate, divergence, lang_id, packing, substring, token_counts
+from cairn.llm.common import documents, held_out
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -16,6 +16,26 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return divergence.judge(docs, divergence.fit_references(docs))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("hit_positions", "hit_items")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = lang_id.fit(docs.where(~held_out()))
+    return lang_id.predict(docs, model).withColumn("held_out", held_out())
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary_path())
 
@@ -25,7 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op2_decontamination, op5_language_id, op6_substring_dedup, op9_token_counts, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
