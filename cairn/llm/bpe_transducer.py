@@ -20,6 +20,7 @@ import unicodedata
 
 import numpy as np
 import regex
+import tiktoken
 from tokenizers.pre_tokenizers import ByteLevel
 
 # Classes of characters, and states after a character, of the piece transducer.
@@ -232,10 +233,21 @@ class Tokenizer:
         self.cut = PieceTransducer()
         self.merge = MergeTransducer(blob)
         self.counts = _Pieces(lambda p: 0 if p == SEPARATOR else self.merge.count(p.encode()), most_pieces)
-        self.packed = _Pieces(lambda p: b"" if p == SEPARATOR else np.array(self.merge.ids(p.encode()), "<u4").tobytes(), most_pieces)
+        self.packed = _Pieces(self._pack, most_pieces)
+        self.codec, self.words_of = None, []
         names = sorted(self.merge.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
+    def _pack(self, piece: str) -> bytes:
+        """The ids of one piece; a compiled library merges its bytes, by the same vocabulary."""
+        if piece == SEPARATOR:
+            return b""
+        if self.codec is None:
+            ranks = {x: i for i, x in enumerate(self.merge.bytes_of)}
+            self.codec = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+            self.words_of = [int(i).to_bytes(4, "little") for i in self.merge.id_of]
+        return b"".join([self.words_of[r] for r in self.codec._encode_single_piece(piece)])
+
     def _parts(self, texts: list[str]) -> tuple[str, list[int], list[str]]:
         """The texts without special strings, joined; the text of each part; the special string after it."""
         parts, owner, after = [], [], []

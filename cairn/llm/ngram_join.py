@@ -24,6 +24,8 @@ from cairn.llm.components import components
 
 SLICE_CHARS = 2_000_000
 FRAGMENTS = 8
+#: Members of a component from which its surroundings are looked at more closely; changes the work, never a result.
+LARGE = 16
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -143,13 +145,16 @@ class _Join:
 
     def across(self, roots: DataFrame) -> DataFrame:
         """Candidates in different components: the longer set's prefix against the shorter one's index prefix."""
-        labelled = self.shared.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        several = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gram")
-        left = labelled.join(several, "gram").select("gram", "class", "n", "pos", "root").checkpoint()
-        # Grams that one class alone holds are in no overlap. Many sets just below the similarity have too many of them.
-        every = self.fragments(left.select("class").distinct()).select("class", F.explode("grams").alias("gram"))
+        large = roots.groupBy("root").agg((F.count("*") >= LARGE).alias("large"))
+        marked = roots.join(large, "root").select(F.col("node").alias("class"), "root", "large")
+        labelled = self.shared.join(marked, "class", "left").withColumns({"root": F.coalesce("root", "class"), "large": F.coalesce("large", F.lit(False))})
+        several = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("large").alias("near")).where("least <> most").select("gram", "near")
+        left = labelled.join(several, "gram").select("gram", "class", "n", "pos", "root", "near").checkpoint()
+        # Around a large component stand many sets just below the similarity, each a candidate of all its members. Most
+        # have too many grams that none of the others holds and that are in no overlap.
+        every = self.fragments(left.where("near").select("class").distinct()).select("class", F.explode("grams").alias("gram"))
         single = every.groupBy("gram").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1").groupBy("class").agg(F.count("*").alias("single"))
-        left = left.join(single, "class", "left").withColumn("most", F.col("n") - F.coalesce("single", F.lit(0))).drop("single")
+        left = left.join(single, "class", "left").withColumn("most", F.col("n") - F.when(F.col("near"), F.coalesce("single", F.lit(0))).otherwise(F.lit(0))).drop("single", "near")
         index = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent)))
         long = left.select("gram", F.col("class").alias("other"), F.col("n").alias("m"), F.col("root").alias("far"), F.col("most").alias("reach"))
         enough = F.least("most", "reach") >= _needed(F.col("n"), F.col("m"), self.percent)
