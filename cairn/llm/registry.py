@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, divergence, lang_id, license_scan, ngram_join, packing, rule_ensemble, substring, token_counts
+from cairn.llm import decontaminate, divergence, lang_id, license_scan, line_dedup, ngram_join, packing, rule_ensemble, substring, token_counts
 from cairn.llm.common import documents, held_out
 
 
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_positions", "hit_items")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir))
+
+
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = rule_ensemble.fit(docs, labels.where(~held_out()))
@@ -59,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_distribution_divergence, op2_decontamination, op4_rule_ensemble, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op2_decontamination, op3_line_dedup, op4_rule_ensemble, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_token_counts, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,14 +1,88 @@
-"""Corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input.
+
+All stages but the last return the columns of `documents`. Decisions name documents by doc_id: rows that share one
+share its fate, and a row without one stays, since no decision can name it. Empty tables pass through as empty ones.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import decontaminate, lang_id, line_dedup, ngram_join, packing
+from cairn.llm.common import documents, ensure_checkpoint_dir, held_out
+from cairn.llm.registry import vocabulary_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The documents that ``ids`` doesn't name; it is broadcast only where it is known to have few rows."""
+    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter or without a language that is likelier than all others together."""
+    found = lang_id.predict(docs, lang_id.fit(docs.where(~held_out())))
+    ensure_checkpoint_dir(spark)
+    return _without(docs, found.where("lang_pred = 'und' OR score < 0.5").select("doc_id").checkpoint())
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of texts; documents of which nothing but blanks is left go, if something was taken."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = line_dedup.dedup_lines(docs, with_text=True, carry=tuple(rest))
+    out = out.where("n_removed = 0 OR kept_text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").withColumnRenamed("kept_text", "text")
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each component of similar ones."""
+    ensure_checkpoint_dir(spark)
+    found = ngram_join.jaccard_components(docs)
+    return _without(docs, found.where("doc_id <> component_id").select("doc_id").checkpoint())
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold too much of the benchmark's texts."""
+    ensure_checkpoint_dir(spark)
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated").select("doc_id").checkpoint())
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens: one row for each piece."""
+    return packing.pack(docs, vocabulary_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard", dedup_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, from `documents`; what they return is written to the folder that the cluster shares."""
+    ensure_checkpoint_dir(spark)
+    folder, docs = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}", documents(spark, sf_dir)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
+
+
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
