@@ -45,11 +45,12 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(cut, f"id {kind}, {PIECE_SCHEMA}")
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, reuse: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each item, placed in turn.
 
     Each item goes where the sum, over the gaps 1 .. capacity - 1, of the squared number of open bins with that gap
-    becomes smallest; of equal places, the fullest bin. Only the counts by gap matter, and bins of a gap are a stack.
+    becomes smallest; of equal places, the fullest bin. With ``reuse``, a new bin is opened only for what fits nowhere.
+    Only the counts by gap matter, and bins of a gap are a stack.
     """
     counts = np.zeros(capacity + 1, np.int64)  # counts[gap] of open bins; a full or an unopened bin counts nothing
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -62,6 +63,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         change[0] = 1 - 2 * counts[n]
         change[-1] = 2 * after[-1] + 1 if n < capacity else 0
         change[:-1][counts[n:-1] == 0] = np.iinfo(np.int64).max
+        if reuse:
+            change[-1] = np.iinfo(np.int64).max - 1
         gap = n + int(change.argmin())
         if gap == capacity:
             to, opened = opened, opened + 1
@@ -76,15 +79,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def best_of_orders(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The better packing of two orders: as given, and longest first."""
-    given = sum_of_squares(lengths, capacity)
-    order = np.argsort(-lengths, kind="stable")
-    down = sum_of_squares(lengths[order], capacity)
-    if len(lengths) and down[0].max() < given[0].max():
-        bins, offsets = np.empty_like(down[0]), np.empty_like(down[1])
-        bins[order], offsets[order] = down
-        return bins, offsets
-    return given
+    """The best packing of three: as given, longest first, and longest first with new bins only where nothing fits."""
+    order, best = np.argsort(-lengths, kind="stable"), None
+    for at, reuse in ((np.arange(len(lengths)), False), (order, False), (order, True)):
+        found = sum_of_squares(lengths[at], capacity, reuse)
+        n = int(found[0].max()) + 1 if len(lengths) else 0
+        if best is None or n < best[0]:
+            bins, offsets = np.empty_like(found[0]), np.empty_like(found[1])
+            bins[at], offsets[at] = found
+            best = n, bins, offsets
+    return best[1], best[2]
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, shard_items: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
