@@ -64,11 +64,11 @@ class Order:
         return np.concatenate((grams[~often], late[np.argsort(self.at[place[often]])]))
 
 
-def frequent_grams(docs: DataFrame, n: int, share: float) -> np.ndarray:
-    """N-grams that about ``share`` of all documents hold or more, by frequency.
+def frequent_grams(docs: DataFrame, n: int, most: int) -> np.ndarray:
+    """The ``most`` n-grams that most documents hold, in ascending order of that number.
 
-    Each batch of documents reports those that as large a share of it holds, so every document counts and the result
-    has at most (n-grams of an average document) / ``share`` entries. It decides the order only, never a result.
+    All documents count; a batch of them reports the n-grams that two or more of its documents hold. ``most`` bounds
+    what is broadcast. This decides the order only, never a result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +76,11 @@ def frequent_grams(docs: DataFrame, n: int, share: float) -> np.ndarray:
             texts = [(t or "").encode() for t in texts_of(batch)]
             parts = [np.concatenate(gram_sets(texts[a:b], n)) for a, b in slices(texts, SLICE_CHARS)]
             found, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-            often = c >= max(4, share * len(texts))
+            often = c >= 2
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["gram", "c"])
 
-    total = docs.count()
-    rows = docs.select("text").mapInArrow(lambda b: count(b), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= max(4.0, share * total)).toPandas()
+    counted = docs.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c >= 4")
+    rows = counted.orderBy(F.desc("c"), "gram").limit(most).toPandas()
     return rows.sort_values(["c", "gram"])["gram"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -118,9 +118,9 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, kind: str, n: int, percent: int, frequent_share: float, broadcast_rows: int) -> None:
+    def __init__(self, docs: DataFrame, kind: str, n: int, percent: int, frequent: int, broadcast_rows: int) -> None:
         self.docs, self.n, self.percent, self.broadcast_rows = docs, n, percent, broadcast_rows
-        signed = _signatures(docs, kind, n, percent, frequent_grams(docs, n, frequent_share)).checkpoint()
+        signed = _signatures(docs, kind, n, percent, frequent_grams(docs, n, frequent)).checkpoint()
         self.members = signed.select("id", "n", "class")
         prefixes = signed.where("grams IS NOT NULL").select("class", "n", "grams")
         postings = prefixes.select("class", "n", F.posexplode("grams").alias("pos", "gram"))
@@ -204,7 +204,7 @@ class _Join:
         return texts.select("id", "text").mapInArrow(cut, "class long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent_share: float = 0.0005, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Components of documents whose sets of word n-grams have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are runs without ASCII white space, A-Z in lower case. Returns a row for each row: the id, n_shingles,
@@ -216,7 +216,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    join = _Join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kind, n, percent, frequent_share, broadcast_rows)
+    join = _Join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kind, n, percent, frequent, broadcast_rows)
     links = join.linked(join.led()).checkpoint()
     roots = components(links)
     more = join.linked(join.across(roots)).checkpoint()
