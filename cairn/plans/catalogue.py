@@ -383,7 +383,9 @@ def best_epoch(spark, d):
 
 @query(f"""SELECT event_type, epoch, round(first_value(v) OVER w - v, 5) AS change_5, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(v, epoch) OVER w ELSE 0.0 END, 5) AS slope_5 FROM ({_DAYS}) WINDOW w AS (PARTITION BY event_type ORDER BY epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def trailing_slope(spark, d):
-    return history.trailing(_days(spark, d), ["event_type"], "epoch", "v", 5).select("event_type", "epoch", F.round("change_5", 5).alias("change_5"), F.round("slope_5", 5).alias("slope_5"))
+    # Rounded finely first: a slope that lies just half way keeps its side in spite of the noise of floating point.
+    r5 = lambda c: F.round(F.round(c, 10), 5).alias(c)
+    return history.trailing(_days(spark, d), ["event_type"], "epoch", "v", 5).select("event_type", "epoch", r5("change_5"), r5("slope_5"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT event_type, epoch, v, row_number() OVER (PARTITION BY event_type ORDER BY epoch) AS i FROM ({_DAYS})),
