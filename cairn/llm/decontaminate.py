@@ -64,7 +64,7 @@ def compile_tables(benchmark: list[tuple[str | None, str | None]], window: int)
     return [WordWuManber(p, m) for m, p in sorted(patterns.items())]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Words of each document inside an occurrence of a benchmark window, and the items that such windows come from.
 
     Returns a row for each row: the id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and

@@ -57,7 +57,7 @@ class WordBackoff:
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its share of the likelihood; ``und``, 0 without any letter."""
         words = letter_words(text or "")
-        if not words or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         if len(self.rows) > self.most:
             self.rows.clear()
