@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +23,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the shared folder that the cluster names; set a local one only where none is named, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cairn-checkpoints"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cairn-checkpoints"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared checkpoint folder as a table and read again.
+
+    Lineage ends there, as with checkpoint(), but columns are compressed. The table stays until that folder is cleared.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

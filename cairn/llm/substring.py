@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ensure_checkpoint_dir, gram_hashes, hash_words, mix64, powers, slices, texts_of
+from cairn.llm.common import gram_hashes, hash_words, mix64, powers, slices, stored, texts_of
 
 GRAM = 8
 SLICE_CHARS = 2_000_000
@@ -84,9 +84,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     has no words. Null and repeated ids are rows like any other; other columns are ignored, whatever their names.
     Equality is that of two independent 64-bit hashes.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), [(t or "").encode() for t in texts_of(batch)]
@@ -96,8 +96,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
 
     found = keyed.select("key", "text").mapInArrow(cut, "key long, lo int, n int, anchor long, content long")
     by_anchor = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("least"), F.max("content").alias("most")).where("c > 1")
-    # Both that and the windows below are read several times: they are written once, instead of parsing texts again.
-    shared = found.join(by_anchor.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchor").checkpoint()
+    # Read several times, so it is written once, instead of parsing texts again.
+    shared = stored(found.join(by_anchor.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchor"))
     whole = shared.where("NOT mixed").select("key", "lo", "n")
     mixed = shared.where("mixed")
     variants = mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo", "n")).alias("r"))
@@ -120,7 +120,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
                 keys = batch.column(0).to_numpy()[a:b][owner[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((lo[of] + place).astype(np.int32)), pa.array(anchor[of]), _signed(content), pa.array(once[of])], ["key", "lo", "anchor", "content", "once"])
 
-    single = keyed.join(chosen, "key").select("key", "text", "blocks").mapInArrow(windows, "key long, lo int, anchor long, content long, once boolean").checkpoint()
+    # Nothing is written between here and the last join, and the same columns are joined: so texts are shuffled once for both.
+    single = keyed.join(chosen, "key").select("key", "id", "text", "blocks").mapInArrow(windows, "key long, lo int, anchor long, content long, once boolean")
     repeated = single.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.max("once").alias("any")).where("c > 1 AND any").select("anchor", "content")
     edges = single.where("once").join(repeated, ["anchor", "content"], "left_semi").select("key", "lo", F.lit(1).alias("n"))
     spans = whole.unionByName(again).unionByName(edges).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
