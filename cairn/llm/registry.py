@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, divergence, lang_id, license_scan, line_dedup, ngram_join, packing, rule_ensemble, substring, token_counts
+from cairn.llm import decontaminate, divergence, lang_id, license_scan, line_dedup, ngram_join, oracle, packing, rule_ensemble, substring, token_counts
 from cairn.llm.common import documents, held_out
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
