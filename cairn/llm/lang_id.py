@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import texts_of
+from cairn.llm.common import stored, texts_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -100,6 +100,7 @@ def fit(docs: DataFrame, rows_per_lang: int = 2_000, most_entries: int = 30_000,
     rows = training_rows(docs, rows_per_lang, lang_col, text_col, key_col)
     counts = rows.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     entries = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where("total >= 2")
+    entries = stored(entries)  # read once for each length; texts are counted once
     top = None
     for n in range(LONGEST + 1):
         one = entries.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(most_entries)
