@@ -2,7 +2,8 @@
 
 A line within ``tau`` edits of another contains one of the other's tau + 1 segments unchanged, near its place. Segments
 of all lines are the index; a line probes it with those of its substrings that can match, by length and place. What
-meets is verified by a banded bit-parallel edit distance.
+meets is verified by a banded bit-parallel edit distance. Short lines may differ by fewer edits, the shortest by none:
+those meet by their hash alone.
 """
 
 from __future__ import annotations
@@ -41,11 +42,17 @@ def segments(length: int, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(line: str, tau: int) -> list[int]:
-    return [long_hash(line[b : b + n], len(line) * 64 + i) for i, (b, n) in enumerate(segments(len(line), tau))]
+def edits(length: int, tau: int, least: int) -> int:
+    """The edits by which a line may differ from another one that isn't shorter: tau from ``least`` code points on, below in proportion."""
+    return tau if length >= least else length * tau // least
 
 
-def probe_keys(line: str, tau: int) -> list[int]:
+def index_keys(line: str, tau: int, least: int = 0) -> list[int]:
+    most = edits(len(line), tau, least)
+    return [long_hash(line[b : b + n], len(line) * 64 + i) for i, (b, n) in enumerate(segments(len(line), most))] if most else []
+
+
+def probe_keys(line: str, tau: int, least: int = 0) -> list[int]:
     """Keys of the substrings that may equal a segment of a line that is as long or up to tau shorter.
 
     With the segment at i unchanged, its left side may hold i edits and its right side tau - i; the shift of its place
@@ -53,10 +60,12 @@ def probe_keys(line: str, tau: int) -> list[int]:
     """
     out, n = [], len(line)
     for length in range(max(0, n - tau), n + 1):
-        gap = n - length
-        for i, (b, size) in enumerate(segments(length, tau)):
-            lo = max(b - i, b + gap - (tau - i), 0)
-            hi = min(b + i, b + gap + (tau - i), n - size)
+        gap, most = n - length, edits(length, tau, least)
+        if not most or gap > most:
+            continue
+        for i, (b, size) in enumerate(segments(length, most)):
+            lo = max(b - i, b + gap - (most - i), 0)
+            hi = min(b + i, b + gap + (most - i), n - size)
             out += [long_hash(line[s : s + size], length * 64 + i) for s in range(lo, hi + 1)]
     return list(dict.fromkeys(out))
 
@@ -93,8 +102,8 @@ def within(a: str, b: str, tau: int) -> bool:
     return distance <= tau
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, str]]]]]:
-    """Batches with the (number, key) of the lines of each text that are long enough to be judged."""
+def _lines(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, str]]]]]:
+    """Batches with the (number, key) of the lines of each text that have ``least`` code points or more."""
     for batch in batches:
         yield batch, [[(i, k) for i, k in enumerate(map(key_of, (t or "").split("\n"))) if len(k) >= least] for t in texts_of(batch)]
 
@@ -102,9 +111,11 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.R
 def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), broadcast_rows: int = 1_000_000) -> DataFrame:
     """Remove lines that an earlier line of the corpus equals or nearly equals.
 
-    Lines are split at \\n and compared without the white space at their ends. Those of ``least`` code points or more
-    are judged: one is removed if an earlier one is within ``tau`` edits, be that one removed itself or not. Earlier
-    means a smaller id, of equal ids an earlier row, then a smaller line number; null ids come first.
+    Lines are split at \\n and compared without the white space at their ends. All but blank ones are judged: one is
+    removed if an earlier one equals it or is within the edits that the shorter of the two admits, be that one removed
+    itself or not. From ``least`` code points on that are ``tau`` edits, below in proportion (at 24 and 2: one edit from
+    12 code points on, none below). Earlier means a smaller id, of equal ids an earlier row, then a smaller line number;
+    null ids come first.
 
     Returns a row for each row: the id, n_lines, n_judged, n_removed, n_near (removed, and unlike every earlier line),
     kept_sha256 (of the kept lines joined by \\n) and, if asked for, kept_text, and the columns named in ``carry``. A null text is one empty line. Other
@@ -121,7 +132,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _lines(batches, least):
+        for batch, rows in _lines(batches):
             of = [r for r, found in enumerate(rows) for _ in found]
             flat = [x for found in rows for x in found]
             at = pa.array(of, pa.int32())
@@ -131,15 +142,17 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
     lines = keyed.mapInArrow(occur, f"line long, check long, key long, id {kind}, number int")
     first = lines.groupBy("line", "check").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "number")).alias("first")).checkpoint()
 
+    shortest = -(-least // max(tau, 1))  # of the lines that may differ by an edit
+
     def cut(batches: Iterator[pa.RecordBatch], keys=None) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for _, rows in _lines(batches, least):
+        for _, rows in _lines(batches, shortest):
             found, lines = [], []
             for k in (k for r in rows for _, k in r):
                 h = long_hash(k)
                 if h not in met:
                     met.add(h)
-                    own = keys(k, tau)
+                    own = keys(k, tau, least)
                     found += own
                     lines += [h] * len(own)
             if len(met) > 500_000:
@@ -156,7 +169,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
         wanted = F.broadcast(wanted)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _lines(batches, least):
+        for _, rows in _lines(batches, shortest):
             found = list(dict.fromkeys(k for r in rows for _, k in r))
             yield pa.RecordBatch.from_arrays([pa.array([long_hash(k) for k in found], pa.int64()), pa.array([long_hash(k, 1) for k in found], pa.int64()), pa.array(found, pa.string())], ["line", "check", "text"])
 
@@ -165,7 +178,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within(a, b, tau) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            ok = [within(a, b, edits(min(len(a), len(b)), tau, least)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "check_a", "b", "check_b", "text_a", "text_b")
@@ -187,7 +200,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
                 rows = (t or "").split("\n")
                 drop = {x["number"] for x in removed or ()}
                 kept = "\n".join([x for i, x in enumerate(rows) if i not in drop]) if drop else t or ""
-                out.append((len(rows), sum(len(key_of(x)) >= least for x in rows), len(drop), sum(x["near"] for x in removed or ()), hashlib.sha256(kept.encode()).hexdigest(), kept if with_text else None))
+                out.append((len(rows), sum(key_of(x) != "" for x in rows), len(drop), sum(x["near"] for x in removed or ()), hashlib.sha256(kept.encode()).hexdigest(), kept if with_text else None))
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
             taken = [batch.column(0), *(batch.column(batch.schema.get_field_index(x)) for x in borne)]
             yield pa.RecordBatch.from_arrays([*taken, *columns], ["id", *borne, "n_lines", "n_judged", "n_removed", "n_near", "kept_sha256", "kept_text"])

@@ -96,6 +96,23 @@ def test_line_dedup(spark):
     assert sorted(r["kept_text"] for r in got.collect()) == sorted(want)
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["All rights reserved.\nok\n\nabcdef", "all rights reserved.\nok\n \nabcdeg", " ok\nfour\nAll rights reserve", "All right reserved.\nfour", "abcdefghijklmnopqrstuvw\nxy", "abcdefghijklmnopqrstuvwx\nxy\nabcdefghijklmnopqrstuVWx"]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_text=True)
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in t.split("\n"):
+            k = x.strip()
+            if not any(brute.edit_distance(k, y) <= min(2, min(len(k), len(y)) // 12) for y in seen):
+                kept.append(x)
+            if k:
+                seen.append(k)
+        want[i] = "\n".join(kept)
+    assert {r["doc_id"]: r["kept_text"] for r in got.collect()} == want
+    assert want[1] == " \nabcdeg" and want[3] == ""
+
+
 def test_rule_ensemble(spark):
     good = [(i, prose(80, i), 1) for i in range(60)]
     bad = [(100 + i, " ".join(w + "$$$" for w in prose(80, i).split()), 0) for i in range(40)]
