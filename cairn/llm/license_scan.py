@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices that are looked for. The usual wordings of public licenses.
-TEMPLATES = {
+from cairn.llm.license_texts import WORDINGS
+
+#: What is looked for. Short notices, and the wordings of public licenses.
+TEMPLATES = WORDINGS | {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
@@ -37,26 +39,10 @@ def _bands(shingles: Column, bands: int, rows: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, *(least(b * rows + r) for r in range(rows))))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, n: int = 5, percent: int = 80, bands: int = 40, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Templates of which a window of a document contains ``percent`` of 100 of the distinct shingles of ``n`` words.
-
-    Words are runs of letters and digits in lower case. Each template has windows of its own: their stride is a
-    quarter of its words, their length its words and a stride less one, so a whole copy lies within one. Then window
-    and template have a Jaccard similarity of at least 0.45 even at 80 in 100, and ``bands`` of ``rows`` rows collide
-    with a probability above 0.9998. Windows without any shingle of the template cannot match and have no signature.
-
-    Returns a row for each row: the id, n_licenses, licenses (names, sorted, joined by commas; empty for none),
-    n_windows (windows that match), best_percent (largest share found, 0 to 100). A null or short text matches
-    nothing. Templates are few and given as an argument; one with fewer than ``n`` words is refused. Null and repeated
-    ids are rows like any other, and other columns are ignored, whatever their names.
-    """
+def _matches(docs: DataFrame, templates: DataFrame, n: int, percent: int, bands: int, rows: int, text_col: str) -> DataFrame:
+    """(key, name, start, share) of the windows that match one of some templates, by shingles of n words."""
     spark = docs.sparkSession
-    named = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "name string, template string")
-    known = named.withColumn("words", _words(F.col("template"))).withColumn("shingles", F.array_distinct(_shingles("words", n))).select("name", F.size("words").alias("length"), "shingles").collect()
-    short = [r["name"] for r in known if not r["shingles"]]
-    if short:
-        raise ValueError(f"templates of fewer than {n} words: {short}")
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = templates.withColumn("shingles", F.array_distinct(_shingles("words", n))).select("name", F.size("words").alias("length"), "shingles").collect()
     every = F.array(*(F.lit(x) for x in sorted({x for r in known for x in r["shingles"]})))
     # The key is numbered beside the shingles: so the filter isn't moved below them, which would split texts anew.
     split = docs.select(_words(F.col(text_col)).alias("words"))
@@ -65,7 +51,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, n: i
     lists = F.array(*(F.struct(F.lit(r["name"]).alias("name"), F.lit(r["length"]).alias("length"), F.array(*(F.lit(x) for x in r["shingles"])).alias("own")) for r in known))
     asked = near.withColumn("t", F.explode(lists)).where(F.arrays_overlap("shingles", "t.own"))
     stride = F.greatest(F.floor(F.col("t.length") / 4).cast("int"), F.lit(1))
-    size = F.col("t.length") + stride - 1 - (n - 1)  # shingles in a window
+    size = F.ceil(F.col("t.length") * 100 / percent).cast("int") + stride - 1 - (n - 1)  # shingles in a window
     starts = F.sequence(F.lit(0), F.size("shingles") - 1, stride)
     windows = asked.select("key", "t", "shingles", F.explode(starts).alias("start"), size.alias("size")).select("key", "t", "start", F.slice("shingles", F.col("start") + 1, F.col("size")).alias("window")).where(F.arrays_overlap("window", "t.own"))
     signed = windows.withColumn("bands", _bands(F.col("window"), bands, rows))
@@ -75,7 +61,35 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, n: i
     exploded = signed.select("key", "t", "start", "window", F.posexplode("bands").alias("band", "value"))
     retrieved = exploded.join(F.broadcast(by_band), ["band", "value"]).where("t.name = found").select("key", "t", "start", "window").dropDuplicates(["key", "t", "start"])
     share = (100.0 * F.size(F.array_intersect("window", "t.own")) / F.size("t.own")).alias("share")
-    matched = retrieved.select("key", F.col("t.name").alias("name"), "start", share).where(F.col("share") >= percent)
+    return retrieved.select("key", F.col("t.name").alias("name"), "start", share).where(F.col("share") >= percent)
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, n: int = 5, percent: int = 80, bands: int = 40, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Templates of which a window of a document contains ``percent`` of 100 of the distinct shingles of ``n`` words.
+
+    Words are runs of letters and digits in lower case. Each template has windows of its own: their stride is a
+    quarter of its words, their length 100 / ``percent`` of its words and a stride less one. So a copy into which as
+    many words were inserted as ``percent`` admits to be lost lies within one, wherever it begins. Then window and
+    template have a Jaccard similarity of about 0.45 even at 80 in 100, and ``bands`` of ``rows`` rows collide with a
+    probability above 0.999. Windows without any shingle of the template cannot match and have no signature. A template
+    of fewer than ``n`` words is one shingle of all its words.
+
+    Returns a row for each row: the id, n_licenses, licenses (names, sorted, joined by commas; empty for none),
+    n_windows (windows that match), best_percent (largest share found, 0 to 100). A null or short text matches
+    nothing. Templates are few and given as an argument; one without a word is refused. Null and repeated
+    ids are rows like any other, and other columns are ignored, whatever their names.
+    """
+    spark = docs.sparkSession
+    named = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "name string, template string")
+    words = named.withColumn("words", _words(F.col("template"))).withColumn("size", F.least(F.size("words"), F.lit(n)))
+    sizes = sorted({r["size"] for r in words.select("size").collect()})
+    if 0 in sizes:
+        raise ValueError("templates without a word")
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    matched = None
+    for size in sizes:
+        found = _matches(docs, words.where(F.col("size") == size), size, percent, bands, rows, text_col)
+        matched = found if matched is None else matched.unionByName(found)
     summed = matched.groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("n_windows"), F.max("share").alias("best_percent"))
     out = keyed.select("key", "id").join(summed, "key", "left")
     return out.select(

@@ -156,6 +156,19 @@ def test_licenses(spark):
     assert sorted((r["doc_id"], r["licenses"]) for r in got) == [(0, "MIT"), (0, "MIT"), (1, "Apache-2.0"), (2, ""), (3, ""), (4, ""), (5, ""), (6, "CC-BY-NC-4.0")]
 
 
+def test_licenses_with_inserted_words_and_short_templates(spark):
+    copy = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    rows = [(i, f"{prose(i, i)} {copy} {prose(40, i + 100)}") for i in range(24)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 24 and all("MIT-text" in r["licenses"].split(",") for r in got)
+    rows = [(i, f"{prose(i, i)} {license_scan.TEMPLATES['MIT-license']} {prose(40, i)}") for i in range(3)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all("MIT-license" in r["licenses"].split(",") and r["best_percent"] == 100 for r in got)
+    texts = [(0, "Under the MIT-License."), (1, "under the license"), (2, None), (3, "mit license"), (4, "a b c d e f")]
+    got = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), {"short": "MIT License", "long": "a b c d e"}).collect()
+    assert sorted((r["doc_id"], r["licenses"]) for r in got) == [(0, "short"), (1, ""), (2, ""), (3, "short"), (4, "long")]
+
+
 def test_tokens_match_the_library(docs):
     from tokenizers import Tokenizer as Library
 
