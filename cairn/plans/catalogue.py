@@ -139,6 +139,13 @@ def review_reconcile(spark, d):
     return relate.reconcile(c.where("conv_id % 5 <> 0"), c.where("conv_id % 3 <> 0"), "conv_id", ["role", "odd"])
 
 
+@query()
+def review_reconcile_whole(spark, d):
+    """Conversations in which a user asks, against all turns of assistants. `review_reconcile` is held to slices of ids by its SQL."""
+    c = table(spark, d, "conversations").withColumn("odd", (F.length("text") % 2).cast("string"))
+    return relate.reconcile(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", ["role", "odd"])
+
+
 @query("""SELECT a.o_orderkey, concat_ws(';', CASE WHEN a.o_orderstatus <> b.s THEN 'o_orderstatus' END, CASE WHEN a.o_custkey <> b.c THEN 'o_custkey' END) AS fields
   FROM orders a JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_custkey END AS c FROM orders) b USING (o_orderkey) WHERE a.o_orderstatus <> b.s OR a.o_custkey <> b.c""")
 def manifest_mismatch(spark, d):
@@ -409,6 +416,13 @@ def gt_lookup(spark, d):
     return relate.lookup(rows, known, "sha", "name", "value").select("doc_id", "found", "method")
 
 
+@query()
+def gt_lookup_whole(spark, d):
+    """As gt_lookup, with all documents as the catalogue."""
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.concat("lang", F.col("n_chars").cast("string")).alias("name"))
+    return relate.lookup(rows, rows.withColumnRenamed("doc_id", "value"), "sha", "name", "value").select("doc_id", "found", "method")
+
+
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+)://([^/]+)(/[^?]*)?', 1) AS scheme, regexp_extract(url, '^([a-z]+)://([^/]+)(/[^?]*)?', 2) AS host, lower(regexp_extract(url, '^([a-z]+)://([^/]+)(/[^?]*)?', 3)) AS path, CAST(len(string_split(html, '<p')) - 1 AS BIGINT) AS paragraphs FROM pages")
 def path_parse(spark, d):
     p = r"^([a-z]+)://([^/]+)(/[^?]*)?"
@@ -436,6 +450,13 @@ def components(spark, d):
     return graph.shared_key_components(rows, "node", "k")
 
 
+@query()
+def components_whole(spark, d):
+    """Customers of all orders, joined by the parts that they ordered. `components` is held to a slice of ids by its SQL."""
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("k"))
+    return graph.shared_key_components(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("node")).join(parts, "o_orderkey", "left"), "node", "k")
+
+
 _FLAGS = f"SELECT vec_id % 50 AS cluster, predicted = truth AS first_ok, other = truth AS second_ok FROM ({PREDICTIONS})"
 _HASH = "CAST('0x' || substr(sha256('7:' || (rep * 1000 + i)), 1, 8) AS BIGINT) % 50"
 
