@@ -85,7 +85,7 @@ def frequent_grams(docs: DataFrame, n: int, most: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, kind: str, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, class, probe, grams): the prefix of a set, of which the first ``index`` ones are its index prefix.
+    """(key, id, n, class, grams): the prefix of a set, of which the first ``index`` ones are its index prefix.
 
     The prefix is left out (null) where a task has met the class before.
     """
@@ -107,9 +107,9 @@ def _signatures(docs: DataFrame, kind: str, n: int, percent: int, frequent: np.n
                         prefixes.append(order.sort(grams)[: size - -(-percent * size // 100) + 1].view(np.int64))
                     else:
                         prefixes.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "class", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "id", "n", "class", "grams"])
 
-    return docs.select("id", "text").mapInArrow(sign, f"id {kind}, n long, class long, grams array<long>")
+    return docs.select("key", "id", "text").mapInArrow(sign, f"key long, id {kind}, n long, class long, grams array<long>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -121,7 +121,7 @@ class _Join:
     def __init__(self, docs: DataFrame, kind: str, n: int, percent: int, frequent: int, broadcast_rows: int) -> None:
         self.docs, self.n, self.percent, self.broadcast_rows = docs, n, percent, broadcast_rows
         signed = _signatures(docs, kind, n, percent, frequent_grams(docs, n, frequent)).checkpoint()
-        self.members = signed.select("id", "n", "class")
+        self.members = signed.select("key", "id", "n", "class")
         prefixes = signed.where("grams IS NOT NULL").select("class", "n", "grams")
         postings = prefixes.select("class", "n", F.posexplode("grams").alias("pos", "gram"))
         met = postings.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
@@ -183,10 +183,10 @@ class _Join:
 
     def fragments(self, wanted: DataFrame) -> DataFrame:
         """(class, fragment, grams) of the wanted classes, each once, from one document of each."""
-        keyed = self.members.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
+        keyed = self.members.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"))
         few = wanted.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
-        ids = wanted.join(keyed, "class").select("id").where("id IS NOT NULL")
-        n, texts = self.n, self.docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id")
+        keys = wanted.join(keyed, "class").select("key")
+        n, texts = self.n, self.docs.select("key", "text").join(F.broadcast(keys) if few else keys, "key")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,7 +201,7 @@ class _Join:
                                     classes.append(set_key(grams)), numbers.append(i), parts.append(part)
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["class", "fragment", "grams"])
 
-        return texts.select("id", "text").mapInArrow(cut, "class long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
+        return texts.select("key", "text").mapInArrow(cut, "class long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -211,12 +211,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     component_id (the smallest id of the component). Texts that are null or have no word have an empty set and link
     with nothing; a null id is never the smallest one unless all are null. Equal sets are one class from the start, so
     copies cost nothing; all links between classes that can change a component are counted exactly, on 64-bit hashes of
-    the n-grams. A repeated id must come with the same text. Other columns are ignored, whatever their names.
+    the n-grams. Null and repeated ids are rows like any other, and other columns are ignored, whatever their names. The
+    input must be a table or otherwise give its rows in the same order when it is read again.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    join = _Join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kind, n, percent, frequent, broadcast_rows)
+    join = _Join(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), kind, n, percent, frequent, broadcast_rows)
     links = join.linked(join.led()).checkpoint()
     roots = components(links)
     more = join.linked(join.across(roots)).checkpoint()

@@ -1,7 +1,8 @@
 """Corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input.
 
-All stages but the last return the columns of `documents`. Decisions name documents by doc_id: rows that share one
-share its fate, and a row without one stays, since no decision can name it. Empty tables pass through as empty ones.
+All stages but the last return the columns of `documents`. Decisions name rows, by their place in the stage's input: so
+rows that share a doc_id or have none are judged each by its own text. The input must be a table or otherwise give its
+rows in the same order when it is read again. Empty tables pass through as empty ones.
 """
 
 from __future__ import annotations
@@ -18,17 +19,25 @@ from cairn.llm.registry import vocabulary_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The documents that ``ids`` doesn't name; it is broadcast only where it is known to have few rows."""
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _without(rows: DataFrame, named: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The numbered rows that ``named`` doesn't name; it is broadcast only where it is known to have few rows."""
+    few = named.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return rows.join(F.broadcast(named) if few else named, ROW, "left_anti").drop(ROW)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter or without a language that is likelier than all others together."""
-    found = lang_id.predict(docs, lang_id.fit(docs.where(~held_out())))
+    rows = _numbered(docs)
+    found = lang_id.predict(rows, lang_id.fit(docs.where(~held_out())), id_col=ROW)
     ensure_checkpoint_dir(spark)
-    return _without(docs, found.where("lang_pred = 'und' OR score < 0.5").select("doc_id").checkpoint())
+    return _without(rows, found.where("lang_pred = 'und' OR score < 0.5").select(ROW).checkpoint())
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +51,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of similar ones."""
+    """Keeps one row of each component of similar ones: that with the smallest id, of equal ids the first; null ids come last."""
     ensure_checkpoint_dir(spark)
-    found = ngram_join.jaccard_components(docs)
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id").checkpoint())
+    rows = _numbered(docs)
+    found = ngram_join.jaccard_components(rows, id_col=ROW).select(ROW, "component_id").checkpoint()
+    several = found.groupBy("component_id").agg(F.count("*").alias("c")).where("c > 1").select("component_id")
+    copies = rows.select(ROW, "doc_id").join(found.join(several, "component_id"), ROW)
+    first = copies.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))[ROW].alias("kept"))
+    return _without(rows, copies.join(first, "component_id").where(F.col(ROW) != F.col("kept")).select(ROW).checkpoint())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold too much of the benchmark's texts."""
     ensure_checkpoint_dir(spark)
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id").checkpoint())
+    rows = _numbered(docs)
+    found = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    return _without(rows, found.where("contaminated").select(ROW).checkpoint())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,3 +232,32 @@ def test_pipeline(spark, docs):
     assert 0 in left and 1 not in left and 2 not in left and 16 in left
     assert {5, 6, 7, 11, 12}.isdisjoint(left)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == left
+
+
+def test_pipeline_decides_by_row(spark, docs, tmp_path):
+    folder = docs.inputFiles()[0].rsplit("/", 2)[0]
+    near = edited(BASE, 1, 50)
+    leak = f"{PASSAGE} {prose(20, 51)}"
+
+    def kept(stage, rows):
+        at = f"{tmp_path}/{stage.__name__}"
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2).write.parquet(at)
+        out = stage(spark, spark.read.parquet(at), folder)
+        assert out.columns == ["doc_id", "text", "lang"]
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+    other = prose(80, 52)
+    rows = [(1, BASE, "en"), (1, BASE, "en"), (None, near, "en"), (1, other, "en"), (None, prose(70, 53), "en"), (None, None, "en"), (None, None, "en")]
+    want = [(1, BASE), (1, other), (None, prose(70, 53)), (None, None), (None, None)]
+    assert kept(corpus_pipeline.dedup_near_copies, rows) == sorted(want, key=repr)
+    rows = [(1, leak, "en"), (1, other, "en"), (None, leak, "en"), (None, BASE, "en")]
+    assert kept(corpus_pipeline.drop_contaminated, rows) == sorted([(1, other), (None, BASE)], key=repr)
+    rows = [(i, prose(30, 60 + i), "en") for i in range(8)] + [(1, "12 !", "en"), (None, "34", "en")]
+    assert kept(corpus_pipeline.identify_language, rows) == sorted([(i, t) for i, t, _ in rows[:8]], key=repr)
+
+
+def test_ngram_join_of_rows_without_ids(spark):
+    words = prose(104, 70).split()
+    chain = [" ".join(words[k : k + 90]) for k in (0, 7, 14)]
+    rows = spark.createDataFrame([(4, chain[0]), (None, chain[1]), (9, chain[2])], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.jaccard_components(rows).collect()) == [(0, 4), (4, 4), (9, 4)]
