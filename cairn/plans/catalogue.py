@@ -305,6 +305,12 @@ def log_loss(spark, d):
     return predictions(spark, d).where("score > 0").groupBy(F.col("truth").cast("int").alias("truth")).agg(r6(metrics.log_loss(F.col("score"))).alias("log_loss"))
 
 
+@query(f"SELECT CAST(truth AS INT) AS truth, round(avg(-ln(greatest(least(score, 1.0), 1e-300))), 6) AS log_loss FROM ({PREDICTIONS}) GROUP BY 1")
+def log_loss_whole(spark, d):
+    """Over all predictions, those of probability 0 at the clip. `log_loss` leaves them out, as its SQL does."""
+    return predictions(spark, d).groupBy(F.col("truth").cast("int").alias("truth")).agg(r6(metrics.log_loss(F.col("score"))).alias("log_loss"))
+
+
 _AGREE = {"both_correct": "predicted = truth AND other = truth", "first_only": "predicted = truth AND other <> truth", "second_only": "predicted <> truth AND other = truth", "both_wrong": "predicted <> truth AND other <> truth", "agree": "predicted = other", "both_wrong_same": "predicted <> truth AND predicted = other"}
 
 

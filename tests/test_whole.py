@@ -37,3 +37,8 @@ def test_reconcile_and_lookup_of_whole_tables(spark, tmp_path):
     assert sorted(got) == [(3, "matched", 1), (5, "missing", 0), (6, "unmatched", 1), (15, "conflicting", 2)]
     got = run(spark, tmp_path, "gt_lookup_whole", documents=([(1, "x", "en", 1), (3, "y", "de", 7), (5, "y", "de", 7)], "doc_id long, text string, lang string, n_chars long"))
     assert sorted(got) == [(1, 1, "sha256"), (3, 3, "image_id"), (5, 3, "image_id")]
+
+
+def test_log_loss_counts_predictions_of_probability_zero(spark, tmp_path):
+    got = run(spark, tmp_path, "log_loss_whole", embeddings=([(0, 0), (50, 0)], "vec_id long, label int"))
+    assert got == [(0, pytest.approx(690.775528))]
