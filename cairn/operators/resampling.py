@@ -35,10 +35,64 @@ def accuracy_difference(rows: DataFrame, cluster: str, first: str, second: str,
     return joined.groupBy("rep").agg((ratio(F.sum(F.col("b") * F.col("times")), total) - ratio(F.sum(F.col("a") * F.col("times")), total)).alias("difference"))
 
 
-def summary(replicates: DataFrame, value: str = "difference") -> DataFrame:
+METRICS = ("accuracy", "macro_f1", "weighted_f1", "macro_auroc")
+
+
+def metric_values(cells: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """METRICS of each replicate (first axis), from confusion counts (truth, predicted) and from counts of positives and
+    negatives (class, score, falling). Equal scores are one step; NaN where a class lacks a side."""
+    support, called, tp = cells.sum(2), cells.sum(1), np.einsum("rkk->rk", cells)
+    total = support.sum(1)
+    f1 = 2.0 * tp / np.maximum(support + called, 1)
+    area = (neg * (np.cumsum(pos, 2) - pos / 2)).sum(2)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        auroc = area / (pos.sum(2) * neg.sum(2))
+    return np.stack([tp.sum(1) / np.maximum(total, 1), f1.mean(1), (f1 * support).sum(1) / np.maximum(total, 1), auroc.mean(1)], 1)
+
+
+def metric_differences(rows: DataFrame, classes: int, repetitions: int, seed: int, batch: int = 250) -> DataFrame:
+    """(rep, metric, difference): METRICS of ``first`` less those of ``second``, for replicates of the clusters.
+
+    ``rows`` has cluster, truth, first, second (predicted classes), first_scores and second_scores (a score a class).
+    Counts of each cluster are broadcast, as many as clusters x classes x distinct scores; rows are not.
+    """
+    spark = rows.sparkSession
+    models = ("first", "second")
+    cells = rows.groupBy("cluster", "truth", *models).agg(F.count("*").alias("n")).toPandas()
+    each = rows.select("cluster", "truth", F.posexplode(F.arrays_zip("first_scores", "second_scores")).alias("k", "s"))
+    counted = {m: each.groupBy("cluster", "k", F.col(f"s.{m}_scores").alias("p")).agg(F.sum((F.col("truth") == F.col("k")).cast("long")).alias("pos"), F.count("*").alias("n")).toPandas() for m in models}
+    place = {c: i for i, c in enumerate(sorted(cells["cluster"].unique()))}
+    held = []
+    for m in models:
+        table = np.zeros((len(place), classes, classes))
+        np.add.at(table, (cells["cluster"].map(place).to_numpy(int), cells["truth"].to_numpy(int), cells[m].to_numpy(int)), cells["n"].to_numpy(float))
+        own = counted[m]
+        levels, at = np.unique(-own["p"].to_numpy(float), return_inverse=True)
+        pos, every = np.zeros((2, len(place), classes, len(levels)))
+        key = (own["cluster"].map(place).to_numpy(int), own["k"].to_numpy(int), at)
+        np.add.at(pos, key, own["pos"].to_numpy(float))
+        np.add.at(every, key, own["n"].to_numpy(float))
+        held.append((table, pos, every - pos))
+    known = spark.sparkContext.broadcast(held)
+
+    def run(batches):
+        import pandas as pd
+
+        n = len(known.value[0][0])
+        for pdf in batches:
+            for begin in range(0, len(pdf), batch):
+                reps = pdf["id"].to_numpy()[begin : begin + batch]
+                times = np.stack([np.bincount(np.random.default_rng([seed, int(r)]).integers(0, n, n), minlength=n) for r in reps]).astype(float)
+                one, two = (metric_values(*(np.tensordot(times, x, 1) for x in model)) for model in known.value)
+                yield pd.DataFrame({"rep": np.repeat(reps, len(METRICS)), "metric": list(METRICS) * len(reps), "difference": (one - two).ravel()})
+
+    return (spark.range(repetitions) if place else spark.range(0)).mapInPandas(run, "rep long, metric string, difference double")
+
+
+def summary(replicates: DataFrame, value: str = "difference", by: tuple[str, ...] = ()) -> DataFrame:
     v = F.col(value)
     ok = replicates.where(v.isNotNull() & ~F.isnan(v))
-    return ok.agg(
+    return ok.groupBy(*by).agg(
         F.count("*").alias("valid"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("se"),

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from cairn.operators import resampling
 from cairn.plans import catalogue
 
 
@@ -42,3 +44,27 @@ def test_reconcile_and_lookup_of_whole_tables(spark, tmp_path):
 def test_log_loss_counts_predictions_of_probability_zero(spark, tmp_path):
     got = run(spark, tmp_path, "log_loss_whole", embeddings=([(0, 0), (50, 0)], "vec_id long, label int"))
     assert got == [(0, pytest.approx(690.775528))]
+
+
+def test_bootstrap_of_metrics_equals_resampled_rows(spark):
+    r, k = random.Random(8), 3
+    rows = [(f"s{r.randrange(6)}", r.randrange(k), r.randrange(k), r.randrange(k), [r.randrange(5) / 4 for _ in range(k)], [r.randrange(5) / 4 for _ in range(k)]) for _ in range(150)]
+    df = spark.createDataFrame(rows, "cluster string, truth int, first int, second int, first_scores array<double>, second_scores array<double>")
+    got = {(x["rep"], x["metric"]): x["difference"] for x in resampling.metric_differences(df, k, 12, 5).collect()}
+    clusters = sorted({x[0] for x in rows})
+
+    def plain(sample, p, s):
+        f1, support, areas = [], [], []
+        for c in range(k):
+            tp = sum(x[1] == x[p] == c for x in sample)
+            n, called = sum(x[1] == c for x in sample), sum(x[p] == c for x in sample)
+            f1.append(2 * tp / (n + called) if n + called else 0.0), support.append(n)
+            yes, no = [x[s][c] for x in sample if x[1] == c], [x[s][c] for x in sample if x[1] != c]
+            areas.append(sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no)))
+        return [sum(x[1] == x[p] for x in sample) / len(sample), sum(f1) / k, sum(a * b for a, b in zip(f1, support)) / len(sample), sum(areas) / k]
+
+    for rep in range(12):
+        drawn = np.random.default_rng([5, rep]).integers(0, len(clusters), len(clusters))
+        sample = [x for c in drawn for x in rows if x[0] == clusters[c]]
+        for name, a, b in zip(resampling.METRICS, plain(sample, 2, 4), plain(sample, 3, 5)):
+            assert got[rep, name] == pytest.approx(a - b)
