@@ -128,7 +128,7 @@ def _byte_letters() -> dict[str, int]:
 class MergeTransducer:
     """Token counts and ids of pieces, from the vocabulary and the ordered merges of a byte-level file."""
 
-    def __init__(self, blob: bytes, most_pairs: int = 1_000_000) -> None:
+    def __init__(self, blob: bytes, most_pairs: int = 300_000) -> None:
         file = json.loads(blob)
         letters = _byte_letters()
         raw = {k: bytes(letters[c] for c in k) for k in file["model"]["vocab"] if all(c in letters for c in k)}
@@ -229,7 +229,7 @@ class _Pieces(dict):
 class Tokenizer:
     """Counts or ids for lists of texts. Special strings inside texts are tokens, as is the library's default."""
 
-    def __init__(self, blob: bytes, most_pieces: int = 500_000) -> None:
+    def __init__(self, blob: bytes, most_pieces: int = 200_000) -> None:
         self.cut = PieceTransducer()
         self.merge = MergeTransducer(blob)
         self.counts = _Pieces(lambda p: 0 if p == SEPARATOR else self.merge.count(p.encode()), most_pieces)
@@ -238,6 +238,10 @@ class Tokenizer:
         names = sorted(self.merge.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
+    def forget(self) -> None:
+        """Empties what is kept of pieces; what is compiled stays."""
+        self.counts.clear(), self.packed.clear(), self.merge.fits.clear()
+
     def _pack(self, piece: str) -> bytes:
         """The ids of one piece; a compiled library merges its bytes, by the same vocabulary."""
         if piece == SEPARATOR:

@@ -48,6 +48,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def small(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that few of its texts are Python's at a time."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def slices(texts: Iterable[str], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts that together hold about ``most`` characters; a longer text stands alone."""
     begin = end = held = 0
@@ -77,6 +83,30 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)[:n]
 
 
+_SUM_BASE, _SUM_INVERSE = 0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 1 << 64)
+_KEPT_POWERS = 1 << 21
+_forward, _backward = powers(1, _SUM_BASE), powers(1, _SUM_INVERSE)
+
+
+class Sums:
+    """Hashes of any range of a sequence of hashes, from running sums of a polynomial modulo 2 ** 64.
+
+    Tables of powers are kept up to a fixed length; longer ones live as long as the sums.
+    """
+
+    def __init__(self, items: np.ndarray) -> None:
+        global _forward, _backward
+        n, forward, self.backward = len(items) + 1, _forward, _backward
+        if len(forward) < n:
+            forward, self.backward = powers(n, _SUM_BASE), powers(n, _SUM_INVERSE)
+            if n <= _KEPT_POWERS:
+                _forward, _backward = forward, self.backward
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(items * forward[: n - 1], dtype=np.uint64)))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[begin]) * self.backward[begin] + (end - begin).astype(np.uint64))
+
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

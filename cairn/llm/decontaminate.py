@@ -76,7 +76,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     that are broadcast never exceed that; more blocks mean more passes over the documents, with hits carried along.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     state = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", *NO_HITS)

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stored, texts_of
+from cairn.llm.common import small, stored, texts_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+#: Counts that a task holds before it passes them on.
+MOST_COUNTS = 150_000
 
 
 def letter_words(text: str) -> list[str]:
@@ -30,40 +32,48 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class WordBackoff:
-    """Log frequencies by language of words (``tables[0]``) and of n-grams (``tables[n]``)."""
+    """Log frequencies by language of words (``tables[0]``) and of n-grams (``tables[n]``): the row of each in a matrix."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], most_words: int = 300_000) -> None:
+    def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]], most_words: int = 50_000) -> None:
         self.langs, self.tables, self.most = langs, tables, most_words
         self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((1024, len(langs)))
+        self.matrix = np.zeros((most_words, len(langs)), np.float32)
 
     def vector(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        rows, matrix = self.tables[0]
+        at = rows.get(word)
+        if at is not None:
+            return matrix[at]
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
+            rows, matrix = self.tables[n]
+            found = [i for g in grams(word, n) if (i := rows.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return matrix[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
-    def _row(self, word: str) -> int:
-        at = self.rows[word] = len(self.rows)
-        if at == len(self.matrix):
-            self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
-        self.matrix[at] = self.vector(word)
-        return at
+    def _sum(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' vectors. Those of words met lately are kept, in a table of fixed size."""
+        total, known = np.zeros(len(self.langs)), self.rows.get
+        for a in range(0, len(words), self.most):
+            part = words[a : a + self.most]
+            if len(self.rows) + len(part) > self.most:
+                self.rows.clear()
+            at = []
+            for w in part:
+                i = known(w)
+                if i is None:
+                    i = self.rows[w] = len(self.rows)
+                    self.matrix[i] = self.vector(w)
+                at.append(i)
+            total += self.matrix[at].sum(axis=0, dtype=float)
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its share of the likelihood; ``und``, 0 without any letter."""
         words = letter_words(text or "")
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        if len(self.rows) > self.most:
-            self.rows.clear()
-        known = self.rows.get
-        at = [i if (i := known(w)) is not None else self._row(w) for w in words]
-        total = self.matrix[at].sum(axis=0)
+        total = self._sum(words)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -71,11 +81,9 @@ class WordBackoff:
 def training_rows(docs: DataFrame, rows_per_lang: int, lang_col: str, text_col: str, key_col: str) -> DataFrame:
     """(lang, text) of about ``rows_per_lang`` documents of each language, chosen by a hash of the key."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1_000_000 * rows_per_lang // n))).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < share).select("lang", "text")
+    share = F.least(F.lit(1_000_000), F.floor(F.lit(1_000_000 * rows_per_lang) / F.col("count")))
+    wanted = labelled.groupBy("lang").count().select("lang", share.alias("share"))
+    return labelled.join(F.broadcast(wanted), "lang").where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows_per_lang: int = 2_000, most_entries: int = 30_000, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> WordBackoff:
@@ -88,14 +96,20 @@ def fit(docs: DataFrame, rows_per_lang: int = 2_000, most_entries: int = 30_000,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+            for lang, text in ((lang, text) for part in small(batch) for lang, text in zip(part.column(0).to_pylist(), texts_of(part))):
+                if len(found) > MOST_COUNTS:
+                    yield counted(found)
+                    found = Counter()
                 for w, c in Counter(letter_words(text)).items():
                     found[lang, 0, w] += c
                     for n in range(1, LONGEST + 1):
                         for g in grams(w, n):
                             found[lang, n, g] += c
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "n", "gram", "c"])
+            yield counted(found)
+
+    def counted(found: Counter) -> pa.RecordBatch:
+        keys = list(found)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "n", "gram", "c"])
 
     rows = training_rows(docs, rows_per_lang, lang_col, text_col, key_col)
     counts = rows.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
@@ -107,26 +121,29 @@ def fit(docs: DataFrame, rows_per_lang: int = 2_000, most_entries: int = 30_000,
         top = one if top is None else top.unionByName(one)
     found = top.collect()
     langs = sorted({lang for r in found for lang in r["by"]})
-    tables: list[dict[str, np.ndarray]] = []
+    tables: list[tuple[dict[str, int], np.ndarray]] = []
     for n in range(LONGEST + 1):
         own = [r for r in found if r["n"] == n]
         table = np.array([[r["by"].get(x, 0) for x in langs] for r in own], float).reshape(len(own), len(langs)) + 0.5
         table = np.log(table / table.sum(axis=0, keepdims=True)) if len(own) else table
-        tables.append({r["gram"]: v for r, v in zip(own, table)})
+        tables.append(({r["gram"]: i for i, r in enumerate(own)}, table.astype(np.float32)))
     return WordBackoff(langs, tables)
 
 
 def predict(docs: DataFrame, model: WordBackoff, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The language of every whole text: the id, lang_pred, score (0 to 1), a row for each row.
 
-    ``und`` with score 0 for null texts and texts without a letter. Other columns are ignored, whatever their names.
+    ``und`` with score 0 for null texts and texts without a letter. Of equally likely languages, the first by name is
+    taken, with their equal share as its score. Very long texts are summed in parts, so they cost memory for their words
+    only. Null and repeated ids are rows like any other; an empty table gives an empty one. Other columns are ignored,
+    whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = WordBackoff(*held.value)
         for batch in batches:
-            out = [own.predict(t) for t in texts_of(batch)]
+            out = [own.predict(t) for part in small(batch) for t in texts_of(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -4,6 +4,10 @@ A line within ``tau`` edits of another contains one of the other's tau + 1 segme
 of all lines are the index; a line probes it with those of its substrings that can match, by length and place. What
 meets is verified by a banded bit-parallel edit distance. Short lines may differ by fewer edits, the shortest by none:
 those meet by their hash alone.
+
+Lines made from one pattern share segments without being near. So each line has a sketch: a bit for each of 64 classes
+of its pairs of neighbouring characters, set where their number is odd. An edit changes four of those pairs at most,
+so sketches that differ in more bits than four an edit rule a pair out while the index is probed.
 """
 
 from __future__ import annotations
@@ -11,14 +15,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ensure_checkpoint_dir, texts_of
+from cairn.llm.common import Sums, ensure_checkpoint_dir, mix64, texts_of
 
 _BLANK = " \t\n\r\x0b\x0c"
+SLICE_CHARS = 500_000
+#: Lines that a task remembers; a key is hot with more than HOT rows and more than one of HOT_KEYS of all. They change the work, never a result.
+MET, HOT, HOT_KEYS = 200_000, 1_000, 1_000
 
 
 def key_of(line: str) -> str:
@@ -31,43 +39,74 @@ def long_hash(text: str, seed: int = 0) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def segments(length: int, tau: int) -> list[tuple[int, int]]:
-    """(begin, size) of tau + 1 segments that differ in size by one at most, the shorter ones first."""
-    size, longer = divmod(length, tau + 1)
-    out, begin = [], 0
-    for i in range(tau + 1):
-        n = size + (i >= tau + 1 - longer)
-        out.append((begin, n))
-        begin += n
-    return out
+def segment(length: np.ndarray, most: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, size) of segment i of most + 1, which differ in size by one at most, the shorter ones first."""
+    size, longer = np.divmod(length, most + 1)
+    shorter = most + 1 - longer
+    return i * size + np.maximum(i - shorter, 0), size + (i >= shorter)
 
 
-def edits(length: int, tau: int, least: int) -> int:
+def edits(length, tau: int, least: int):
     """The edits by which a line may differ from another one that isn't shorter: tau from ``least`` code points on, below in proportion."""
-    return tau if length >= least else length * tau // least
+    return np.where(np.asarray(length) >= least, tau, np.asarray(length) * tau // max(least, 1))
+
+
+class LineKeys:
+    """Keys of the segments and substrings of several lines, as arrays of (line, key), and the lines' sketches."""
+
+    def __init__(self, lines: list[str], tau: int, least: int = 0) -> None:
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.hashes = mix64((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        self.tau, self.least, self.sums = tau, least, Sums(self.hashes)
+        self.length = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(self.length) - self.length
+
+    def _keys(self, of: np.ndarray, begin: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        place = self.start[of] + begin
+        tag = (length * 64 + i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return of, mix64(self.sums.of(place, place + size) ^ tag)
+
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        most, found = edits(self.length, self.tau, self.least), []
+        for m in range(1, self.tau + 1):
+            of = np.flatnonzero(most == m)
+            length = self.length[of]
+            found += [self._keys(of, *segment(length, m, i), length, i) for i in range(m + 1)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def probes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the substrings that may equal a segment of a line that is as long or up to tau shorter.
+
+        With the segment at i unchanged, its left side may hold i edits and its right side the rest; the shift of its
+        place is bounded from both ends.
+        """
+        found = []
+        for gap in range(self.tau + 1):
+            most = edits(self.length - gap, self.tau, self.least)
+            for m in range(max(gap, 1), self.tau + 1):
+                of = np.flatnonzero((most == m) & (self.length >= gap))
+                length = self.length[of] - gap
+                for i in range(m + 1):
+                    begin, size = segment(length, m, i)
+                    for shift in range(max(-i, gap - (m - i)), min(i, gap + (m - i)) + 1):
+                        fits = (begin + shift >= 0) & (begin + shift + size <= self.length[of])
+                        found.append(self._keys(of[fits], (begin + shift)[fits], size[fits], length[fits], i))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def sketches(self) -> np.ndarray:
+        """Parities of the numbers of neighbouring pairs of characters, by class of pair; of lines that aren't empty."""
+        bits = np.zeros(len(self.hashes), np.uint64)
+        bits[:-1] = np.uint64(1) << (mix64(self.hashes[:-1] * np.uint64(0xA0761D6478BD642F) + self.hashes[1:]) >> np.uint64(58))
+        bits[self.start + self.length - 1] = 0
+        return np.bitwise_xor.reduceat(bits, self.start) if len(bits) else bits
 
 
 def index_keys(line: str, tau: int, least: int = 0) -> list[int]:
-    most = edits(len(line), tau, least)
-    return [long_hash(line[b : b + n], len(line) * 64 + i) for i, (b, n) in enumerate(segments(len(line), most))] if most else []
+    return LineKeys([line], tau, least).index()[1].tolist()
 
 
 def probe_keys(line: str, tau: int, least: int = 0) -> list[int]:
-    """Keys of the substrings that may equal a segment of a line that is as long or up to tau shorter.
-
-    With the segment at i unchanged, its left side may hold i edits and its right side tau - i; the shift of its place
-    is bounded from both ends.
-    """
-    out, n = [], len(line)
-    for length in range(max(0, n - tau), n + 1):
-        gap, most = n - length, edits(length, tau, least)
-        if not most or gap > most:
-            continue
-        for i, (b, size) in enumerate(segments(length, most)):
-            lo = max(b - i, b + gap - (most - i), 0)
-            hi = min(b + i, b + gap + (most - i), n - size)
-            out += [long_hash(line[s : s + size], length * 64 + i) for s in range(lo, hi + 1)]
-    return list(dict.fromkeys(out))
+    return LineKeys([line], tau, least).probes()[1].tolist()
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -102,6 +141,15 @@ def within(a: str, b: str, tau: int) -> bool:
     return distance <= tau
 
 
+def _salt(of: Column) -> Column:
+    """A number below ``salts``, by row; 0 where the key isn't hot."""
+    return F.coalesce(F.pmod(F.xxhash64(of), F.col("salts")), F.lit(0)).cast("int")
+
+
+def _salts() -> Column:
+    return F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)
+
+
 def _lines(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, str]]]]]:
     """Batches with the (number, key) of the lines of each text that have ``least`` code points or more."""
     for batch in batches:
@@ -122,7 +170,8 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
     columns are ignored, whatever their names. The input must be a table or otherwise give its rows in the same order
     when it is read again.
 
-    Equal lines are one class, by a 128-bit hash, before anything is joined. Links are kept between classes only.
+    Equal lines are one class, by a 128-bit hash, before anything is joined. Links are kept between classes only. Keys
+    that hold more than a share of all rows are few by definition; their rows are dealt over several tasks.
     """
     if least <= tau:
         raise ValueError("lines that are judged must be longer than tau")
@@ -144,25 +193,48 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
 
     shortest = -(-least // max(tau, 1))  # of the lines that may differ by an edit
 
-    def cut(batches: Iterator[pa.RecordBatch], keys=None) -> Iterator[pa.RecordBatch]:
+    def unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int]]]:
+        """Lines that may differ by an edit, each once as far as a bounded memory tells, and their hashes."""
         met: set[int] = set()
         for _, rows in _lines(batches, shortest):
-            found, lines = [], []
+            fresh, held = {}, 0
             for k in (k for r in rows for _, k in r):
                 h = long_hash(k)
                 if h not in met:
                     met.add(h)
-                    own = keys(k, tau, least)
-                    found += own
-                    lines += [h] * len(own)
-            if len(met) > 500_000:
+                    fresh[h] = k
+                    held += len(k)
+                    if held > SLICE_CHARS:
+                        yield list(fresh.values()), list(fresh)
+                        fresh, held = {}, 0
+            if fresh:
+                yield list(fresh.values()), list(fresh)
+            if len(met) > MET:
                 met.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(lines, pa.int64())], ["part", "line"])
+
+    def cut(batches: Iterator[pa.RecordBatch], side: str) -> Iterator[pa.RecordBatch]:
+        for found, hashes in unmet(batches):
+            keys = LineKeys(found, tau, least)
+            of, part = getattr(keys, side)()
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(np.array(hashes, np.int64)[of]), pa.array(keys.sketches().view(np.int64)[of])], ["part", "line", "sketch"])
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments that several lines of a slice have, with their number, and under part null the number of all."""
+        for found, _ in unmet(batches):
+            part, c = np.unique(LineKeys(found, tau, least).index()[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*part[c > 3].view(np.int64).tolist(), None], pa.int64()), pa.array([*c[c > 3].tolist(), int(c.sum())], pa.int64())], ["part", "c"])
 
     text = keyed.select("text")
-    index = text.mapInArrow(lambda b: cut(b, index_keys), "part long, line long")
-    probes = text.mapInArrow(lambda b: cut(b, probe_keys), "part long, line long").withColumnRenamed("line", "other")
-    pairs = index.join(probes, "part").where("line <> other")
+    counted = text.mapInArrow(often, "part long, c long").groupBy("part").agg(F.sum("c").alias("c")).checkpoint()
+    every = counted.where("part IS NULL").agg(F.sum("c")).first()[0] or 0
+    share = max(HOT, every // HOT_KEYS)  # so at most HOT_KEYS segments have more
+    hot = counted.where(F.col("part").isNotNull() & (F.col("c") > share)).select("part", F.ceil(F.col("c") / share).cast("int").alias("salts"))
+    index = text.mapInArrow(lambda b: cut(b, "index"), "part long, line long, sketch long")
+    probes = text.mapInArrow(lambda b: cut(b, "probes"), "part long, line long, sketch long").withColumnsRenamed({"line": "other", "sketch": "seen"})
+    index = index.join(F.broadcast(hot), "part", "left").withColumn("salt", _salt(F.col("line"))).drop("salts")
+    probes = probes.join(F.broadcast(hot), "part", "left").withColumn("salt", F.explode(_salts())).drop("salts")
+    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("seen"))) <= 4 * tau
+    pairs = index.join(probes, ["part", "salt"]).where((F.col("line") != F.col("other")) & near)
     pairs = pairs.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct().checkpoint()
     wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
@@ -178,7 +250,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within(a, b, edits(min(len(a), len(b)), tau, least)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            ok = [within(a, b, int(edits(min(len(a), len(b)), tau, least))) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "check_a", "b", "check_b", "text_a", "text_b")
@@ -189,7 +261,11 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
     late = dated.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("line"), F.when(later, F.col("check_a")).otherwise(F.col("check_b")).alias("check")).distinct()
     # Classes of which something goes: later copies, or all, where an earlier line is near.
     going = first.join(late.withColumn("late", F.lit(True)), ["line", "check"], "left").where("c > 1 OR late").select("line", "check", "first", "late")
-    gone = lines.join(going, ["line", "check"])
+    total = first.agg(F.sum("c")).first()[0] or 0
+    share = max(HOT, total // HOT_KEYS)
+    hot = first.where(F.col("c") > share).select("line", "check", F.ceil(F.col("c") / share).cast("int").alias("salts"))
+    going = going.join(F.broadcast(hot), ["line", "check"], "left").withColumn("salt", F.explode(_salts())).drop("salts")
+    gone = lines.join(F.broadcast(hot), ["line", "check"], "left").withColumn("salt", _salt(F.col("key"))).drop("salts").join(going, ["line", "check", "salt"])
     begins = (F.col("key") == F.col("first.key")) & (F.col("number") == F.col("first.number"))
     gone = gone.where(F.col("late") | ~begins).groupBy("key").agg(F.collect_list(F.struct("number", begins.alias("near"))).alias("gone"))
 

@@ -2,12 +2,14 @@
 
 N-grams are ordered: those that few documents hold first, by hash, then the frequent ones by frequency. Each set is
 cut by that order. Its first part, the prefix, finds candidates: two sets that link share an n-gram of their prefixes,
-and with it more than a fixed number of them. For candidates, the whole order is cut into fragments; each fragment
-counts the overlap of its part of two sets, and the counts are summed per pair.
+and with it more than a fixed number of them. For candidates, the whole order is cut into fragments at fixed n-grams;
+each fragment counts the overlap of its part of two sets, and the counts are summed per pair.
 
 A group of near copies is never expanded into its pairs while one member can stand for it: pairs with the member of a
 prefix group that has the fewest n-grams of its own are counted first, and after that only pairs across the
-components that these links leave.
+components that these links leave. Sets just below the similarity meet there without linking. A sketch rules them out
+while they meet: the parities of a set's numbers of n-grams in 256 classes. Two sets differ in at least as many n-grams
+as their sketches in bits, and the sizes say how many that may be.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from cairn.llm.components import components
 
 SLICE_CHARS = 2_000_000
 FRAGMENTS = 8
-#: Members of a component from which its surroundings are looked at more closely; changes the work, never a result.
-LARGE = 16
+#: Sets that a task compares with the others of one n-gram; those of more are dealt. Changes the work, never a result.
+SHARE = 1_000
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -46,22 +48,38 @@ def set_key(grams: np.ndarray) -> int:
     return int(mix64(np.array([np.add.reduce(mix64(grams ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Four 64-bit values with the parity of the number of n-grams in each of 256 classes."""
+    odd = np.bincount((mix64(grams + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Order:
-    """Sorts n-grams: rare ones by hash, then the frequent ones, which are given in ascending order of frequency."""
+    """The global order of n-grams: rare ones by hash, then the frequent ones, which are given in ascending order of frequency."""
 
     def __init__(self, frequent: np.ndarray) -> None:
         self.at = np.argsort(frequent)
         self.known = frequent[self.at]
 
-    def sort(self, grams: np.ndarray) -> np.ndarray:
+    def _split(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rare n-grams, frequent ones, and the ranks of those."""
         if not len(self.known):
-            return grams
+            return grams, grams[:0], np.zeros(0, np.int64)
         place = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
         often = self.known[place] == grams
-        if not often.any():
-            return grams
-        late = grams[often]
-        return np.concatenate((grams[~often], late[np.argsort(self.at[place[often]])]))
+        rank = self.at[place[often]]
+        late = np.argsort(rank)
+        return grams[~often], grams[often][late], rank[late]
+
+    def sort(self, grams: np.ndarray) -> np.ndarray:
+        return np.concatenate(self._split(grams)[:2])
+
+    def cut(self, grams: np.ndarray, fragments: int) -> list[np.ndarray]:
+        """A sorted set, cut at the same n-grams as every other one: half of the cuts among the rare, half among the frequent."""
+        rare, late, rank = self._split(grams)
+        few, many = fragments - fragments // 2, fragments // 2
+        at = np.arange(1, few, dtype=np.uint64) * np.uint64((1 << 64) // few)
+        return [*np.split(rare, np.searchsorted(rare, at)), *np.split(late, np.searchsorted(rank, np.arange(1, many) * len(self.known) // many))]
 
 
 def frequent_grams(docs: DataFrame, n: int, most: int) -> np.ndarray:
@@ -84,18 +102,19 @@ def frequent_grams(docs: DataFrame, n: int, most: int) -> np.ndarray:
     return rows.sort_values(["c", "gram"])["gram"].to_numpy(np.int64).view(np.uint64)
 
 
-def _signatures(docs: DataFrame, kind: str, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(key, id, n, class, grams): the prefix of a set, of which the first ``index`` ones are its index prefix.
+def _signatures(docs: DataFrame, kind: str, n: int, percent: int, held) -> DataFrame:
+    """(key, id, n, class, grams, sketch): the prefix and the sketch of a set.
 
-    The prefix is left out (null) where a task has met the class before.
+    Both are left out (null) where a task has met the class before, as far as a bounded memory tells.
     """
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, met = Order(held.value), set()
         for batch in batches:
             texts = [(t or "").encode() for t in texts_of(batch)]
-            sizes, classes, prefixes = [], [], []
+            sizes, classes, prefixes, sketches = [], [], [], []
+            if len(met) > 200_000:
+                met.clear()
             for a, b in slices(texts, SLICE_CHARS):
                 for grams in gram_sets(texts[a:b], n):
                     size = len(grams)
@@ -105,11 +124,13 @@ def _signatures(docs: DataFrame, kind: str, n: int, percent: int, frequent: np.n
                     if size and key not in met:
                         met.add(key)
                         prefixes.append(order.sort(grams)[: size - -(-percent * size // 100) + 1].view(np.int64))
+                        sketches.append(sketch(grams))
                     else:
                         prefixes.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "id", "n", "class", "grams"])
+                        sketches.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["key", "id", "n", "class", "grams", "sketch"])
 
-    return docs.select("key", "id", "text").mapInArrow(sign, f"key long, id {kind}, n long, class long, grams array<long>")
+    return docs.select("key", "id", "text").mapInArrow(sign, f"key long, id {kind}, n long, class long, grams array<long>, sketch array<long>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -120,15 +141,17 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 class _Join:
     def __init__(self, docs: DataFrame, kind: str, n: int, percent: int, frequent: int, broadcast_rows: int) -> None:
         self.docs, self.n, self.percent, self.broadcast_rows = docs, n, percent, broadcast_rows
-        signed = _signatures(docs, kind, n, percent, frequent_grams(docs, n, frequent)).checkpoint()
+        self.held = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, n, frequent))
+        signed = _signatures(docs, kind, n, percent, self.held).checkpoint()
         self.members = signed.select("key", "id", "n", "class")
         prefixes = signed.where("grams IS NOT NULL").select("class", "n", "grams")
+        sketches = signed.where("sketch IS NOT NULL").select("class", "sketch").dropDuplicates(["class"])
         postings = prefixes.select("class", "n", F.posexplode("grams").alias("pos", "gram"))
         met = postings.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
         shared = postings.join(met, "gram").dropDuplicates(["gram", "class"]).checkpoint()
         own = shared.groupBy("class").agg(F.count("*").alias("met"))
-        # gram, class, n, pos, alone: the prefix grams that several classes hold
-        self.shared = shared.join(own, "class").withColumn("alone", self.prefix(F.col("n")) - F.col("met")).drop("met").checkpoint()
+        # gram, class, n, pos, alone, sketch: the prefix grams that several classes hold
+        self.shared = shared.join(own.join(sketches, "class"), "class").withColumn("alone", self.prefix(F.col("n")) - F.col("met")).drop("met").checkpoint()
         self.parts = self.shared.groupBy("class").agg(F.collect_list("gram").alias("grams"))
 
     def prefix(self, n: Column) -> Column:
@@ -137,28 +160,25 @@ class _Join:
     def fits(self, a: str, b: str) -> Column:
         return (100 * F.col(a) >= self.percent * F.col(b)) & (100 * F.col(b) >= self.percent * F.col(a))
 
+    def alike(self, n: str, m: str, sketch: str, other: str) -> Column:
+        """Whether two sets differ in no more bits of their sketches than linked sets of their sizes may in n-grams."""
+        differ = sum((F.bit_count(F.col(sketch)[i].bitwiseXOR(F.col(other)[i])) for i in range(4)), F.lit(0))
+        return self.fits(n, m) & (differ <= F.col(n) + F.col(m) - 2 * _needed(F.col(n), F.col(m), self.percent))
+
     def led(self) -> DataFrame:
         """Candidates of each member of a prefix group with the member that has the fewest prefix grams of its own."""
-        lead = self.shared.groupBy("gram").agg(F.min(F.struct("alone", "class", "n")).alias("lead"))
-        pairs = self.shared.join(lead, "gram").where("class <> lead.class")
+        lead = self.shared.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "sketch")).alias("lead"))
+        pairs = self.shared.join(lead, "gram").where((F.col("class") != F.col("lead.class")) & self.alike("n", "lead.n", "sketch", "lead.sketch"))
         return self.ordered(pairs.select("class", "n", F.col("lead.class").alias("other"), F.col("lead.n").alias("m")))
 
     def across(self, roots: DataFrame) -> DataFrame:
         """Candidates in different components: the longer set's prefix against the shorter one's index prefix."""
-        large = roots.groupBy("root").agg((F.count("*") >= LARGE).alias("large"))
-        marked = roots.join(large, "root").select(F.col("node").alias("class"), "root", "large")
-        labelled = self.shared.join(marked, "class", "left").withColumns({"root": F.coalesce("root", "class"), "large": F.coalesce("large", F.lit(False))})
-        several = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("large").alias("near")).where("least <> most").select("gram", "near")
-        left = labelled.join(several, "gram").select("gram", "class", "n", "pos", "root", "near").checkpoint()
-        # Around a large component stand many sets just below the similarity, each a candidate of all its members. Most
-        # have too many grams that none of the others holds and that are in no overlap.
-        every = self.fragments(left.where("near").select("class").distinct()).select("class", F.explode("grams").alias("gram"))
-        single = every.groupBy("gram").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1").groupBy("class").agg(F.count("*").alias("single"))
-        left = left.join(single, "class", "left").withColumn("most", F.col("n") - F.when(F.col("near"), F.coalesce("single", F.lit(0))).otherwise(F.lit(0))).drop("single", "near")
-        index = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent)))
-        long = left.select("gram", F.col("class").alias("other"), F.col("n").alias("m"), F.col("root").alias("far"), F.col("most").alias("reach"))
-        enough = F.least("most", "reach") >= _needed(F.col("n"), F.col("m"), self.percent)
-        pairs = index.join(long, "gram").where(F.expr("root <> far AND (n < m OR n = m AND class < other)") & enough & self.fits("n", "m"))
+        labelled = self.shared.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        several = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / SHARE).cast("int").alias("salts")).where("least <> most").select("gram", "salts")
+        left = labelled.join(several, "gram").select("gram", "class", "n", "pos", "root", "sketch", "salts").checkpoint()
+        index = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent))).withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).drop("salts")
+        long = left.select("gram", F.col("class").alias("other"), F.col("n").alias("m"), F.col("root").alias("far"), F.col("sketch").alias("seen"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        pairs = index.join(long, ["gram", "salt"]).where(F.expr("root <> far AND (n < m OR n = m AND class < other)") & self.alike("n", "m", "sketch", "seen"))
         return self.ordered(pairs.select("class", "n", "other", "m"))
 
     def ordered(self, pairs: DataFrame) -> DataFrame:
@@ -186,19 +206,19 @@ class _Join:
         keyed = self.members.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"))
         few = wanted.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
         keys = wanted.join(keyed, "class").select("key")
-        n, texts = self.n, self.docs.select("key", "text").join(F.broadcast(keys) if few else keys, "key")
+        n, held, texts = self.n, self.held, self.docs.select("key", "text").join(F.broadcast(keys) if few else keys, "key")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order = Order(held.value)
             for batch in batches:
                 texts = [(t or "").encode() for t in texts_of(batch)]
                 classes, numbers, parts = [], [], []
                 for a, b in slices(texts, SLICE_CHARS):
                     for grams in gram_sets(texts[a:b], n):
                         if len(grams):
-                            bounds = np.searchsorted(grams, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                            for i, part in enumerate(np.split(grams.view(np.int64), bounds)):
+                            for i, part in enumerate(order.cut(grams, FRAGMENTS)):
                                 if len(part):
-                                    classes.append(set_key(grams)), numbers.append(i), parts.append(part)
+                                    classes.append(set_key(grams)), numbers.append(i), parts.append(part.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["class", "fragment", "grams"])
 
         return texts.select("key", "text").mapInArrow(cut, "class long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])

@@ -41,6 +41,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], ["id", "piece", "start", "length", "ids_crc32"])
+        tokenizer(held.value).forget()
 
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(cut, f"id {kind}, {PIECE_SCHEMA}")
 

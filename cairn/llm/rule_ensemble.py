@@ -131,13 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int =
     """Learn from labelled documents; labels must not hold rows that are to be kept from the fit.
 
     At most about ``max_rows`` labelled rows are used, chosen by a hash of their ids, so what is broadcast for the join
-    and what reaches the driver (eleven numbers a row) are bounded. Without labelled rows every score is 0.5; with
+    and what reaches the driver (eleven numbers a row) are bounded; of rows that share an id, the least text stands for
+    all, and of labels that share one, the largest. Without labelled rows every score is 0.5; with
     labels of one value, scores are near it.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_k")).agg(F.max(label_col).cast("double").alias("_y"))
     share = min(1_000_000, 1_000_000 * max_rows // max(1, own.count()))
     chosen = own.where(F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(1_000_000)) < share)
-    texts = docs.select(F.col(id_col).alias("_k"), F.col("text").alias("text")).join(F.broadcast(chosen), "_k")
+    texts = docs.select(F.col(id_col).alias("_k"), F.col("text").alias("text")).join(F.broadcast(chosen), "_k").groupBy("_k").agg(F.min("text").alias("text"), F.first("_y").alias("_y"))
     data = with_statistics(texts).drop("text").orderBy("_k").toPandas()
     if data.empty:
         return Ensemble(0.0, ())
@@ -153,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int =
 def predict(docs: DataFrame, model: Ensemble, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, score (0 to 1) and predicted (1 for a score of ``threshold`` or more), a row for each row.
 
-    Null texts are scored as empty ones. Other columns are ignored, whatever their names.
+    Null texts are scored as empty ones; equal texts have equal scores, whatever their ids, which may be null or repeat.
+    A very long text is one row like any other; an empty table gives an empty one. Other columns are ignored, whatever their names.
     """
     rows = with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     scored = rows.select(F.col("id").alias(id_col), model.score().alias("score"))

@@ -17,25 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import gram_hashes, hash_words, mix64, powers, slices, stored, texts_of
+from cairn.llm.common import Sums, gram_hashes, hash_words, mix64, slices, stored, texts_of
 
 GRAM = 8
 SLICE_CHARS = 2_000_000
-_BASE, _INVERSE = 0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 1 << 64)
-_forward, _backward = powers(1, _BASE), powers(1, _INVERSE)
-
-
-class Sums:
-    """Hashes of any range of a sequence of word hashes, from running sums of a polynomial modulo 2 ** 64."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        global _forward, _backward
-        if len(_forward) <= len(words):
-            _forward, _backward = powers(len(words) + 1, _BASE), powers(len(words) + 1, _INVERSE)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _forward[: len(words)], dtype=np.uint64)))
-
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[begin]) * _backward[begin] + (end - begin).astype(np.uint64))
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:

@@ -45,6 +45,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
             n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
+        tokenizer(held.value).forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
