@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small, stored, texts_of
+from cairn.llm.common import releasing, small, stored, texts_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, rows_per_lang: int = 2_000, most_entries: int = 30_000,
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "n", "gram", "c"])
 
     rows = training_rows(docs, rows_per_lang, lang_col, text_col, key_col)
-    counts = rows.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+    counts = rows.mapInArrow(releasing(count), "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     entries = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where("total >= 2")
     entries = stored(entries)  # read once for each length; texts are counted once
     top = None
@@ -147,4 +147,4 @@ def predict(docs: DataFrame, model: WordBackoff, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(releasing(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Sums, ensure_checkpoint_dir, mix64, texts_of
+from cairn.llm.common import Sums, ensure_checkpoint_dir, mix64, releasing, small, texts_of
 
 _BLANK = " \t\n\r\x0b\x0c"
 SLICE_CHARS = 500_000
@@ -152,7 +152,7 @@ def _salts() -> Column:
 
 def _lines(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, str]]]]]:
     """Batches with the (number, key) of the lines of each text that have ``least`` code points or more."""
-    for batch in batches:
+    for batch in (part for b in batches for part in small(b)):
         yield batch, [[(i, k) for i, k in enumerate(map(key_of, (t or "").split("\n"))) if len(k) >= least] for t in texts_of(batch)]
 
 
@@ -188,7 +188,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
             columns = [pa.array([long_hash(k) for _, k in flat], pa.int64()), pa.array([long_hash(k, 1) for _, k in flat], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array([i for i, _ in flat], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["line", "check", "key", "id", "number"])
 
-    lines = keyed.mapInArrow(occur, f"line long, check long, key long, id {kind}, number int")
+    lines = keyed.mapInArrow(releasing(occur), f"line long, check long, key long, id {kind}, number int")
     first = lines.groupBy("line", "check").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "number")).alias("first")).checkpoint()
 
     shortest = -(-least // max(tau, 1))  # of the lines that may differ by an edit
@@ -225,12 +225,12 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array([*part[c > 3].view(np.int64).tolist(), None], pa.int64()), pa.array([*c[c > 3].tolist(), int(c.sum())], pa.int64())], ["part", "c"])
 
     text = keyed.select("text")
-    counted = text.mapInArrow(often, "part long, c long").groupBy("part").agg(F.sum("c").alias("c")).checkpoint()
+    counted = text.mapInArrow(releasing(often), "part long, c long").groupBy("part").agg(F.sum("c").alias("c")).checkpoint()
     every = counted.where("part IS NULL").agg(F.sum("c")).first()[0] or 0
     share = max(HOT, every // HOT_KEYS)  # so at most HOT_KEYS segments have more
     hot = counted.where(F.col("part").isNotNull() & (F.col("c") > share)).select("part", F.ceil(F.col("c") / share).cast("int").alias("salts"))
-    index = text.mapInArrow(lambda b: cut(b, "index"), "part long, line long, sketch long")
-    probes = text.mapInArrow(lambda b: cut(b, "probes"), "part long, line long, sketch long").withColumnsRenamed({"line": "other", "sketch": "seen"})
+    index = text.mapInArrow(releasing(lambda b: cut(b, "index")), "part long, line long, sketch long")
+    probes = text.mapInArrow(releasing(lambda b: cut(b, "probes")), "part long, line long, sketch long").withColumnsRenamed({"line": "other", "sketch": "seen"})
     index = index.join(F.broadcast(hot), "part", "left").withColumn("salt", _salt(F.col("line"))).drop("salts")
     probes = probes.join(F.broadcast(hot), "part", "left").withColumn("salt", F.explode(_salts())).drop("salts")
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("seen"))) <= 4 * tau
@@ -245,7 +245,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
             found = list(dict.fromkeys(k for r in rows for _, k in r))
             yield pa.RecordBatch.from_arrays([pa.array([long_hash(k) for k in found], pa.int64()), pa.array([long_hash(k, 1) for k in found], pa.int64()), pa.array(found, pa.string())], ["line", "check", "text"])
 
-    spelt = text.mapInArrow(spell, "line long, check long, text string").join(wanted, "line").dropDuplicates(["line", "check"])
+    spelt = text.mapInArrow(releasing(spell), "line long, check long, text string").join(wanted, "line").dropDuplicates(["line", "check"])
     side = lambda x: spelt.select(F.col("line").alias(x), F.col("check").alias(f"check_{x}"), F.col("text").alias(f"text_{x}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
     gone = gone.where(F.col("late") | ~begins).groupBy("key").agg(F.collect_list(F.struct("number", begins.alias("near"))).alias("gone"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in small(b)):
             out = []
             for t, removed in zip(texts_of(batch), batch.column(batch.schema.get_field_index("gone")).to_pylist()):
                 rows = (t or "").split("\n")
@@ -284,6 +284,6 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
     borne = [f"carried{i}" for i in range(len(carry))]
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry, borne)))
     kinds = "".join(f"{x} {docs.schema[c].dataType.simpleString()}, " for c, x in zip(carry, borne))
-    out = rows.join(gone, "key", "left").select("id", "text", "gone", *borne).mapInArrow(keep, f"id {kind}, {kinds}n_lines long, n_judged long, n_removed long, n_near long, kept_sha256 string, kept_text string")
+    out = rows.join(gone, "key", "left").select("id", "text", "gone", *borne).mapInArrow(releasing(keep), f"id {kind}, {kinds}n_lines long, n_judged long, n_removed long, n_near long, kept_sha256 string, kept_text string")
     out = out.withColumnsRenamed({"id": id_col} | dict(zip(borne, carry)))
     return out if with_text else out.drop("kept_text")

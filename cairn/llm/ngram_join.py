@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ensure_checkpoint_dir, gram_hashes, hash_words, mix64, slices, texts_of
+from cairn.llm.common import ensure_checkpoint_dir, gram_hashes, hash_words, mix64, releasing, slices, small, texts_of
 from cairn.llm.components import components
 
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
+#: Rows of which the n-grams that several hold are counted at a time.
+COUNTED_ROWS = 5_000
 FRAGMENTS = 8
 #: Sets that a task compares with the others of one n-gram; those of more are dealt. Changes the work, never a result.
 SHARE = 1_000
@@ -90,14 +92,14 @@ def frequent_grams(docs: DataFrame, n: int, most: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in small(b, COUNTED_ROWS)):
             texts = [(t or "").encode() for t in texts_of(batch)]
             parts = [np.concatenate(gram_sets(texts[a:b], n)) for a, b in slices(texts, SLICE_CHARS)]
             found, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             often = c >= 2
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["gram", "c"])
 
-    counted = docs.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c >= 4")
+    counted = docs.select("text").mapInArrow(releasing(count), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c >= 4")
     rows = counted.orderBy(F.desc("c"), "gram").limit(most).toPandas()
     return rows.sort_values(["c", "gram"])["gram"].to_numpy(np.int64).view(np.uint64)
 
@@ -110,7 +112,7 @@ def _signatures(docs: DataFrame, kind: str, n: int, percent: int, held) -> DataF
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, met = Order(held.value), set()
-        for batch in batches:
+        for batch in (part for b in batches for part in small(b)):
             texts = [(t or "").encode() for t in texts_of(batch)]
             sizes, classes, prefixes, sketches = [], [], [], []
             if len(met) > 200_000:
@@ -130,7 +132,7 @@ def _signatures(docs: DataFrame, kind: str, n: int, percent: int, held) -> DataF
                         sketches.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["key", "id", "n", "class", "grams", "sketch"])
 
-    return docs.select("key", "id", "text").mapInArrow(sign, f"key long, id {kind}, n long, class long, grams array<long>, sketch array<long>")
+    return docs.select("key", "id", "text").mapInArrow(releasing(sign), f"key long, id {kind}, n long, class long, grams array<long>, sketch array<long>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -210,7 +212,7 @@ class _Join:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = Order(held.value)
-            for batch in batches:
+            for batch in (part for b in batches for part in small(b)):
                 texts = [(t or "").encode() for t in texts_of(batch)]
                 classes, numbers, parts = [], [], []
                 for a, b in slices(texts, SLICE_CHARS):
@@ -221,7 +223,7 @@ class _Join:
                                     classes.append(set_key(grams)), numbers.append(i), parts.append(part.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["class", "fragment", "grams"])
 
-        return texts.select("key", "text").mapInArrow(cut, "class long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
+        return texts.select("key", "text").mapInArrow(releasing(cut), "class long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:

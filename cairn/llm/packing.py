@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ensure_checkpoint_dir, slices, texts_of
+from cairn.llm.common import ensure_checkpoint_dir, releasing, slices, texts_of
 from cairn.llm.token_counts import SLICE_CHARS, read_vocabulary, tokenizer
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
@@ -43,7 +43,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], ["id", "piece", "start", "length", "ids_crc32"])
         tokenizer(held.value).forget()
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(cut, f"id {kind}, {PIECE_SCHEMA}")
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(releasing(cut), f"id {kind}, {PIECE_SCHEMA}")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int, reuse: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cairn.llm.bpe_transducer import Tokenizer
-from cairn.llm.common import slices, texts_of
+from cairn.llm.common import releasing, slices, texts_of
 
 _compiled: dict[int, Tokenizer] = {}
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 def tokenizer(blob: bytes) -> Tokenizer:
@@ -48,5 +48,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
         tokenizer(held.value).forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(releasing(count), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
