@@ -45,6 +45,12 @@ def ratio(n: Column, d: Column) -> Column:
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
 
 
+def round_binary(c: Column, digits: int) -> Column:
+    """Half away from zero of the number as it is held in binary, as most engines round, not of its shortest decimal text."""
+    scale = float(10**digits)
+    return F.signum(c) * F.floor(F.abs(c * scale) + 0.5) / scale
+
+
 def finite(*cs: Column) -> Column:
     out = F.lit(True)
     for c in cs:

@@ -5,10 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the shared folder that the cluster names. In local mode, where none is named, take a local one; elsewhere refuse."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cairn-checkpoints"))
+
+
 def shared_key_components(rows: DataFrame, node: str, key: str, rounds: int = 50) -> DataFrame:
     """(node, root): nodes that are joined by equal keys, directly or through others; the root is the smallest one.
 
@@ -16,8 +25,7 @@ def shared_key_components(rows: DataFrame, node: str, key: str, rounds: int = 50
     jump until none changes; they are checkpointed in each round.
     """
     spark = rows.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cairn-checkpoints"))
+    ensure_checkpoint_dir(spark)
     pairs = rows.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(key).alias("key")).distinct()
     centre = pairs.where("key IS NOT NULL").groupBy("key").agg(F.min("node").alias("other"), F.count("*").alias("c")).where("c > 1")
     star = pairs.join(centre, "key").where("node <> other").select("node", "other")

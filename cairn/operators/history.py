@@ -12,9 +12,47 @@ def best_row(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def trailing(rows: DataFrame, by: list[str], step: str, value: str, size: int) -> DataFrame:
-    """Adds change_<size> (first less last of the last rows) and slope_<size> (least squares; 0 for one row)."""
+    """Adds change_<size> (first less last of the last rows) and slope_<size> (least squares; 0 for one row).
+
+    Values are taken with four decimals and steps are whole, so sums are exact and only the last division rounds.
+    """
     w = W.partitionBy(*by).orderBy(step).rowsBetween(1 - size, 0)
-    return rows.withColumn(f"change_{size}", F.first(value).over(w) - F.col(value)).withColumn(f"slope_{size}", F.coalesce(F.regr_slope(F.col(value), F.col(step)).over(w), F.lit(0.0)))
+    x, z = F.col(step).cast("long"), F.round(F.col(value) * 10_000).cast("long")
+    n, sx, sz, sxz, sxx = F.count("*").over(w), F.sum(x).over(w), F.sum(z).over(w), F.sum(x * z).over(w), F.sum(x * x).over(w)
+    over = ((n * sxx - sx * sx) * 10_000).cast("decimal(20,0)")
+    slope = F.when(over == 0, F.lit(0.0)).otherwise(((n * sxz - sx * sz).cast("decimal(18,0)") / over).cast("decimal(30,12)"))
+    return rows.withColumn(f"change_{size}", (F.first(z).over(w) - z) / F.lit(10_000.0)).withColumn(f"slope_{size}", slope)
+
+
+def deltas(rows: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
+    """Adds from_previous and from_best: the differences to the step before and to the least value before (null at the start)."""
+    w = W.partitionBy(*by).orderBy(step)
+    best = F.min(value).over(w.rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumns({"from_previous": F.col(value) - F.lag(value).over(w), "from_best": F.col(value) - best})
+
+
+def stop_reason(rows: DataFrame, by: list[str], step: str, value: str, min_steps: int, patience: int) -> DataFrame:
+    """Why a history of falling values ended: too_short, no_improvement for ``patience`` steps, or still_improving; with its best step."""
+    best = F.min(F.struct(F.col(value).alias("v"), F.col(step).alias("s"))).alias("best")
+    folded = rows.groupBy(*by).agg(F.count("*").alias("steps"), F.max(step).alias("last"), best)
+    why = F.when(F.col("steps") < min_steps, "too_short").when(F.col("last") - F.col("best.s") >= patience, "no_improvement").otherwise("still_improving")
+    return folded.select(*by, "steps", F.col("best.s").alias("best_step"), F.col("best.v").alias("best_value"), why.alias("reason"))
+
+
+def weighted_mean(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """Mean of a value by its weights: sum of value times weight over the sum of weights; null where that is 0."""
+    return rows.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight).cast("double")).alias("weighted_mean"), F.sum(weight).alias("weight"))
+
+
+def efficiency(rows: DataFrame, by: list[str], step: str, score: str, seconds: str, memory: str) -> DataFrame:
+    """Training roll-up: steps, total seconds, largest memory, mean steps a second, and the step of the best score (of equals, the first)."""
+    best = F.max_by(step, F.struct(F.col(score), -F.col(step))).alias("best_step")
+    return rows.groupBy(*by).agg(F.count("*").alias("steps"), F.sum(seconds).alias("seconds"), F.max(memory).alias("memory"), F.avg(F.try_divide(F.lit(1.0), F.col(seconds))).alias("rate"), best, F.max(score).alias("best_score"))
+
+
+def batch_metrics(rows: DataFrame, index: str, value: str, size: int) -> DataFrame:
+    """(batch, first, last, n, mean, std) of consecutive batches of ``size`` rows by a whole-number index."""
+    return rows.groupBy(F.floor(F.col(index) / size).alias("batch")).agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
 def early_stopping(rows: DataFrame, by: list[str], step: str, value: str, min_delta: float) -> DataFrame:

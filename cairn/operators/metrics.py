@@ -116,3 +116,74 @@ def mcnemar_exact(b: int, c: int) -> float:
 
     n = b + c
     return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+
+
+def exact_tail(b: Column, c: Column) -> Column:
+    """Two-sided binomial tail of discordant counts, at most 1, from log factorials: for a handful of rows of any counts.
+
+    The terms are summed relative to the largest one, so none underflows before the sum is taken.
+    """
+    n, least = b + c, F.least(b, c)
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.ln(i.cast("double")))
+    # The logarithm of n over i for i = 0 .. least, each from the one before.
+    logs = F.aggregate(F.slice(steps, 1, least.cast("int")), F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(steps, (n - F.size(a) + 1).cast("int")) - x)))
+    top = F.array_max(logs)
+    total = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(F.ln(total) + top - n * F.ln(F.lit(2.0)))))
+
+
+def mcnemar_pairs(rows: DataFrame, truth: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(pair, b, c, chi2): rows that only the first or only the second model of each pair has right, from one scan."""
+    right = {m: F.col(m) == F.col(truth) for p in pairs.values() for m in p}
+    counts = [F.struct(F.lit(k).alias("pair"), F.count_if(right[a] & ~right[b]).alias("b"), F.count_if(right[b] & ~right[a]).alias("c")) for k, (a, b) in pairs.items()]
+    out = rows.agg(F.array(*counts).alias("x")).select(F.inline("x"))
+    return out.withColumn("chi2", ratio(F.pow(F.abs(F.col("b") - F.col("c")) - 1, F.lit(2)), F.col("b") + F.col("c")))
+
+
+def threshold_free(rows: DataFrame, score: str, truth: str, by: str) -> DataFrame:
+    """Macro and micro AUROC and average precision of one-against-rest rows; micro takes all classes as one."""
+    names = {"auroc": auroc_tied, "average_precision": average_precision}
+    one = rows.withColumn("_all", F.lit(0))
+    out = None
+    for name, f in names.items():
+        macro = f(rows, score, truth, (by,)).agg(F.avg(name).alias(f"macro_{name}"))
+        both = macro.crossJoin(f(one, score, truth, ("_all",)).select(F.col(name).alias(f"micro_{name}")))
+        out = both if out is None else out.crossJoin(both)
+    return out
+
+
+def roc_points(rows: DataFrame, score: str, truth: str, by: str) -> DataFrame:
+    """(by, tp, fp, threshold, tpr, fpr) after each distinct score by falling score, and the origin of each class (threshold null)."""
+    w, every = W.partitionBy(by).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy(by)
+    steps = _by_score(rows, score, truth, (by,)).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "_p_all": F.sum("pos").over(every), "_n_all": F.sum("neg").over(every)})
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    points = steps.select(by, "tp", "fp", F.col("_p").alias("threshold"), share("tp", "_p_all").alias("tpr"), share("fp", "_n_all").alias("fpr"))
+    zero = steps.select(by).distinct().select(by, F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    return points.unionByName(zero)
+
+
+def thresholded(rows: DataFrame, score: str, truth: str, by: str, threshold: float) -> DataFrame:
+    """Counts and ratios of each class at a threshold, with its AUROC and average precision."""
+    y, called = F.col(truth) == 1, F.col(score) >= threshold
+    counts = rows.groupBy(by).agg(F.count_if(y & called).alias("tp"), F.count_if(~y & called).alias("fp"), F.count_if(y & ~called).alias("fn"), F.count_if(~y & ~called).alias("tn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    out = counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+    return out.join(auroc_tied(rows, score, truth, (by,)), by).join(average_precision(rows, score, truth, (by,)), by)
+
+
+def multilabel_f1(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
+    """weighted_f1 (by the classes' support) and samples_f1 (mean over rows; 0 for a row with neither labels nor predictions)."""
+    both = F.zip_with(truth, predicted, lambda t, p: F.struct(t.alias("t"), p.alias("p")))
+    v = rows.select(both.alias("v"))
+    total = lambda f: F.aggregate("v", F.lit(0), lambda a, x: a + f(x))
+    samples = v.agg(F.avg(ratio(2 * total(lambda x: x["t"] * x["p"]), total(lambda x: x["t"] + x["p"]))).alias("samples_f1"))
+    c = v.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum(F.col("x.t") * F.col("x.p")).alias("tp"), F.sum("x.t").alias("s"), F.sum("x.p").alias("q"))
+    weighted = c.agg(ratio(F.sum(ratio(2 * F.col("tp"), F.col("s") + F.col("q")) * F.col("s")), F.sum("s")).alias("weighted_f1"))
+    return weighted.crossJoin(samples)
+
+
+def normalised_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(truth, predicted, difference): the second confusion table less the first one, each by its row's sum; 0 for an empty row."""
+    share = lambda x, name: x.select("truth", "predicted", ratio(F.col("n"), F.sum("n").over(W.partitionBy("truth"))).alias(name))
+    both = share(first, "_a").join(share(second, "_b"), ["truth", "predicted"])
+    return both.select("truth", "predicted", (F.col("_b") - F.col("_a")).alias("difference"))

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators.graph import ensure_checkpoint_dir
+
 
 def conflicts(rows: DataFrame, key: list[str], index: str, value: list[str]) -> DataFrame:
     """Ordered pairs of rows with equal keys and different values.
 
     Rows of a key are reduced to its distinct values first, so a key with one value costs nothing.
     """
-    mixed = rows.groupBy(*key).agg(F.countDistinct(*value).alias("n")).where("n > 1").select(*key)
+    mixed = rows.groupBy(*key).agg(F.countDistinct(F.struct(*value)).alias("n")).where("n > 1").select(*key)
     own = rows.join(mixed, key)
     left, right = (own.select(*key, F.col(index).alias(f"{s}_{index}"), *(F.col(v).alias(f"{s}_{v}") for v in value)) for s in ("left", "right"))
     differ = F.lit(False)
@@ -30,10 +32,11 @@ def reconcile(template: DataFrame, reviews: DataFrame, key: str, fields: list[st
 
 
 def mismatches(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Rows of both sides that differ, with the names of the fields in which they do."""
-    other = right.select(key, *(F.col(f).alias(f"_{f}") for f in fields))
+    """Rows of the left side that differ, with the names of the fields in which they do; ``missing`` without a counterpart."""
+    other = right.select(key, F.lit(True).alias("_there"), *(F.col(f).alias(f"_{f}") for f in fields))
     names = F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields)))
-    return left.select(key, *fields).join(other, key).withColumn("fields", names).where(F.size("fields") > 0).select(key, F.array_join("fields", ";").alias("fields"))
+    names = F.when(F.col("_there").isNull(), F.array(F.lit("missing"))).otherwise(names)
+    return left.select(key, *fields).join(other, key, "left").withColumn("fields", names).where(F.size("fields") > 0).select(key, F.array_join("fields", ";").alias("fields"))
 
 
 def missing_and_unexpected(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
@@ -48,16 +51,18 @@ def crossing(rows: DataFrame, field: str, split: str = "split") -> DataFrame:
 
 
 def leakage_audit(rows: DataFrame, fields: list[str], split: str = "split") -> DataFrame:
-    """A row for each field: how many of its values cross splits, PASS or FAIL, and the first twenty."""
-    out = None
-    for f in fields:
-        one = crossing(rows, f, split)
-        top = F.row_number().over(W.orderBy("value"))
-        head = one.orderBy("value").limit(20).withColumn("i", top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]), ";").alias("details"))
-        count = one.agg(F.count("*").alias("leakage_count"))
-        row = count.crossJoin(head).select(F.lit(f).alias("audit_name"), "leakage_count", F.when(F.col("leakage_count") == 0, "PASS").otherwise("FAIL").alias("status"), "details")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row for each field: how many of its values cross splits, PASS or FAIL, and the first twenty.
+
+    One scan: each row becomes one of (field, value, split) for every field, and values are grouped once. The first
+    twenty are taken in each partition of values before they meet.
+    """
+    every = rows.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x"), F.col(split).alias("s"))
+    values = every.where("x.value IS NOT NULL").groupBy("x.field", "x.value").agg((F.min("s") != F.max("s")).alias("crosses")).where("crosses")
+    w = W.partitionBy("field", "part").orderBy("value")
+    parts = values.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("i", F.row_number().over(w))
+    found = parts.groupBy("field").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("i") <= 20, F.col("value")))), 1, 20).alias("first"))
+    names = rows.sparkSession.createDataFrame([(f,) for f in fields], "field string").join(F.broadcast(found), "field", "left")
+    return names.select(F.col("field").alias("audit_name"), F.coalesce("n", F.lit(0)).cast("long").alias("leakage_count"), F.when(F.col("n") > 0, "FAIL").otherwise("PASS").alias("status"), F.coalesce(F.array_join("first", ";"), F.lit("")).alias("details"))
 
 
 def lookup(rows: DataFrame, catalogue: DataFrame, content: str, name: str, value: str) -> DataFrame:
@@ -85,5 +90,91 @@ def grid(counts: DataFrame, keys: dict[str, list], fill: list[str]) -> DataFrame
     return out.join(counts, list(keys), "left").fillna(0, fill)
 
 
-def any_true(c: Column) -> Column:
-    return F.coalesce(F.bool_or(c), F.lit(False))
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the place of a row among those of its key, from 0, in the order of some columns that tell rows apart.
+
+    No task holds a key: rows are sorted by range, numbered within each range, and the numbers of the ranges before
+    are added. The ranges are written first, since their borders come from a sample.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), F.col("_range").alias("_of"), before.alias("_before"))
+    inside = ranged.withColumn("_inside", F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order)) - 1)
+    same = F.col("_range") == F.col("_of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    return inside.join(offsets, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
+
+
+def with_status(rows: DataFrame, index: DataFrame, key: str, path: str) -> DataFrame:
+    """All rows, with the first path of the index for their key and a status: copied, missing, or error where the path is blank."""
+    first = index.groupBy(key).agg(F.min(path).alias(path), F.lit(True).alias("_there"))
+    out = rows.join(first, key, "left")
+    status = F.when(F.col("_there").isNull(), "missing").when(F.coalesce(F.trim(path), F.lit("")) == "", "error").otherwise("copied")
+    return out.withColumn("status", status).drop("_there")
+
+
+def matched_and_left_over(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side) of every key of either side: both, left_only or right_only."""
+    a, b = (x.select(F.col(key)).where(F.col(key).isNotNull()).distinct() for x in (left, right))
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), key, "full_outer")
+    return both.select(key, F.when(F.col("_b").isNull(), "left_only").when(F.col("_a").isNull(), "right_only").otherwise("both").alias("side"))
+
+
+def absent_if_any(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key ``known`` lacks; none where ``known`` is empty, since then it says nothing."""
+    any_known = F.broadcast(known.select(F.lit(1).alias("_any")).limit(1))
+    return rows.join(known.select(key).distinct(), key, "left_anti").join(any_known, how="left_semi", on=F.lit(True))
+
+
+def unequal_ids(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """Ids that not all of some sources hold, with the names of those that do; empty where all are equal sets."""
+    every = None
+    for name, rows in sources.items():
+        one = rows.select(F.col(key).cast("string").alias("id"), F.lit(name).alias("source")).where("id IS NOT NULL")
+        every = one if every is None else every.unionByName(one)
+    held = every.groupBy("id").agg(F.array_sort(F.collect_set("source")).alias("s")).where(F.size("s") < len(sources))
+    return held.select("id", F.array_join("s", ";").alias("held_by"))
+
+
+def by_fallback(rows: DataFrame, manifest: DataFrame, index: str, fallback: list[str], columns: list[str]) -> DataFrame:
+    """Rows with ``columns`` of the manifest row of the same index or, where that is null, of the same fallback key.
+
+    ``matched_by`` is index, fallback or none. A manifest key that several rows have matches the least of them.
+    """
+    least = lambda key: manifest.where(" AND ".join(f"{k} IS NOT NULL" for k in key)).groupBy(*key).agg(F.min(F.struct(*columns)).alias("_m"))
+    one = least([index]).select(F.col(index).alias("_index"), F.col("_m").alias("_first"))
+    two = least(fallback).select(*(F.col(k).alias(f"_k_{k}") for k in fallback), F.col("_m").alias("_second"))
+    same = F.lit(True)
+    for k in fallback:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    out = rows.join(one, F.col(index) == F.col("_index"), "left").join(two, F.col(index).isNull() & same, "left")
+    how = F.when(F.col("_first").isNotNull(), "index").when(F.col("_second").isNotNull(), "fallback").otherwise("none")
+    taken = F.coalesce("_first", "_second")
+    return out.select(*(F.col(c) for c in rows.columns), *(taken[c].alias(c) for c in columns), how.alias("matched_by"))
+
+
+def paired(models: dict[str, DataFrame], key: list[str], columns: list[str]) -> DataFrame:
+    """One row for each key that all models have, with ``<model>_<column>`` for each."""
+    out = None
+    for name, rows in models.items():
+        one = rows.select(*key, *(F.col(c).alias(f"{name}_{c}") for c in columns))
+        out = one if out is None else out.join(one, key)
+    return out
+
+
+def unpaired(models: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """Keys that not every model has exactly once: the key and the number of rows of each model. Empty where pairing is sound."""
+    every = None
+    for name, rows in models.items():
+        one = rows.groupBy(*key).agg(*((F.count("*") if n == name else F.lit(0)).cast("long").alias(f"n_{n}") for n in models))
+        every = one if every is None else every.unionByName(one)
+    summed = every.groupBy(*key).agg(*(F.sum(f"n_{n}").alias(f"n_{n}") for n in models))
+    return summed.where(" OR ".join(f"n_{n} <> 1" for n in models))
+
+
+def by_rules(rows: DataFrame, labels: str, rules: DataFrame) -> DataFrame:
+    """Rules (position, label, text) that apply to each row's array of labels, in the rules' order: one row for each."""
+    return rows.withColumn("label", F.explode(labels)).join(F.broadcast(rules), "label").drop(labels)

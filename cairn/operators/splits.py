@@ -1,61 +1,81 @@
-"""Split targets, and a deterministic greedy assignment of groups by label needs."""
+"""Split targets, a deterministic greedy assignment of groups by label needs, manifests and their audit."""
 
 from __future__ import annotations
 
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Shares of the splits and what breaks ties between them.
-SHARES, TIES = {"train": 0.8, "val": 0.1, "test": 0.1}, {"train": 0.0, "val": 0.01, "test": 0.02}
+from cairn.operators.relate import numbered
+
+#: The splits, their shares, what breaks ties between them, and the weights of a placement's cost.
+SPLITS, SHARES, TIES = ("train", "val", "test"), (0.8, 0.1), (0.0, 0.01, 0.02)
+OVERFULL_SPLIT, OVERFULL_LABEL, NEED = 10_000, 100, 10
 
 
 def targets(n: Column) -> dict[str, Column]:
     """Half-even 80 / 10 / rest."""
-    train, val = F.bround(n * 0.8).cast("long"), F.bround(n * 0.1).cast("long")
+    train, val = (F.bround(n * share).cast("long") for share in SHARES)
     return {"train": train, "val": val, "test": n - train - val}
 
 
-def _targets(n: int) -> dict[str, int]:
-    train, val = round(n * 0.8), round(n * 0.1)
-    return {"train": train, "val": val, "test": n - train - val}
+def quotas(total: np.ndarray) -> np.ndarray:
+    """The same for an array: a row of three numbers for each total."""
+    head = np.rint(np.multiply.outer(total, SHARES)).astype(np.int64)
+    return np.concatenate((head, (total - head.sum(axis=-1))[..., None]), axis=-1)
+
+
+def deal(kinds: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The splits (0, 1, 2) of the groups of each kind in turn; row k of ``kinds`` has the labels of a kind, as 0 and 1.
 
+    Room and lack are what splits and labels still miss of their quotas; a group goes where its cost is least.
+    """
+    size = quotas(sizes.sum())
+    room, lack = size.astype(float), quotas(sizes @ kinds).T.astype(float)  # of the splits; of the splits by label
+    out = []
+    for own, n in zip(kinds.astype(bool), sizes.tolist()):
+        placed = np.zeros(n, np.int8)
+        for i in range(n):
+            missing = lack[:, own]
+            cost = OVERFULL_SPLIT * np.maximum(1 - room, 0) + OVERFULL_LABEL * np.maximum(1 - missing, 0).sum(axis=1) - NEED * missing.sum(axis=1)
+            to = int((cost + (size - room + 1) / np.maximum(size, 1) + TIES).argmin())
+            placed[i] = to
+            room[to] -= 1
+            lack[to, own] -= 1
+        out.append(placed)
+    return out
+
+
+def greedy_split(groups: DataFrame) -> DataFrame:
+    """(id, split) of groups (id, labels): kinds with most labels first, within a kind by a hash of the id.
 
-def assign(groups: pd.DataFrame) -> pd.DataFrame:
-    """Splits of (id, labels) rows in their order. A step weighs overfull splits most, then overfull labels, then need."""
-    labels = [set(x) for x in groups["labels"]]
-    size = _targets(len(groups))
-    want = {c: _targets(sum(c in x for x in labels)) for c in sorted(set().union(*labels))} if labels else {}
-    held, have, out = dict.fromkeys(SHARES, 0), {(s, c): 0 for s in SHARES for c in want}, []
-    for own in labels:
-        best = None
-        for s in SHARES:
-            over = max(0, held[s] + 1 - size[s])
-            label_over = sum(max(0, have[s, c] + 1 - want[c][s]) for c in own)
-            need = sum(want[c][s] - have[s, c] for c in own)
-            score = 10000 * over + 100 * label_over - 10 * need + (held[s] + 1) / max(1, size[s]) + TIES[s]
-            if best is None or score < best[0]:
-                best = score, s
-        out.append(best[1])
-        held[best[1]] += 1
-        for c in own:
-            have[best[1], c] += 1
-    return groups.assign(split=out)[["id", "split"]]
-
-
-def greedy_split(groups: DataFrame, block_rows: int = 20_000) -> DataFrame:
-    """(id, split) of groups (id, labels), most labels first, then by a hash of the id.
-
-    The order makes each step depend on the last. Groups are dealt by that hash into blocks of about ``block_rows``,
-    each with targets of its own, so no task grows with the input; a smaller table is one block.
+    A step depends on the labels of the groups before it, not on their ids. So groups of equal labels are one kind;
+    the driver sees each kind with its number of groups (a few bytes for a kind), deals those numbers in one pass, and
+    gives back runs of equal splits, which are joined to the groups by their place within the kind.
     """
-    blocks = max(1, -(-groups.count() // block_rows))
-    keyed = groups.withColumn("rank", F.sha2(F.concat(F.lit("42:"), F.col("id").cast("string")), 256))
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("rank"), F.lit(blocks)))
+    spark = groups.sparkSession
+    kind = groups.select("id", F.array_sort(F.array_distinct("labels")).alias("labels"), F.sha2(F.concat(F.lit("42:"), F.col("id").cast("string")), 256).alias("rank"))
+    sizes = sorted(((tuple(r["labels"]), r["n"]) for r in kind.groupBy("labels").agg(F.count("*").alias("n")).collect()), key=lambda x: (-len(x[0]), x[0]))
+    names = sorted({c for labels, _ in sizes for c in labels})
+    table = np.array([[c in labels for c in names] for labels, _ in sizes], np.int64).reshape(len(sizes), len(names))
+    runs = []
+    for (labels, n), placed in zip(sizes, deal(table, np.array([n for _, n in sizes], np.int64))):
+        begin = np.concatenate(([0], np.flatnonzero(np.diff(placed)) + 1)).tolist()
+        runs += [(list(labels), a, b, SPLITS[placed[a]]) for a, b in zip(begin, [*begin[1:], n])]
+    dealt = spark.createDataFrame(runs, f"labels {groups.schema['labels'].dataType.simpleString()}, begin long, end long, split string")
+    placed = numbered(kind, ["labels"], ["rank", "id"], "place").alias("g").join(dealt.alias("r"), F.expr("g.labels = r.labels AND g.place >= r.begin AND g.place < r.end"))
+    return placed.select("g.id", "r.split")
+
+
+def manifest(original: DataFrame, balanced: DataFrame, assigned: DataFrame, source: str) -> DataFrame:
+    """Rows of the splits: train takes the balanced rows, val and test the original ones, by the split of their source."""
+    held_out = original.join(assigned.where("split <> 'train'"), source)
+    return balanced.join(assigned.where("split = 'train'"), source).unionByName(held_out)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(k=-rows["labels"].map(len)).sort_values(["k", "rank"], ignore_index=True)
-        return assign(rows)
 
-    return keyed.groupBy("block").applyInPandas(run, f"id {groups.schema['id'].dataType.simpleString()}, split string")
+def audit(assigned: DataFrame, label: str) -> DataFrame:
+    """(label, split, n, target, difference_from_target) for each label and split, zeros included."""
+    total = assigned.groupBy(label).agg(F.count("*").alias("total"), *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS))
+    wanted = targets(F.col("total"))
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.col(f"n_{s}").alias("n"), wanted[s].alias("target")) for s in SPLITS)))
+    return total.select(label, rows.alias("r")).select(label, "r.*").withColumn("difference_from_target", F.col("n") - F.col("target"))

@@ -26,11 +26,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _register() -> None:
+    from cairn.plans import audits, models  # noqa: F401  their queries register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(_sql)
 
 
@@ -213,7 +219,7 @@ def stratified_sample(spark, d):
 
 @query(f"SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY lang, doc_id) - 1 AS record_index FROM ({SPLIT_DOCS})")
 def dense_index(spark, d):
-    return split_docs(spark, d).select("doc_id", "split", (F.row_number().over(W.partitionBy("split").orderBy("lang", "doc_id")) - 1).cast("long").alias("record_index"))
+    return relate.numbered(split_docs(spark, d).select("doc_id", "lang", "split"), ["split"], ["lang", "doc_id"], "record_index").select("doc_id", "split", "record_index")
 
 
 _CELLS = f"SELECT t.c AS truth, p.c AS predicted, CAST(count(x.vec_id) AS BIGINT) AS n FROM range(10) t(c) CROSS JOIN range(10) p(c) LEFT JOIN ({PREDICTIONS}) x ON x.truth = t.c AND x.predicted = p.c GROUP BY 1, 2"
@@ -386,7 +392,7 @@ _DAYS = "SELECT event_type, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS
 
 
 def _days(spark, d):
-    return table(spark, d, "events").groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("epoch")).agg(F.round(F.avg("value"), 4).alias("v"))
+    return table(spark, d, "events").groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("epoch")).agg(cols.round_binary(F.avg("value"), 4).alias("v"))
 
 
 @query(f"SELECT event_type, epoch, v FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v DESC, epoch) AS i FROM ({_DAYS})) WHERE i = 1")
@@ -396,8 +402,7 @@ def best_epoch(spark, d):
 
 @query(f"""SELECT event_type, epoch, round(first_value(v) OVER w - v, 5) AS change_5, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(v, epoch) OVER w ELSE 0.0 END, 5) AS slope_5 FROM ({_DAYS}) WINDOW w AS (PARTITION BY event_type ORDER BY epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def trailing_slope(spark, d):
-    # Rounded finely first: a slope that lies just half way keeps its side in spite of the noise of floating point.
-    r5 = lambda c: F.round(F.round(c, 10), 5).alias(c)
+    r5 = lambda c: F.round(c, 5).cast("double").alias(c)
     return history.trailing(_days(spark, d), ["event_type"], "epoch", "v", 5).select("event_type", "epoch", r5("change_5"), r5("slope_5"))
 
 

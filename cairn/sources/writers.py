@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,14 +41,57 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", strict: bool =
     if fs.exists(target):
         raise FileExistsError(path)
     options = {"header": True} if form == "csv" else {}
-    df.write.mode("overwrite").format(form).options(**options).save(f"{path}.staging")
-    expected, written = df.count(), spark.read.format(form).options(**options).load(f"{path}.staging").count()
+    counted = Observation()  # the rows that the write itself sees, so the plan runs once
+    (canonical(df) if form == "csv" else df).observe(counted, F.count("*").alias("rows")).write.mode("overwrite").format(form).options(**options).save(f"{path}.staging")
+    expected, written = counted.get["rows"], spark.read.format(form).options(**options).load(f"{path}.staging").count()
     if expected != written or not fs.rename(staging, target):
         fs.delete(staging, True)
         raise OSError(f"{path}: {written} rows written, {expected} expected")
     return written
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A small document with sorted keys, written beside its place and renamed; an existing one is replaced."""
+    jvm = spark.sparkContext._jvm
+    target, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staging")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(staging, True)
+    try:
+        out.write(bytearray((json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode()))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(staging, target):
+        raise OSError(path)
+
+
+def write_set(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> dict[str, int]:
+    """Writes several tables so that either all or none stand in ``folder``: they are staged together and renamed at once."""
+    spark = next(iter(tables.values())).sparkSession
+    jvm = spark.sparkContext._jvm
+    target, staging = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(f"{folder}.staging")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(folder)
+    fs.delete(staging, True)
+    try:
+        written = {name: write_table(df, f"{folder}.staging/{name}", form) for name, df in tables.items()}
+    except Exception:
+        fs.delete(staging, True)
+        raise
+    if not fs.rename(staging, target):
+        raise OSError(folder)
+    return written
+
+
+def wide_predictions(rows: DataFrame, p: str, t: str, classes: int) -> DataFrame:
+    """The other columns, then probability_<k>, threshold_<k> and decision_<k> of each class."""
+    wide = [F.get(p, k).alias(f"probability_{k}") for k in range(classes)] + [F.get(t, k).alias(f"threshold_{k}") for k in range(classes)]
+    decided = [(F.get(p, k) >= F.get(t, k)).cast("int").alias(f"decision_{k}") for k in range(classes)]
+    return rows.select(*(c for c in rows.columns if c not in (p, t)), *wide, *decided)
+
+
 def fingerprint(df: DataFrame) -> str:
     """A hash of the rows that no order changes: sums of two 64-bit hashes, and the count."""
     text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
