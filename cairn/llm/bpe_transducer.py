@@ -151,6 +151,17 @@ class MergeTransducer:
         for u, v in self.parts[256:]:
             stands.append(stands[u] and stands[v] and self._border_holds(u, v))
         self.token = {x: n for x, n in number.items() if stands[n]}
+        # A tree of the tokens read from their ends: what a prefix ends with is found in as many steps as it has bytes.
+        self.back, self.ends = {}, [-1]
+        for x, n in self.token.items():
+            node = 0
+            for b in reversed(x):
+                to = self.back.get(node << 8 | b)
+                if to is None:
+                    to = self.back[node << 8 | b] = len(self.ends)
+                    self.ends.append(-1)
+                node = to
+            self.ends[node] = n
         self.longest = max(map(len, self.token))
         self.most = most_pairs
 
@@ -179,19 +190,21 @@ class MergeTransducer:
 
     def _path(self, piece: bytes) -> tuple[list[int], list[int]]:
         """The state after every prefix of a piece: its last token, and its token count, the sum of the emissions."""
-        get, known, n = self.token.get, self.fits.get, len(piece)
+        get, known, back, ends, n = self.token.get, self.fits.get, self.back.get, self.ends, len(piece)
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            begin = end - self.longest if end > self.longest else 0
-            if begin == 0:
-                t = get(piece[:end])
-                if t is not None:
-                    last[end], count[end] = t, 1
-                    continue
-                begin = 1
-            for begin in range(begin, end):
-                t = get(piece[begin:end])
-                if t is not None:
+            t = get(piece[:end]) if end <= self.longest else None
+            if t is not None:
+                last[end], count[end] = t, 1
+                continue
+            node, begin = 0, end
+            while begin > 1:
+                begin -= 1
+                node = back(node << 8 | piece[begin])
+                if node is None:
+                    break
+                t = ends[node]
+                if t >= 0:
                     fits = known((last[begin], t))
                     if fits is None:
                         fits = self.beside(last[begin], t)

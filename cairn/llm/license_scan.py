@@ -48,20 +48,27 @@ def _matches(docs: DataFrame, templates: DataFrame, n: int, percent: int, bands:
     split = docs.select(_words(F.col(text_col)).alias("words"))
     near = split.select(F.monotonically_increasing_id().alias("key"), _shingles("words", n).alias("shingles")).where(F.arrays_overlap("shingles", every))
 
-    lists = F.array(*(F.struct(F.lit(r["name"]).alias("name"), F.lit(r["length"]).alias("length"), F.array(*(F.lit(x) for x in r["shingles"])).alias("own")) for r in known))
-    asked = near.withColumn("t", F.explode(lists)).where(F.arrays_overlap("shingles", "t.own"))
-    stride = F.greatest(F.floor(F.col("t.length") / 4).cast("int"), F.lit(1))
-    size = F.ceil(F.col("t.length") * 100 / percent).cast("int") + stride - 1 - (n - 1)  # shingles in a window
-    starts = F.sequence(F.lit(0), F.size("shingles") - 1, stride)
-    windows = asked.select("key", "t", "shingles", F.explode(starts).alias("start"), size.alias("size")).select("key", "t", "start", F.slice("shingles", F.col("start") + 1, F.col("size")).alias("window")).where(F.arrays_overlap("window", "t.own"))
+    # Windows of one length serve all templates of that length; which of those they hold is for the bands to say.
+    own_sizes = {r["length"]: min(len(x["shingles"]) for x in known if x["length"] == r["length"]) for r in known}
+    lengths = F.array(*(F.struct(F.lit(x).alias("length"), F.lit(k).alias("least")) for x, k in sorted(own_sizes.items())))
+    stride = F.greatest(F.floor(F.col("length") / 4).cast("int"), F.lit(1))
+    size = F.ceil(F.col("length") * 100 / percent).cast("int") + stride - 1 - (n - 1)  # shingles in a window
+    # Only windows over a place of a known shingle can hold a template: of the places, each names the windows over it.
+    known_here = near.withColumn("hits", F.array_intersect("shingles", every))
+    places = F.array_compact(F.transform("shingles", lambda x, i: F.when(F.array_contains("hits", x), i)))
+    placed = known_here.select("key", "shingles", places.alias("places")).withColumn("l", F.explode(lengths)).select("key", "l.*", "shingles", "places").select("key", "length", "least", "shingles", "places", size.alias("size"), stride.alias("stride"))
+    first = lambda p: F.greatest(F.lit(0), F.ceil((p - F.col("size") + 1) / F.col("stride"))).cast("int") * F.col("stride")
+    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(first(p), p - p % F.col("stride"), F.col("stride")))))
+    enough = 100 * F.size(F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("size")))) >= percent * F.col("least")
+    windows = placed.withColumn("start", F.explode(starts)).where(enough).select("key", "length", "start", F.slice("shingles", F.col("start") + 1, F.col("size")).alias("window"))
     signed = windows.withColumn("bands", _bands(F.col("window"), bands, rows))
-    templates_signed = spark.createDataFrame([(r["name"], r["shingles"]) for r in known], "name string, own array<long>").withColumn("bands", _bands(F.col("own"), bands, rows))
+    templates_signed = spark.createDataFrame([(r["name"], r["length"], r["shingles"]) for r in known], "name string, length int, own array<long>").withColumn("bands", _bands(F.col("own"), bands, rows))
     # One row for each band; the side of the templates has a few hundred.
-    by_band = templates_signed.select(F.col("name").alias("found"), F.posexplode("bands").alias("band", "value"))
-    exploded = signed.select("key", "t", "start", "window", F.posexplode("bands").alias("band", "value"))
-    retrieved = exploded.join(F.broadcast(by_band), ["band", "value"]).where("t.name = found").select("key", "t", "start", "window").dropDuplicates(["key", "t", "start"])
-    share = (100.0 * F.size(F.array_intersect("window", "t.own")) / F.size("t.own")).alias("share")
-    return retrieved.select("key", F.col("t.name").alias("name"), "start", share).where(F.col("share") >= percent)
+    by_band = templates_signed.select("name", "length", "own", F.posexplode("bands").alias("band", "value"))
+    exploded = signed.select("key", "length", "start", "window", F.posexplode("bands").alias("band", "value"))
+    retrieved = exploded.join(F.broadcast(by_band), ["length", "band", "value"]).select("key", "name", "start", "window", "own").dropDuplicates(["key", "name", "start"])
+    share = (100.0 * F.size(F.array_intersect("window", "own")) / F.size("own")).alias("share")
+    return retrieved.select("key", "name", "start", share).where(F.col("share") >= percent)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, n: int = 5, percent: int = 80, bands: int = 40, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,12 +78,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, n: i
     quarter of its words, their length 100 / ``percent`` of its words and a stride less one. So a copy into which as
     many words were inserted as ``percent`` admits to be lost lies within one, wherever it begins. Then window and
     template have a Jaccard similarity of about 0.45 even at 80 in 100, and ``bands`` of ``rows`` rows collide with a
-    probability above 0.999. Windows without any shingle of the template cannot match and have no signature. A template
-    of fewer than ``n`` words is one shingle of all its words.
+    probability above 0.999. Bands alone say which templates a window is compared with; windows with fewer known
+    shingles, of whichever templates, than one of that length needs cannot match and have no signature. A template of fewer than ``n`` words is one shingle of all its words.
 
     Returns a row for each row: the id, n_licenses, licenses (names, sorted, joined by commas; empty for none),
     n_windows (windows that match), best_percent (largest share found, 0 to 100). A null or short text matches
-    nothing. Templates are few and given as an argument; one without a word is refused. Null and repeated
+    nothing; a very long one has more windows. A share of just ``percent`` matches, and all templates that match are
+    named, equal ones too. Rows must come in the same order when the input is read again. Templates are few and given as an argument; one without a word is refused. Null and repeated
     ids are rows like any other, and other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession

@@ -169,6 +169,98 @@ def test_licenses_with_inserted_words_and_short_templates(spark):
     assert sorted((r["doc_id"], r["licenses"]) for r in got) == [(0, "short"), (1, ""), (2, ""), (3, "short"), (4, "long")]
 
 
+def test_licenses_recall_against_containment(spark):
+    r, texts = random.Random(9), []
+    for i in range(90):
+        words = license_scan.TEMPLATES[r.choice(["MIT-text", "BSD-text", "CC-BY-4.0", "MPL-2.0-notice"])].split()
+        for _ in range(r.randint(0, 3)):
+            words.insert(r.randrange(len(words)), r.choice(VOCAB))
+        texts.append(f"{prose(r.randint(0, 90), i)} {' '.join(words)} {prose(30, i + 500)}")
+    split = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
+    grams = lambda w, n: [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+    want = set()
+    for i, t in enumerate(texts):
+        own = split(t)
+        for name, template in license_scan.TEMPLATES.items():
+            words = split(template)
+            n = min(5, len(words))
+            asked, found = set(grams(words, n)), grams(own, n)
+            size = -(-len(words) * 100 // 80) - n + 1
+            if any(100 * len(asked & set(found[k : k + size])) >= 80 * len(asked) for k in range(max(1, len(found)))):
+                want.add((i, name))
+    got = {(x["doc_id"], n) for x in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for n in x["licenses"].split(",") if n}
+    assert len(want & got) >= 0.99 * len(want) and len(want) > 40
+
+
+def test_one_long_word_takes_little_time():
+    import time
+
+    from tokenizers import Tokenizer as Library
+
+    word = "".join(random.Random(4).choice("abcdefgh") for _ in range(60_000))
+    own = Tokenizer(token_counts.read_vocabulary(vocabulary_path()))
+    began = time.perf_counter()
+    assert own.count_texts([word]).tolist() == [len(Library.from_file(vocabulary_path()).encode(word, add_special_tokens=False).ids)]
+    assert time.perf_counter() - began < 10
+
+
+def test_packed_ids_and_placement(docs):
+    import zlib
+
+    from tokenizers import Tokenizer as Library
+
+    library = Library.from_file(vocabulary_path())
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in ROWS}
+    for r in packing.pack(docs, vocabulary_path()).collect():
+        part = ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]
+        assert zlib.crc32(part) == r["ids_crc32"]
+    lengths, capacity = np.random.default_rng(2).integers(1, 30, 300), 30
+    gaps, counts = [], {}
+    bins, _ = packing.sum_of_squares(lengths, capacity)
+    for n, to in zip(lengths.tolist(), bins.tolist()):
+        total = lambda c: sum(v * v for g, v in c.items() if 0 < g < capacity)
+
+        def after(gap):
+            c = dict(counts)
+            if gap < capacity:
+                c[gap] -= 1
+            c[gap - n] = c.get(gap - n, 0) + 1
+            return total(c)
+
+        open_gaps = {g for g in gaps if g >= n} | {capacity}
+        least = min(map(after, open_gaps))
+        gap = gaps[to] if to < len(gaps) else capacity
+        assert after(gap) == least
+        if gap == capacity:
+            gaps.append(capacity)
+        else:
+            counts[gap] -= 1
+        gaps[to] = gap - n
+        counts[gap - n] = counts.get(gap - n, 0) + 1
+
+
+def test_line_dedup_of_many_lines_of_one_pattern(spark):
+    """Near, far and equal lines made from one long line, some without an id, against the plain rule."""
+    r, base, rows = random.Random(8), prose(30, 90), []
+    for i in range(70):
+        words = base.split()
+        if i % 3:
+            for _ in range(i % 4):
+                words[r.randrange(len(words))] = r.choice(VOCAB)
+        line = list(" ".join(words))
+        if i % 2:
+            line[r.randrange(len(line))] = "#"
+        rows.append((None if i % 10 == 9 else i, "".join(line), "k"))
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, line string").coalesce(1), with_text=True)
+    seen, want = [], []
+    for _, t, _ in rows:
+        want.append("" if any(brute.edit_distance(t, y) <= 2 for y in seen) else t)
+        seen.append(t)
+    assert sorted(x["kept_text"] for x in got.collect()) == sorted(want)
+    assert 10 < want.count("") < 60
+
+
 def test_tokens_match_the_library(docs):
     from tokenizers import Tokenizer as Library
 
@@ -218,6 +310,10 @@ def test_empty_tables(docs):
     assert packing.pack(empty, vocabulary_path()).count() == 0
     assert license_scan.scan_licenses(empty).count() == 0
     assert lang_id.predict(empty, lang_id.fit(empty)).count() == 0
+    assert token_counts.count_tokens(empty, vocabulary_path()).count() == 0
+    bench = empty.select("doc_id", "text").withColumnRenamed("doc_id", "item_id")
+    assert decontaminate.find_contamination(empty, bench).count() == 0
+    assert decontaminate.find_contamination(docs, bench).where("n_hit > 0").count() == 0
 
 
 def test_pipeline(spark, docs):
