@@ -54,9 +54,9 @@ def _matches(docs: DataFrame, templates: DataFrame, n: int, percent: int, bands:
     stride = F.greatest(F.floor(F.col("length") / 4).cast("int"), F.lit(1))
     size = F.ceil(F.col("length") * 100 / percent).cast("int") + stride - 1 - (n - 1)  # shingles in a window
     # Only windows over a place of a known shingle can hold a template: of the places, each names the windows over it.
-    known_here = near.withColumn("hits", F.array_intersect("shingles", every))
-    places = F.array_compact(F.transform("shingles", lambda x, i: F.when(F.array_contains("hits", x), i)))
-    placed = known_here.select("key", "shingles", places.alias("places")).withColumn("l", F.explode(lengths)).select("key", "l.*", "shingles", "places").select("key", "length", "least", "shingles", "places", size.alias("size"), stride.alias("stride"))
+    # The intersection is bound to a name of the lambda; as a column it would be worked out anew for each shingle.
+    within = F.transform(F.array(F.array_intersect("shingles", every)), lambda h: F.array_compact(F.transform("shingles", lambda x, i: F.when(F.array_contains(h, x), i))))
+    placed = near.select("key", "shingles", F.get(within, F.lit(0)).alias("places")).withColumn("l", F.explode(lengths)).select("key", "l.*", "shingles", "places").select("key", "length", "least", "shingles", "places", size.alias("size"), stride.alias("stride"))
     first = lambda p: F.greatest(F.lit(0), F.ceil((p - F.col("size") + 1) / F.col("stride"))).cast("int") * F.col("stride")
     starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(first(p), p - p % F.col("stride"), F.col("stride")))))
     enough = 100 * F.size(F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("size")))) >= percent * F.col("least")
