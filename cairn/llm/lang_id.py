@@ -34,7 +34,7 @@ def grams(word: str, n: int) -> list[str]:
 class WordBackoff:
     """Log frequencies by language of words (``tables[0]``) and of n-grams (``tables[n]``): the row of each in a matrix."""
 
-    def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]], most_words: int = 50_000) -> None:
+    def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]], most_words: int = 200_000) -> None:
         self.langs, self.tables, self.most = langs, tables, most_words
         self.rows: dict[str, int] = {}
         self.matrix = np.zeros((most_words, len(langs)), np.float32)
