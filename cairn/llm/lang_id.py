@@ -39,33 +39,39 @@ class WordBackoff:
         self.rows: dict[str, int] = {}
         self.matrix = np.zeros((most_words, len(langs)), np.float32)
 
-    def vector(self, word: str) -> np.ndarray:
-        rows, matrix = self.tables[0]
-        at = rows.get(word)
-        if at is not None:
-            return matrix[at]
-        for n in range(LONGEST, 0, -1):
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """The row of each known word; of others, the mean of the rows of their longest n-grams of which any is known, or 0."""
+        out, left, at = np.zeros((len(words), len(self.langs)), np.float32), words, np.arange(len(words))
+        for n in (0, *range(LONGEST, 0, -1)):
             rows, matrix = self.tables[n]
-            found = [i for g in grams(word, n) if (i := rows.get(g)) is not None]
-            if found:
-                return matrix[found].mean(axis=0)
-        return np.zeros(len(self.langs))
+            found, sizes = [], []
+            for w in left:
+                hits = [i for g in (grams(w, n) if n else (w,)) if (i := rows.get(g)) is not None]
+                found += hits
+                sizes.append(len(hits))
+            size = np.array(sizes, np.int64)
+            some = size > 0
+            if len(found):
+                begin = (np.cumsum(size) - size)[some]
+                out[at[some]] = np.add.reduceat(matrix.take(found, axis=0), begin, axis=0) / size[some, None].astype(np.float32)
+            left, at = [w for w, c in zip(left, sizes) if not c], at[~some]
+            if not left:
+                break
+        return out
 
     def _sum(self, words: list[str]) -> np.ndarray:
         """The sum of the words' vectors. Those of words met lately are kept, in a table of fixed size."""
-        total, known = np.zeros(len(self.langs)), self.rows.get
+        total = np.zeros(len(self.langs))
         for a in range(0, len(words), self.most):
             part = words[a : a + self.most]
             if len(self.rows) + len(part) > self.most:
                 self.rows.clear()
-            at = []
-            for w in part:
-                i = known(w)
-                if i is None:
-                    i = self.rows[w] = len(self.rows)
-                    self.matrix[i] = self.vector(w)
-                at.append(i)
-            total += self.matrix[at].sum(axis=0, dtype=float)
+            fresh = [w for w in dict.fromkeys(part) if w not in self.rows]
+            if fresh:
+                begin = len(self.rows)
+                self.rows.update(zip(fresh, range(begin, begin + len(fresh))))
+                self.matrix[begin : begin + len(fresh)] = self.vectors(fresh)
+            total += self.matrix.take(list(map(self.rows.__getitem__, part)), axis=0).sum(axis=0, dtype=float)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:

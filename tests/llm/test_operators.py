@@ -1,5 +1,6 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing names, against plain versions."""
 
+import math
 import random
 
 import numpy as np
@@ -136,6 +137,33 @@ def test_language(spark):
     assert lang_id.fit(docs.limit(0)).predict("word") == ("und", 0.0)
 
 
+def test_language_scores_by_the_plain_rule(spark):
+    """Word by word, over known, unseen and foreign words; a table that holds five words gives the same."""
+    turned = [w[::-1] + "ß" for w in VOCAB]
+    rows = [(i, " ".join(random.Random(i).choices((VOCAB, turned)[i % 2], k=30)), ("aa", "bb")[i % 2]) for i in range(60)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def plain(text):
+        total = [0.0, 0.0]
+        for w in lang_id.letter_words(text):
+            for n in (0, 5, 4, 3, 2, 1):
+                known, matrix = model.tables[n]
+                hits = [matrix[known[g]].tolist() for g in (lang_id.grams(w, n) if n else [w]) if g in known]
+                if hits:
+                    total = [x + sum(h[k] for h in hits) / len(hits) for k, x in enumerate(total)]
+                    break
+        best = total.index(max(total))
+        return model.langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+    r = random.Random(13)
+    unseen = ["".join(r.choice("etaoinshrqxß中") for _ in range(r.randint(1, 9))) for _ in range(200)]
+    for text in [" ".join(r.choices(VOCAB + turned + unseen, k=r.randint(1, 40))) for _ in range(150)] + ["中", "qx qx"]:
+        for own in (model, lang_id.WordBackoff(model.langs, model.tables, most_words=5)):
+            lang, score = own.predict(text)
+            want, share = plain(text)
+            assert score == pytest.approx(share, rel=1e-4) and (lang == want or abs(share - 0.5) < 1e-4)
+
+
 def test_substrings(docs):
     got = by_id(substring.dedup_substrings(docs))
     assert {i: tuple(r[1:]) for i, r in got.items()} == brute.substrings(ROWS)
