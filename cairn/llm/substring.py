@@ -21,6 +21,29 @@ from cairn.llm.common import Sums, gram_hashes, hash_words, mix64, slices, store
 
 GRAM = 8
 SLICE_CHARS = 500_000
+HOT_SHARE = 1000
+SALTS = 16
+
+
+def _most_frequent(counted: DataFrame, on: list[str]) -> DataFrame:
+    """The keys of (on, c) that hold more than a thousandth of all counted rows: fewer than a thousand, so they can be broadcast."""
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    return counted.where(F.col("c") * HOT_SHARE > total).select(*on, F.lit(True).alias("hot"))
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """Rows with a salt: rows of hot keys are dealt over several tasks by their place, others have salt 0."""
+    return rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key", "lo"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+
+
+def _every_salt(keys: DataFrame) -> DataFrame:
+    """Keys with each salt that their rows may have."""
+    return keys.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def _marked(rows: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with ``hot``, whether their key is one of those (null counts as no)."""
+    return rows.join(F.broadcast(hot), on, "left")
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,6 +91,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, if asked for, kept_text. A null text
     has no words. Null and repeated ids are rows like any other; other columns are ignored, whatever their names.
     Equality is that of two independent 64-bit hashes.
+    The input is read several times and must give its rows in the same order each time, as a table does. A very long
+    text is one row of one task; an anchor or a block that very many rows share is dealt over several tasks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -81,14 +106,20 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
 
     found = keyed.select("key", "text").mapInArrow(cut, "key long, lo int, n int, anchor long, content long")
     by_anchor = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("least"), F.max("content").alias("most")).where("c > 1")
+    by_anchor = stored(by_anchor.select("anchor", "c", (F.col("least") != F.col("most")).alias("mixed")))
+    hot = _most_frequent(by_anchor, ["anchor"])
+    recurring = _every_salt(_marked(by_anchor.select("anchor", "mixed"), hot, ["anchor"])).drop("hot")
     # Read several times, so it is written once, instead of parsing texts again.
-    shared = stored(found.join(by_anchor.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchor"))
+    shared = stored(_salted(_marked(found, hot, ["anchor"])).join(recurring, ["anchor", "salt"]).drop("salt"))
     whole = shared.where("NOT mixed").select("key", "lo", "n")
     mixed = shared.where("mixed")
-    variants = mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo", "n")).alias("r"))
-    again = mixed.join(variants.where("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("key", "lo", "n")
+    pair = ["anchor", "content"]
+    variants = stored(mixed.groupBy(*pair).agg(F.count("*").alias("c"), F.min(F.struct("key", "lo", "n")).alias("r"), F.first("hot").alias("hot")))
+    frequent = _most_frequent(variants.where("c > 1"), pair)
+    doubled = _every_salt(_marked(variants.where("c > 1").select(*pair), frequent, pair)).drop("hot")
+    again = _salted(_marked(mixed.drop("hot"), frequent, pair)).join(doubled, [*pair, "salt"], "left_semi").select("key", "lo", "n")
     # One occurrence stands for each variant of a block; the windows of variants that occur once are still to be judged.
-    chosen = variants.select("r.key", F.struct("r.lo", "r.n", "anchor", (F.col("c") == 1).alias("once")).alias("block")).groupBy("key").agg(F.collect_list("block").alias("blocks"))
+    chosen = variants.select("r.key", F.struct("r.lo", "r.n", "anchor", (F.col("c") == 1).alias("once"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("block")).groupBy("key").agg(F.collect_list("block").alias("blocks"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,18 +128,18 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
             for a, b in slices(texts, SLICE_CHARS):
                 words, counts = hash_words(texts[a:b])
                 flat, owner = every.slice(a, b - a).flatten(), np.repeat(np.arange(b - a), every.slice(a, b - a).value_lengths().to_numpy())
-                lo, n, anchor, once = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                lo, n, anchor, once, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
                 of = np.repeat(np.arange(len(lo)), n)
                 place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 start = lo[of] + place + (np.cumsum(counts) - counts)[owner[of]]
                 content = Sums(words).of(start, start + window)
                 keys = batch.column(0).to_numpy()[a:b][owner[of]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((lo[of] + place).astype(np.int32)), pa.array(anchor[of]), _signed(content), pa.array(once[of])], ["key", "lo", "anchor", "content", "once"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((lo[of] + place).astype(np.int32)), pa.array(anchor[of]), _signed(content), pa.array(once[of]), pa.array(hot[of])], ["key", "lo", "anchor", "content", "once", "hot"])
 
     # Nothing is written between here and the last join, and the same columns are joined: so texts are shuffled once for both.
-    single = keyed.join(chosen, "key").select("key", "id", "text", "blocks").mapInArrow(windows, "key long, lo int, anchor long, content long, once boolean")
-    repeated = single.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.max("once").alias("any")).where("c > 1 AND any").select("anchor", "content")
-    edges = single.where("once").join(repeated, ["anchor", "content"], "left_semi").select("key", "lo", F.lit(1).alias("n"))
+    single = keyed.join(chosen, "key").select("key", "id", "text", "blocks").mapInArrow(windows, "key long, lo int, anchor long, content long, once boolean, hot boolean")
+    repeated = single.groupBy(*pair).agg(F.count("*").alias("c"), F.max("once").alias("any"), F.first("hot").alias("hot")).where("c > 1 AND any")
+    edges = _salted(single.where("once")).join(_every_salt(repeated).select(*pair, "salt"), [*pair, "salt"], "left_semi").select("key", "lo", F.lit(1).alias("n"))
     spans = whole.unionByName(again).unionByName(edges).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

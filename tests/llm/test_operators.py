@@ -169,6 +169,15 @@ def test_substrings(docs):
     assert {i: tuple(r[1:]) for i, r in got.items()} == brute.substrings(ROWS)
 
 
+def test_substrings_of_a_passage_that_most_texts_share(spark):
+    r = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(12)) + f" {passage} " + ("same end " * 3 if i % 3 else f"e{i} " * 9)) for i in range(120)]
+    rows += [(i, "again " * r.choice((34, 35, 36, 80))) for i in range(120, 150)]
+    got = by_id(substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: tuple(x[1:]) for i, x in got.items()} == brute.substrings(rows)
+
+
 def test_ngram_join(docs):
     got = by_id(ngram_join.jaccard_components(docs))
     named = [(i, t) for i, t in ROWS if i is not None]
