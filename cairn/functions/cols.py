@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,3 +134,17 @@ def l2(v: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def section(text: Column, heading: str, following: str = "\n## ") -> Column:
+    """What stands between the first place of a heading and the next heading, or the end; empty where it is absent."""
+    at = F.instr(text, heading)
+    rest = F.substring(text, at + len(heading), F.length(text))
+    body = F.when(F.instr(rest, following) > 0, F.substring(rest, F.lit(1), F.instr(rest, following) - 1)).otherwise(rest)
+    return F.when(at > 0, F.trim(body)).otherwise("")
+
+
+def without_lines(text: Column, terms: list[str]) -> Column:
+    """The lines that hold none of some terms, by case."""
+    kept = F.filter(F.split(text, "\n"), lambda line: ~reduce(or_, (line.contains(t) for t in terms)))
+    return F.trim(F.array_join(kept, "\n"))

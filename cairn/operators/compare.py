@@ -89,3 +89,23 @@ def conclusion(low: Column, high: Column, gain: Column) -> Column:
     """What a difference and its interval support: supported_gain, supported_loss, or inconclusive with the direction seen."""
     seen = F.when(F.abs(gain) <= TIE, "equal").when(gain > 0, "inconclusive_gain").otherwise("inconclusive_loss")
     return F.when(low > 0, "supported_gain").when(high < 0, "supported_loss").otherwise(seen)
+
+
+def matrix_cells(wide: DataFrame, truth: str, prefix: str = "predicted_class_") -> DataFrame:
+    """(truth, predicted, n) of a table with a row for each true class and a column for each predicted one."""
+    names = [c for c in wide.columns if c.startswith(prefix)]
+    long = wide.unpivot(truth, names, "_name", "_n")
+    return long.select(F.col(truth).cast("int").alias("truth"), F.substring(F.col("_name"), len(prefix) + 1, 20).cast("int").alias("predicted"), F.col("_n").cast("long").alias("n"))
+
+
+def matrix_rows(confusion: DataFrame, classes: list[int], prefix: str = "predicted_class_") -> DataFrame:
+    """A row for each true class of (truth, predicted, n) and a column for each of ``classes``; absent cells are 0."""
+    n = lambda c: F.coalesce(F.sum(F.when(F.col("predicted") == c, F.col("n"))), F.lit(0))
+    return confusion.groupBy("truth").agg(*(n(c).alias(f"{prefix}{c}") for c in classes))
+
+
+def match_kind(truth: Column, predicted: Column) -> Column:
+    """exact, partial or miss: how an array of predicted classes meets that of the true ones; null where either is."""
+    common = F.size(F.array_intersect(truth, predicted))
+    exact = (F.size(F.array_except(truth, predicted)) == 0) & (F.size(F.array_except(predicted, truth)) == 0)
+    return F.when(truth.isNull() | predicted.isNull(), None).when(exact, "exact").when(common > 0, "partial").otherwise("miss")

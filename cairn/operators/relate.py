@@ -178,3 +178,9 @@ def unpaired(models: dict[str, DataFrame], key: list[str]) -> DataFrame:
 def by_rules(rows: DataFrame, labels: str, rules: DataFrame) -> DataFrame:
     """Rules (position, label, text) that apply to each row's array of labels, in the rules' order: one row for each."""
     return rows.withColumn("label", F.explode(labels)).join(F.broadcast(rules), "label").drop(labels)
+
+
+def corrections(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:
+    """One row: how many keys both sides have (matched), and how many of them have another value afterwards (corrected). Keys are unique."""
+    joined = before.select(*key, F.col(value).alias("_a")).join(after.select(*key, F.col(value).alias("_b")), key)
+    return joined.agg(F.count("*").alias("matched"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("corrected"))

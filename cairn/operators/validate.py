@@ -66,3 +66,31 @@ def changes(before: DataFrame, after: DataFrame, name: str, digest: str) -> Data
     a, b = before.select(name, F.lit(True).alias("_a"), F.col(digest).alias("_x")), after.select(name, F.lit(True).alias("_b"), F.col(digest).alias("_y"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_x").eqNullSafe(F.col("_y")), "same").otherwise("changed")
     return a.join(b, name, "full_outer").select(name, change.alias("change"))
+
+
+def id_list_reason(ids: Column, classes: int) -> Column:
+    """Why an array is no list of class ids: repeated, out_of_range (also a null), or unsorted; empty text where it is one or is null."""
+    rules = {
+        "repeated": F.size(ids) != F.size(F.array_distinct(ids)),
+        "out_of_range": F.exists(ids, lambda x: F.coalesce((x < 0) | (x >= classes), F.lit(True))),
+        "unsorted": F.array_sort(ids) != ids,
+    }
+    return first_violation(rules)
+
+
+def report_reason(p: Column, thresholds: Column, ids: Column, names: Column, known: list[str]) -> Column:
+    """Why the inputs of a report contradict each other; empty text if they don't.
+
+    length: probabilities or thresholds aren't one for each known name; out_of_range: one isn't within 0 and 1;
+    then the reasons of id_list_reason; names: they aren't those of the ids, in the ids' order.
+    """
+    lengths = F.coalesce((F.size(p) == len(known)) & (F.size(thresholds) == len(known)), F.lit(False))
+    outside = F.exists(F.concat(p, thresholds), lambda x: ~F.coalesce(x.between(0, 1), F.lit(False)))
+    want = F.transform(ids, lambda i: F.get(F.array(*map(F.lit, known)), i))
+    listed = id_list_reason(ids, len(known))
+    return F.when(~lengths, "length").when(outside, "out_of_range").when(listed != "", listed).when(~F.coalesce(names.eqNullSafe(want), F.lit(False)), "names").otherwise("")
+
+
+def duplicate_destinations(rows: DataFrame, path: str) -> DataFrame:
+    """(path in lower case, n) of destinations that several rows would write; nulls are none."""
+    return rows.where(F.col(path).isNotNull()).groupBy(F.lower(path).alias(path)).agg(F.count("*").alias("n")).where("n > 1")

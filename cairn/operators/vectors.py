@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.validate import first_violation
+
 
 def _fold(v: Column, f) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + f(x.cast("double")))
@@ -54,3 +56,44 @@ def allclose(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-6) -> di
     within = F.zip_with(x, y, lambda p, q: F.abs(p - q) <= atol + rtol * F.abs(q))
     gaps = F.zip_with(x, y, lambda p, q: F.abs(p - q))
     return {"close": (F.size(a) == F.size(b)) & F.forall(within, lambda c: F.coalesce(c, F.lit(False))), "max_difference": F.array_max(gaps), "mean_difference": F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda s, c: s + c), F.size(a).cast("double"))}
+
+
+def cache_check(rows: DataFrame, index: str, vector: str, expected: int, dimension: int) -> DataFrame:
+    """One row about a stored table of vectors, whose indices should be 0 .. expected - 1, once each.
+
+    Columns: rows, unique_indices, missing, duplicates (rows beyond the first of an index), out_of_range, bad_shape,
+    not_finite (vectors), zero_norm, status (PASS where all of the faults are 0). A null vector has a bad shape.
+    """
+    v = F.col(vector)
+    whole = F.coalesce(F.size(v) == dimension, F.lit(False)) & v.isNotNull()
+    one = rows.select(F.col(index).alias("i"), (~whole).alias("shape"), (whole & F.exists(v, lambda x: x.isNull() | _odd(x))).alias("odd"), (whole & F.forall(v, lambda x: x == 0)).alias("zero"))
+    by_index = one.groupBy("i").agg(F.count("*").alias("c"), *(F.count_if(c).alias(c) for c in ("shape", "odd", "zero")))
+    inside = F.coalesce(F.col("i").between(0, expected - 1), F.lit(False))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    faults = {"missing": expected - F.count_if(inside), "duplicates": total(F.col("c") - 1), "out_of_range": total(F.when(~inside, F.col("c"))), "bad_shape": total("shape"), "not_finite": total("odd"), "zero_norm": total("zero")}
+    out = by_index.agg(total("c").alias("rows"), F.count("i").alias("unique_indices"), *(c.alias(k) for k, c in faults.items()))
+    sound = F.lit(True)
+    for k in faults:
+        sound = sound & (F.col(k) == 0)
+    return out.withColumn("status", F.when(sound, "PASS").otherwise("FAIL"))
+
+
+def shard_reason(rows: DataFrame, index: str, vector: str, expected: int, dimension: int, provenance: dict[str, str]) -> DataFrame:
+    """Rows of stored shards with ``reason``, the first fault that keeps a row from being taken over; empty for none.
+
+    Faults: provenance (a column of it differs from its value or is null), out_of_range, bad_shape, not_finite,
+    zero_norm, duplicate (an index that several rows without another fault have: none of them is taken).
+    """
+    v, foreign = F.col(vector), F.lit(False)
+    for name, value in provenance.items():
+        foreign = foreign | ~F.col(name).eqNullSafe(F.lit(value))
+    rules = {"provenance": foreign, "out_of_range": ~F.coalesce(F.col(index).between(0, expected - 1), F.lit(False)), "bad_shape": ~F.coalesce(F.size(v) == dimension, F.lit(False)), "not_finite": F.exists(v, lambda x: x.isNull() | _odd(x)), "zero_norm": F.forall(v, lambda x: x == 0)}
+    checked = rows.withColumn("reason", first_violation(rules))
+    several = checked.where("reason = ''").groupBy(index).agg(F.count("*").alias("_c")).where("_c > 1").select(index, F.lit(True).alias("_several"))
+    out = checked.join(several, index, "left")
+    return out.withColumn("reason", F.when((F.col("reason") == "") & F.col("_several"), "duplicate").otherwise(F.col("reason"))).drop("_several")
+
+
+def still_to_do(wanted: DataFrame, judged: DataFrame, index: str) -> DataFrame:
+    """The wanted rows whose index no sound row of ``judged`` (by shard_reason) has."""
+    return wanted.join(judged.where("reason = ''").select(index), index, "left_anti")

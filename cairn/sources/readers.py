@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.cols import roi_name
+from cairn.operators.validate import first_violation
+
 #: Suffixes that count as images.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "dicom", "dcm")
 
@@ -58,3 +61,25 @@ def wall_seconds(lines: DataFrame, start: str, stop: str, order: str = "line_no"
     begin = F.max(F.when(F.col(order) == F.col("_last"), F.col("_at")))
     end = F.min_by("_at", F.when(F.col(text).contains(stop) & (F.col(order) > F.col("_last")), F.col(order)))
     return later.agg((F.unix_timestamp(end) - F.unix_timestamp(begin)).alias("seconds"))
+
+
+def stems(files: DataFrame, path: str = "path") -> DataFrame:
+    """(stem, copies, paths) of files by their name without its suffix; ``paths`` lists them where there are several."""
+    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
+    out = files.groupBy(stem.alias("stem")).agg(F.count("*").alias("copies"), F.array_sort(F.collect_list(path)).alias("paths"))
+    return out.withColumn("paths", F.when(F.col("copies") > 1, F.col("paths")))
+
+
+def class_folders(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
+    """Images in folders named by class: path, class_folder, the parts of each name, and ``reason``, why a file is unsound.
+
+    Reasons: suffix, name (it doesn't parse), class (the folder's number isn't the name's). Only paths and sizes are
+    read. Spark's file source lists no file without bytes, so an empty image is missing here, not unsound.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    folder = F.regexp_extract("path", r"(\d+)[^/]*/[^/]+$", 1).try_cast("int")
+    parts = files.select("path", "length", folder.alias("class_folder"), *(c.alias(k) for k, c in roi_name(name).items()))
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    rules = {"suffix": ~suffix.isin(*suffixes), "name": F.col("class_id").isNull(), "class": ~F.col("class_folder").eqNullSafe(F.col("class_id"))}
+    return parts.withColumn("reason", first_violation(rules))
