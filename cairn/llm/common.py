@@ -43,6 +43,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], parts: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key, where a key may hold very many of the rows.
+
+    Rows are dealt over ``parts`` by a hash of the columns ``spread``; a row of the table goes only to the parts that its
+    key has, so each task gets about a part's share of a frequent key.
+    """
+    if parts <= 1:
+        return rows.join(table, on, how)
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(parts)))
+    return rows.join(rows.select(*on, "_part").distinct().join(table, on), [*on, "_part"], how).drop("_part")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents from which nothing may be learned. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, divergence, lang_id, license_scan, line_dedup, ngram_join, oracle, packing, rule_ensemble, substring, token_counts
+from cairn.llm import collocations, decontaminate, divergence, hard_negatives, lang_id, license_scan, line_dedup, ngram_join, oracle, packing, rule_ensemble, substring, token_counts, url_graph
 from cairn.llm.common import documents, held_out
 
 
@@ -62,9 +63,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id")
+    vectors = vectors.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op12_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_distribution_divergence, op2_decontamination, op3_line_dedup, op4_rule_ensemble, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op2_decontamination, op3_line_dedup, op4_rule_ensemble, op5_language_id, op6_substring_dedup, op7_ngram_jaccard_join, op8_license_scan, op9_token_counts, op10_best_fit_packing, op11_hard_negatives, op12_url_link_graph, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return oracle.SQL | {"op12_url_link_graph": oracle.url_graph_sql(URL_RULES, url_graph.LINK)}
