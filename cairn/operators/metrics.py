@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from cairn.functions.cols import ratio
+from cairn.functions.special import half_binomial_tail
 
 
 def confusion(rows: DataFrame, classes: int, truth: str = "truth", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
@@ -109,27 +109,13 @@ def holm(tests: DataFrame, p: str = "p", order: str = "name", alpha: float = 0.0
     return out.withColumn("rejected", F.col("adjusted") < alpha).drop("_raw")
 
 
-@F.udf(DoubleType())
-def mcnemar_exact(b: int, c: int) -> float:
-    """Two-sided binomial tail of discordant counts; a handful of rows, on integers that no double holds."""
-    from math import comb
-
-    n = b + c
-    return 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
-
-
 def exact_tail(b: Column, c: Column) -> Column:
-    """Two-sided binomial tail of discordant counts, at most 1, from log factorials: for a handful of rows of any counts.
+    """Two-sided binomial tail of discordant counts (the exact McNemar test), at most 1 and 1 where there are none.
 
-    The terms are summed relative to the largest one, so none underflows before the sum is taken.
+    A fixed number of terms for any counts; no Python workers. To about 12 digits.
     """
-    n, least = b + c, F.least(b, c)
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.ln(i.cast("double")))
-    # The logarithm of n over i for i = 0 .. least, each from the one before.
-    logs = F.aggregate(F.slice(steps, 1, least.cast("int")), F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(steps, (n - F.size(a) + 1).cast("int")) - x)))
-    top = F.array_max(logs)
-    total = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(F.ln(total) + top - n * F.ln(F.lit(2.0)))))
+    n = b + c
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * half_binomial_tail(n, F.least(b, c))))
 
 
 def mcnemar_pairs(rows: DataFrame, truth: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:

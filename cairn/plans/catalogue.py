@@ -334,7 +334,7 @@ def mcnemar_counts(spark, d):
 
 @query()
 def mcnemar_exact(spark, d):
-    return mcnemar_counts(spark, d).withColumn("p", metrics.mcnemar_exact(F.col("b"), F.col("c")))
+    return mcnemar_counts(spark, d).withColumn("p", metrics.exact_tail(F.col("b"), F.col("c")))
 
 
 @query("""WITH t AS (SELECT event_type AS name, (count(*) % 97) / 1000.0::DOUBLE AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM t)
@@ -483,19 +483,6 @@ def bootstrap_ci(spark, d):
     return out.withColumns({c: r6(c) for c in ("mean", "se", "low", "high", "p_above", "p_below")})
 
 
-@query()
-def bootstrap_metrics_ci(spark, d):
-    """10,000 replicates of the sources of the documents that vectors stand for (a vector without a source is its own
-    group): differences of four metrics of the two predictions, which share draws. A class that isn't the predicted one
-    has an equal share of what the score leaves."""
-    source = table(spark, d, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.min("source").alias("source"))
-    p = predictions(spark, d).join(source, "vec_id", "left").withColumn("cluster", F.coalesce(F.concat(F.lit("source "), "source"), F.concat(F.lit("vector "), F.col("vec_id").cast("string"))))
-    score = lambda c: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col(c), F.col("score")).otherwise((1 - F.col("score")) / 9))
-    rows = p.select("cluster", "truth", F.col("predicted").alias("first"), F.col("other").alias("second"), score("predicted").alias("first_scores"), score("other").alias("second_scores"))
-    out = resampling.summary(resampling.metric_differences(rows, 10, 10_000, 42), by=("metric",))
-    return out.withColumns({c: r6(c) for c in ("mean", "se", "low", "high", "p_above", "p_below")})
-
-
 @query("SELECT lang, CAST(n AS BIGINT) AS n, CAST(round_even(n * 0.8::DOUBLE, 0) AS BIGINT) AS train, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS val, CAST(n - round_even(n * 0.8::DOUBLE, 0) - round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS test FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1)")
 def split_targets(spark, d):
     return table(spark, d, "documents").where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).withColumns(splits.targets(F.col("n")))

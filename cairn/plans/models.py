@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import cols
-from cairn.operators import compare, metrics, relate
+from cairn.operators import compare, metrics, relate, resampling
 from cairn.plans.catalogue import _versus, _VERSUS, _STEPS, query, r6
-from cairn.plans.tables import PREDICTIONS, predictions
+from cairn.plans.tables import PREDICTIONS, predictions, table
 
 MODELS = {"first": "predicted", "second": "other", "third": "third"}
 THREE = f"SELECT *, CAST(CASE WHEN (vec_id * 6007) % 89 < 58 THEN truth ELSE (truth + (vec_id * 6007) % 89) % 10 END AS INT) AS third FROM ({PREDICTIONS})"
@@ -220,3 +220,17 @@ def multilabel_f1(spark, d):
 def confusion_difference(spark, d):
     rows = predictions(spark, d)
     return metrics.normalised_difference(metrics.confusion(rows, 10), metrics.confusion(rows, 10, "truth", "other")).withColumn("difference", r6("difference"))
+
+
+@query()
+def bootstrap_metrics_ci(spark, d):
+    """10,000 replicates of the sources of the documents that vectors stand for (a vector without a source is its own
+    group): differences of four metrics of the three pairs of models, which share draws. A class that isn't the predicted
+    one has an equal share of what the score leaves. Tested against rows that are really resampled."""
+    source = table(spark, d, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.min("source").alias("source"))
+    p = three(spark, d).join(source, "vec_id", "left").withColumn("cluster", F.coalesce(F.concat(F.lit("source "), "source"), F.concat(F.lit("vector "), F.col("vec_id").cast("string"))))
+    score = lambda c: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col(c), F.col("score")).otherwise((1 - F.col("score")) / 9))
+    rows = p.select("cluster", "truth", *MODELS.values(), *(score(c).alias(f"{m}_scores") for m, c in MODELS.items()))
+    found = resampling.replicate_metrics(rows, {m: (c, f"{m}_scores") for m, c in MODELS.items()}, 10, 10_000, 42)
+    out = resampling.summary(resampling.paired_differences(found, _PAIRS), by=("pair", "metric"))
+    return out.withColumns({c: r6(c) for c in ("mean", "se", "low", "high", "p_above", "p_below")})

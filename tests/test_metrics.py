@@ -1,3 +1,6 @@
+from fractions import Fraction
+from math import comb
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +42,15 @@ def test_sample_metrics(spark):
 
 def test_mcnemar_and_holm(spark):
     rows = spark.createDataFrame([(3, 5), (10, 20), (0, 6), (0, 0)], "b int, c int")
-    assert [r[0] for r in rows.select(metrics.mcnemar_exact("b", "c")).collect()] == pytest.approx([0.7265625, 0.09873714670538902, 0.03125, 1.0])
+    assert [r[0] for r in rows.select(metrics.exact_tail(F.col("b"), F.col("c"))).collect()] == pytest.approx([0.7265625, 0.09873714670538902, 0.03125, 1.0])
+    counts = [(b, c) for b in range(25) for c in range(25)] + [(600, 610), (3000, 3100), (3, 2500)]
+    got = spark.createDataFrame(counts, "b long, c long").select("b", "c", metrics.exact_tail(F.col("b"), F.col("c")).alias("p")).collect()
+    for b, c, p in got:
+        n, least = b + c, min(b, c)
+        whole = min(1.0, float(Fraction(2 * sum(comb(n, i) for i in range(least + 1)), 2**n)))
+        assert p == pytest.approx(whole, rel=1e-10)
+    far = spark.createDataFrame([(10**6, 10**6 + 2000), (10**9, 10**9 + 10**5)], "b long, c long").select(metrics.exact_tail(F.col("b"), F.col("c")).alias("p")).collect()
+    assert [r["p"] for r in far] == pytest.approx([0.1577144701, 0.0253524447], rel=1e-6)  # the normal limit with its half step
     tests = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "name string, p double")
     assert {r["name"]: round(r["adjusted"], 9) for r in metrics.holm(tests).collect()} == {"a": 0.03, "b": 0.06, "c": 0.06}
 

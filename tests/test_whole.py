@@ -46,12 +46,17 @@ def test_log_loss_counts_predictions_of_probability_zero(spark, tmp_path):
     assert got == [(0, pytest.approx(690.775528))]
 
 
-def test_bootstrap_of_metrics_equals_resampled_rows(spark):
+@pytest.mark.parametrize("leaf_size, rows_per_range", [(4096, 20_000), (2, 25)])
+def test_bootstrap_of_metrics_equals_resampled_rows(spark, leaf_size, rows_per_range):
     r, k = random.Random(8), 3
-    rows = [(f"s{r.randrange(6)}", r.randrange(k), r.randrange(k), r.randrange(k), [r.randrange(5) / 4 for _ in range(k)], [r.randrange(5) / 4 for _ in range(k)]) for _ in range(150)]
-    df = spark.createDataFrame(rows, "cluster string, truth int, first int, second int, first_scores array<double>, second_scores array<double>")
-    got = {(x["rep"], x["metric"]): x["difference"] for x in resampling.metric_differences(df, k, 12, 5).collect()}
+    scores = lambda: [r.randrange(5) / 4 for _ in range(k)]
+    rows = [(f"s{r.randrange(6)}", r.randrange(k), r.randrange(k), r.randrange(k), r.randrange(k), scores(), scores(), scores()) for _ in range(150)]
+    df = spark.createDataFrame(rows, "cluster string, truth int, a int, b int, c int, s array<double>, t array<double>, u array<double>")
+    models = {"x": ("a", "s"), "y": ("b", "t"), "z": ("c", "u")}
+    found = resampling.replicate_metrics(df, models, k, 7, 5, block=3, per_task=6, leaf_size=leaf_size, rows_per_range=rows_per_range)
+    got = {(x["rep"], x["pair"], x["metric"]): x["difference"] for x in resampling.paired_differences(found, [("x", "y"), ("x", "z"), ("y", "z")]).collect()}
     clusters = sorted({x[0] for x in rows})
+    leaves = range(-(-len(clusters) // leaf_size))
 
     def plain(sample, p, s):
         f1, support, areas = [], [], []
@@ -63,8 +68,16 @@ def test_bootstrap_of_metrics_equals_resampled_rows(spark):
             areas.append(sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no)))
         return [sum(x[1] == x[p] for x in sample) / len(sample), sum(f1) / k, sum(a * b for a, b in zip(f1, support)) / len(sample), sum(areas) / k]
 
-    for rep in range(12):
-        drawn = np.random.default_rng([5, rep]).integers(0, len(clusters), len(clusters))
-        sample = [x for c in drawn for x in rows if x[0] == clusters[c]]
-        for name, a, b in zip(resampling.METRICS, plain(sample, 2, 4), plain(sample, 3, 5)):
-            assert got[rep, name] == pytest.approx(a - b)
+    for rep in range(7):
+        size = min(3, 7 - rep // 3 * 3)
+        times = np.concatenate([resampling.times_drawn(len(clusters), leaf, size, 5, rep // 3, leaf_size)[rep % 3] for leaf in leaves])
+        assert times.sum() == len(clusters)
+        sample = [x for x in rows for _ in range(times[clusters.index(x[0])])]
+        one, two, three = (plain(sample, 2 + i, 5 + i) for i in range(3))
+        for name, a, b, c in zip(resampling.METRICS, one, two, three):
+            assert [got[rep, p, name] for p in ("y_minus_x", "z_minus_x", "z_minus_y")] == pytest.approx([b - a, c - a, c - b], abs=1e-12)
+
+
+def test_draws_are_even():
+    times = np.concatenate([resampling.times_drawn(50, leaf, 4000, 1, 0, 8) for leaf in range(7)], axis=1)
+    assert (times.sum(1) == 50).all() and abs(times.mean(0) - 1).max() < 0.08 and abs(times.var(0) - 0.98).max() < 0.15
