@@ -18,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lookup, releasing, small, stored
+from cairn.llm.common import lookup, mix64, releasing, small, stored
 
 #: Bytes: A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
+_ZSTD = pa.Codec("zstd", compression_level=1)
 #: Stands for the end of a piece; no word has this byte.
 _END = b"."
 
@@ -43,6 +44,20 @@ def _parts(data: bytes, most: int) -> Iterator[bytes]:
         a = b
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers of equal length as bytes: planes of equal bytes stand together, which compresses them well."""
+    table = np.stack([np.asarray(c, "<i8") for c in columns]) if len(columns) > 1 else np.asarray(columns[0], "<i4")[None]
+    planes = np.ascontiguousarray(table.view(np.uint8).reshape(len(table), -1, table.itemsize).transpose(0, 2, 1))
+    return len(table[0]).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes, columns: int) -> np.ndarray:
+    """The columns, one a row, of what ``_pack`` made of them."""
+    n, width = int.from_bytes(data[:8], "little"), 8 if columns > 1 else 4
+    planes = np.frombuffer(_ZSTD.decompress(data[8:], n * columns * width, asbytes=True), np.uint8).reshape(columns, width, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f"<i{width}").reshape(columns, n).astype(np.int64)
+
+
 class _Shard:
     def __init__(self) -> None:
         self.ids, self.runs, self.size = _Ids({_END: 0}), [], 0
@@ -57,7 +72,7 @@ class _Shard:
         counts = np.bincount(ids, minlength=len(self.ids))
         counts[0] = 0
         lists = [pa.ListArray.from_arrays([0, len(counts)], x) for x in (pa.array(list(self.ids), pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()))]
-        row = [pa.array([shard], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([ids.astype("<i4").tobytes()], pa.binary())]
+        row = [pa.array([shard], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([_pack(ids)], pa.binary())]
         return pa.RecordBatch.from_arrays([*row, *lists], names=["shard", "lang", "n", "ids", "words", "counts"])
 
 
@@ -133,34 +148,74 @@ def intervals(at: np.ndarray, shared: np.ndarray, room: np.ndarray, n: int) -> t
 
 def _local(shard: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The shard's word ids, and the number over all shards of each id (-1 for words that aren't frequent)."""
-    ids = np.frombuffer(shard["ids"][0].as_buffer(), "<i4").astype(np.int64)
+    ids = _unpack(shard["ids"][0].as_py(), 1)[0]
     numbers = np.full(int(ids.max(initial=0)) + 1, -1, np.int64)
     numbers[np.asarray(known["a"])] = np.asarray(known["b"])
     return ids, numbers
 
 
-def _count_pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """Counts of pairs of frequent words in a shard. ``known``: id in the shard, number over all."""
-    schema = pa.schema([("shard", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("c", pa.int64())])
-    if not len(shard) or not len(known):
-        return schema.empty_table()
-    ids, numbers = _local(shard, known)
-    fine = numbers[ids] >= 0
-    linked = np.append(fine[1:], False) & fine
-    begin, counts = intervals(*suffix_array(ids, linked, 2), 2)
-    out = numbers[ids[begin]], numbers[ids[begin + 1]]
-    return pa.table([np.full(len(begin), shard["shard"][0].as_py(), np.int64), *out, counts], schema=schema)
+_CHUNK = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("chunk", pa.binary())])
+
+
+def _pair_counter(buckets: int):
+    """Counts of pairs of frequent words in a shard, a chunk (two numbers and a count each) for each bucket of pairs."""
+
+    def count(shard: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(shard) or not len(known):
+            return _CHUNK.empty_table()
+        ids, numbers = _local(shard, known)
+        fine = numbers[ids] >= 0
+        linked = np.append(fine[1:], False) & fine
+        begin, counts = intervals(*suffix_array(ids, linked, 2), 2)
+        rows = np.stack((numbers[ids[begin]], numbers[ids[begin + 1]], counts))
+        bucket = (mix64(mix64(rows[0].astype(np.uint64)) + rows[1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        rows = rows[:, order := np.lexsort((rows[1], rows[0], bucket))]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        chunks = [_pack(*part) for part in np.split(rows, cuts[1:], axis=1)] if len(cuts) else []
+        return pa.table([bucket[order][cuts], np.full(len(cuts), shard["shard"][0].as_py(), np.int64), pa.array(chunks, pa.binary())], schema=_CHUNK)
+
+    return count
+
+
+def _pair_merger(least: int):
+    """The frequent pairs of a bucket: with their counts over all shards as a chunk without a shard, and to each shard those that it has."""
+
+    def merge(key: tuple, held: pa.Table) -> pa.Table:
+        parts = [_unpack(c, 3) for c in held["chunk"].to_pylist()]
+        rows = np.concatenate(parts, axis=1)
+        shard = np.repeat(np.asarray(held["shard"]), [p.shape[1] for p in parts])
+        order = np.lexsort((rows[1], rows[0]))
+        rows, shard = rows[:, order], shard[order]
+        begins = np.flatnonzero(np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)))
+        counts = np.add.reduceat(rows[2], begins)
+        often = counts >= least
+        mine = np.repeat(often, np.diff(np.append(begins, rows.shape[1])))
+        rows, shard = np.concatenate((np.stack((*rows[:2, begins[often]], counts[often])), rows[:, mine]), axis=1), np.concatenate((np.full(often.sum(), -1), shard[mine]))
+        order = np.argsort(shard, kind="stable")
+        rows, shard = rows[:, order], shard[order]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-2))
+        chunks = [_pack(*part) for part in np.split(rows, cuts[1:], axis=1)] if len(cuts) else []
+        return pa.table([np.full(len(cuts), key[0].as_py(), np.int64), shard[cuts], pa.array(chunks, pa.binary())], schema=_CHUNK)
+
+    return merge
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpack(chunk, 3)], names=["g1", "g2", "f"])
 
 
 def _count_phrases(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """Counts of phrases of three and four words of which each two neighbours are a frequent pair. ``known``: kind, and an id with its number or a pair."""
+    """Counts of phrases of three and four words of which each two neighbours are a frequent pair. ``known``: an id with its number, or a chunk of pairs."""
     schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("g3", pa.int64()), ("g4", pa.int64()), ("c", pa.int64())])
-    pairs = known.filter(pc.equal(known["kind"], 2))
-    if not len(shard) or not len(pairs):
+    chunks = known["chunk"].drop_null().to_pylist()
+    if not len(shard) or not chunks:
         return schema.empty_table()
-    ids, numbers = _local(shard, known.filter(pc.equal(known["kind"], 1)))
+    ids, numbers = _local(shard, known.filter(pc.is_null(known["chunk"])))
+    pairs = np.concatenate([_unpack(c, 3)[:2] for c in chunks], axis=1)
     order = np.argsort(numbers, kind="stable")
-    first, second = (order[np.searchsorted(numbers[order], np.asarray(pairs[c]))] for c in ("a", "b"))
+    first, second = (order[np.searchsorted(numbers[order], x)] for x in pairs)
     frequent, size = np.sort(first * len(numbers) + second), len(numbers)
     keys = ids[:-1] * size + ids[1:]
     at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
@@ -173,22 +228,24 @@ def _count_phrases(shard: pa.Table, known: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def frequent_phrases(cut: DataFrame, least: int = 30) -> DataFrame:
+def frequent_phrases(cut: DataFrame, least: int = 30, words_per_bucket: int = 2_000_000) -> DataFrame:
     """(g, f, lang, word): words and phrases of up to four words that occur ``least`` times or more in a language.
 
     ``g`` lists the numbers of a phrase's words, which each language has for itself; lang and word are set for single
-    words alone.
+    words alone. Pairs meet in buckets by a hash, of about ``words_per_bucket`` words of the texts each, as packed chunks.
     """
     each = cut.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("a", "w")).select("shard", "lang", "a", "w.*").where("counts > 0")
     words = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
     words = stored(words.withColumn("b", F.monotonically_increasing_id()))
     known = stored(each.join(words.withColumnRenamed("word", "words"), ["lang", "words"]).select("shard", F.col("a").cast("long").alias("a"), "b"))
     blobs = cut.select("shard", "ids")
-    pairs = stored(blobs.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_count_pairs, "shard long, g1 long, g2 long, c long"))
-    twos = stored(pairs.groupBy("g1", "g2").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
-    present = pairs.join(twos, ["g1", "g2"]).select("shard", F.lit(2).alias("kind"), F.col("g1").alias("a"), F.col("g2").alias("b"))
-    known = known.select("shard", F.lit(1).alias("kind"), "a", "b").unionByName(present)
-    more = blobs.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_count_phrases, "g1 long, g2 long, g3 long, g4 long, c long")
+    buckets = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // words_per_bucket))
+    counted = blobs.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_pair_counter(buckets), "bucket long, shard long, chunk binary")
+    merged = stored(counted.groupBy("bucket").applyInArrow(_pair_merger(least), "bucket long, shard long, chunk binary"))
+    twos = merged.where("shard < 0").select("chunk").mapInArrow(_pair_rows, "g1 long, g2 long, f long")
+    present = merged.where("shard >= 0").select("shard", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "chunk")
+    told = known.withColumn("chunk", F.lit(None).cast("binary")).unionByName(present)
+    more = blobs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_count_phrases, "g1 long, g2 long, g3 long, g4 long, c long")
     more = more.groupBy("g1", "g2", "g3", "g4").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     grams = twos.select(F.array("g1", "g2").alias("g"), "f").unionByName(more.select(F.filter(F.array("g1", "g2", "g3", "g4"), lambda x: x >= 0).alias("g"), "f"))
     single = words.select(F.array("b").alias("g"), "f", "lang", "word")
