@@ -31,11 +31,29 @@ def deltas(rows: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
     return rows.withColumns({"from_previous": F.col(value) - F.lag(value).over(w), "from_best": F.col(value) - best})
 
 
-def stop_reason(rows: DataFrame, by: list[str], step: str, value: str, min_steps: int, patience: int) -> DataFrame:
-    """Why a history of falling values ended: too_short, no_improvement for ``patience`` steps, or still_improving; with its best step."""
-    best = F.min(F.struct(F.col(value).alias("v"), F.col(step).alias("s"))).alias("best")
-    folded = rows.groupBy(*by).agg(F.count("*").alias("steps"), F.max(step).alias("last"), best)
-    why = F.when(F.col("steps") < min_steps, "too_short").when(F.col("last") - F.col("best.s") >= patience, "no_improvement").otherwise("still_improving")
+#: Why a training ended.
+PATIENCE, IMPROVING, PLATEAU = "convergence_patience_after_minimum_epochs", "reached_maximum_epoch_while_still_improving", "converged_or_plateaued_near_maximum_epoch"
+
+
+def stop_reason(rows: DataFrame, by: list[str], step: str, value: str, minimum: int, patience: int, min_delta: float, size: int = 10) -> DataFrame:
+    """(by, steps, best_step, best_value, reason): where and why a history of falling values ends.
+
+    A step beyond the first ``minimum`` ones that isn't below all before by more than ``min_delta`` counts against
+    ``patience``; one that is, starts the count anew. The history ends at the step that uses up the patience. One that
+    never does ends with its last step: still improving if its last ``size`` values fell by more than ``min_delta`` with
+    a falling slope, else a plateau. Steps after the end count for nothing. A run's steps are few.
+    """
+    w = W.partitionBy(*by).orderBy(step)
+    until = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = rows.select(*by, step, value, F.row_number().over(w).cast("long").alias("_i"), F.min(value).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    anew = F.col("_before").isNull() | (F.col(value) < F.col("_before") - min_delta) | (F.col("_i") <= minimum)
+    counted = placed.withColumn("_since", F.col("_i") - F.max(F.when(anew, F.col("_i"))).over(until))
+    spent = (F.col("_i") >= minimum) & (F.col("_since") >= patience)
+    ended = counted.withColumn("_end", F.min(F.when(spent, F.col("_i"))).over(W.partitionBy(*by))).where(F.col("_end").isNull() | (F.col("_i") <= F.col("_end")))
+    tailed = trailing(ended, by, "_i", value, size)
+    last = lambda c: F.max_by(c, "_i")
+    folded = tailed.groupBy(*by).agg(F.count("*").alias("steps"), F.min(F.struct(F.col(value).alias("v"), F.col(step).alias("s"))).alias("best"), F.max("_end").alias("end"), last(f"change_{size}").alias("change"), last(f"slope_{size}").alias("slope"))
+    why = F.when(F.col("end").isNotNull(), PATIENCE).when((F.col("change") > min_delta) & (F.col("slope") < 0), IMPROVING).otherwise(PLATEAU)
     return folded.select(*by, "steps", F.col("best.s").alias("best_step"), F.col("best.v").alias("best_value"), why.alias("reason"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.cols import ratio
 from cairn.functions.special import half_binomial_tail
+from cairn.operators.graph import ensure_checkpoint_dir
+from cairn.operators.relate import numbered, running_sums
 
 
 def confusion(rows: DataFrame, classes: int, truth: str = "truth", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
@@ -37,32 +39,54 @@ def overall(classes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def auroc_stable(rows: DataFrame, score: str, truth: str, order: str, by: tuple[str, ...]) -> DataFrame:
     """Area under the step curve of rows by falling score, equal scores in row order; null where a side is empty."""
-    w = W.partitionBy(*by).orderBy(F.desc(score), order).rowsBetween(W.unboundedPreceding, W.currentRow)
     y = F.col(truth).cast("long")
-    steps = rows.withColumn("_tp", F.sum(y).over(w))
-    area = F.sum(F.when(y == 0, F.col("_tp")))
-    pos, neg = F.sum(y), F.sum(1 - y)
-    return steps.groupBy(*by).agg(F.try_divide(area.cast("double"), (pos * neg).cast("double")).alias("auroc"))
+    steps = running_sums(rows.select(*by, score, truth, order), list(by), [F.desc(score), F.asc(order)], {"_tp": y})
+    area = F.sum(F.when(y == 0, F.col("_tp").cast("decimal(20,0)")))
+    pos, neg = F.sum(y).cast("double"), F.sum(1 - y).cast("double")
+    return steps.groupBy(*by).agg(F.try_divide(area.cast("double"), pos * neg).alias("auroc"))
 
 
-def _by_score(rows: DataFrame, score: str, truth: str, by: tuple[str, ...]) -> DataFrame:
-    """Counts of each distinct score, so that windows run over distinct scores instead of rows."""
+def score_steps(rows: DataFrame, score: str, truth: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, _p, pos, neg, tp, called): counts of each distinct score, and what it and all higher ones hold."""
     y = F.col(truth).cast("long")
-    return rows.groupBy(*by, F.col(score).alias("_p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    counts = rows.groupBy(*by, F.col(score).alias("_p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    return running_sums(counts, list(by), [F.desc("_p")], {"tp": F.col("pos"), "called": F.col("pos") + F.col("neg")})
+
+
+def _areas() -> dict[str, Column]:
+    """Of score steps: the area where equal scores are one step (the Mann-Whitney statistic), and the average precision."""
+    auroc = F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos").cast("double") * F.sum("neg"))
+    return {"auroc": auroc, "average_precision": F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("called")), F.sum("pos").cast("double"))}
 
 
 def auroc_tied(rows: DataFrame, score: str, truth: str, by: tuple[str, ...]) -> DataFrame:
-    """Area under the curve where equal scores are one step (the Mann-Whitney statistic)."""
-    w = W.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = _by_score(rows, score, truth, by).withColumn("_cum", F.sum("pos").over(w))
-    area = F.sum(F.col("neg") * (F.col("_cum") - F.col("pos") / 2))
-    return steps.groupBy(*by).agg(F.try_divide(area, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
+    return score_steps(rows, score, truth, by).groupBy(*by).agg(_areas()["auroc"].alias("auroc"))
 
 
 def average_precision(rows: DataFrame, score: str, truth: str, by: tuple[str, ...]) -> DataFrame:
-    w = W.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = _by_score(rows, score, truth, by).withColumns({"_tp": F.sum("pos").over(w), "_n": F.sum(F.col("pos") + F.col("neg")).over(w)})
-    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("_tp") / F.col("_n")), F.sum("pos").cast("double")).alias("average_precision"))
+    return score_steps(rows, score, truth, by).groupBy(*by).agg(_areas()["average_precision"].alias("average_precision"))
+
+
+def one_against_rest(rows: DataFrame, score: str, truth: str, order: str) -> DataFrame:
+    """(class, auroc_stable, auroc, average_precision) where all classes share one score; rows are sorted once, not once a class.
+
+    A class's area is what its rows' places leave below them, less the pairs of its own rows: with places of rows where
+    equal scores keep row order, with the mean of their places where they are one step. Null for a class without rows of
+    its own or of others.
+    """
+    placed = numbered(rows.select(score, F.col(truth).alias("_k"), order), [], [F.desc(score), F.asc(order)], "_place")
+    counts = placed.groupBy("_k", F.col(score).alias("_p")).agg(F.count("*").alias("n"), F.sum(F.col("_place").cast("decimal(20,0)")).alias("places"))
+    counts = counts.checkpoint()
+    steps = running_sums(counts.groupBy("_p").agg(F.sum("n").alias("all")), [], [F.desc("_p")], {"called": F.col("all")})
+    own = running_sums(counts, ["_k"], [F.desc("_p")], {"tp": F.col("n")}).join(steps, "_p")
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("whole"))
+    big = lambda c: F.col(c).cast("decimal(20,0)")
+    twice = F.sum(F.col("n") * (2 * big("called") - big("all") - 1))  # twice the sum of places, equal scores at their mean
+    summed = own.groupBy("_k").agg(F.sum("n").alias("n"), F.sum("places").alias("places"), twice.alias("twice"), F.sum(F.col("n") * F.col("tp") / F.col("called")).alias("_ap")).crossJoin(F.broadcast(whole))
+    n, rest = F.col("n").cast("double"), (F.col("whole") - F.col("n")).cast("double")
+    pairs = n * (n - 1) / 2
+    area = lambda places: F.try_divide(n * (F.col("whole") - 1) - places.cast("double") - pairs, n * rest)
+    return summed.select(F.col("_k").alias("class"), area(F.col("places")).alias("auroc_stable"), area(F.col("twice") / 2).alias("auroc"), F.when(rest > 0, F.col("_ap") / n).alias("average_precision"))
 
 
 def threshold_search(rows: DataFrame, score: str, truth: str, by: tuple[str, ...]) -> DataFrame:
@@ -127,24 +151,25 @@ def mcnemar_pairs(rows: DataFrame, truth: str, pairs: dict[str, tuple[str, str]]
 
 
 def threshold_free(rows: DataFrame, score: str, truth: str, by: str) -> DataFrame:
-    """Macro and micro AUROC and average precision of one-against-rest rows; micro takes all classes as one."""
-    names = {"auroc": auroc_tied, "average_precision": average_precision}
-    one = rows.withColumn("_all", F.lit(0))
-    out = None
-    for name, f in names.items():
-        macro = f(rows, score, truth, (by,)).agg(F.avg(name).alias(f"macro_{name}"))
-        both = macro.crossJoin(f(one, score, truth, ("_all",)).select(F.col(name).alias(f"micro_{name}")))
-        out = both if out is None else out.crossJoin(both)
-    return out
+    """Macro and micro AUROC and average precision of one-against-rest rows; micro takes all classes as one. Rows are counted once."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    counts = rows.groupBy(by, F.col(score).alias("_p")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum(1 - F.col(truth).cast("long")).alias("neg")).checkpoint()
+    sums = {"tp": F.col("pos"), "called": F.col("pos") + F.col("neg")}
+    each = running_sums(counts, [by], [F.desc("_p")], sums).groupBy(by).agg(*(c.alias(n) for n, c in _areas().items()))
+    macro = each.agg(*(F.avg(n).alias(f"macro_{n}") for n in _areas()))
+    one = counts.groupBy("_p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    micro = running_sums(one, [], [F.desc("_p")], sums).agg(*(c.alias(f"micro_{n}") for n, c in _areas().items()))
+    return macro.crossJoin(micro)
 
 
 def roc_points(rows: DataFrame, score: str, truth: str, by: str) -> DataFrame:
     """(by, tp, fp, threshold, tpr, fpr) after each distinct score by falling score, and the origin of each class (threshold null)."""
-    w, every = W.partitionBy(by).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy(by)
-    steps = _by_score(rows, score, truth, (by,)).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "_p_all": F.sum("pos").over(every), "_n_all": F.sum("neg").over(every)})
-    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    points = steps.select(by, "tp", "fp", F.col("_p").alias("threshold"), share("tp", "_p_all").alias("tpr"), share("fp", "_n_all").alias("fpr"))
-    zero = steps.select(by).distinct().select(by, F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    steps = score_steps(rows, score, truth, (by,)).checkpoint()
+    every = steps.groupBy(by).agg(F.sum("pos").alias("_p_all"), F.sum("neg").alias("_n_all"))
+    share = lambda a, b: F.try_divide(a.cast("double"), F.col(b).cast("double"))
+    fp = F.col("called") - F.col("tp")
+    points = steps.join(every, by).select(by, "tp", fp.alias("fp"), F.col("_p").alias("threshold"), share(F.col("tp"), "_p_all").alias("tpr"), share(fp, "_n_all").alias("fpr"))
+    zero = every.select(by, F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
     return points.unionByName(zero)
 
 
@@ -154,7 +179,7 @@ def thresholded(rows: DataFrame, score: str, truth: str, by: str, threshold: flo
     counts = rows.groupBy(by).agg(F.count_if(y & called).alias("tp"), F.count_if(~y & called).alias("fp"), F.count_if(y & ~called).alias("fn"), F.count_if(~y & ~called).alias("tn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     out = counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
-    return out.join(auroc_tied(rows, score, truth, (by,)), by).join(average_precision(rows, score, truth, (by,)), by)
+    return out.join(score_steps(rows, score, truth, (by,)).groupBy(by).agg(*(c.alias(n) for n, c in _areas().items())), by)
 
 
 def multilabel_f1(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:

@@ -23,6 +23,65 @@ def conflicts(rows: DataFrame, key: list[str], index: str, value: list[str]) ->
     return left.join(right, key).where(differ)
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of equal names in which nulls match: the columns of the left side, then the others of the right one."""
+    same, other = F.lit(True), right
+    for i, c in enumerate(on):
+        other = other.withColumnRenamed(c, f"_on_{i}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{i}"))
+    out = left.join(other, same, how)
+    if how.startswith("full"):
+        out = out.withColumns({c: F.coalesce(c, f"_on_{i}") for i, c in enumerate(on)})
+    return out.drop(*(f"_on_{i}" for i in range(len(on))))
+
+
+def conflict_members(rows: DataFrame, key: list[str], value: list[str]) -> DataFrame:
+    """Rows of keys that have several values, with how many rows of the key have another value: what ``conflicts`` pairs, without pairs.
+
+    A key of n rows gives n rows. Null parts of a key match; values are compared whole, nulls as values.
+    """
+    kinds = rows.groupBy(*key, *value).agg(F.count("*").alias("_c"))
+    totals = kinds.groupBy(*key).agg(F.sum("_c").alias("_n"), F.count("*").alias("values")).where("values > 1")
+
+    told = joined(kinds, totals, key).withColumn("others", F.col("_n") - F.col("_c"))
+    return joined(rows, told.drop("_n", "_c"), [*key, *value])
+
+
+def content_members(rows: DataFrame, digest: str, part: str, source: str) -> DataFrame:
+    """Rows of contents that stand several times, each with its group's numbers: copies, parts, sources, crosses_parts, crosses_sources.
+
+    A group is as many rows as it has members, never one value that lists them. Null digests are in no group.
+    """
+    groups = rows.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("copies"), F.count_distinct(part).alias("parts"), F.count_distinct(source).alias("sources")).where("copies > 1")
+    return rows.join(groups, digest).withColumns({"crosses_parts": F.col("parts") > 1, "crosses_sources": F.col("sources") > 1})
+
+
+def content_groups(rows: DataFrame, digest: str, part: str, parts: list[str], path: str, source: str, most: int = 100) -> DataFrame:
+    """(digest, records, paths, <part>_records.., sources, source_ids, is_cross_source) of contents that stand several times.
+
+    ``source_ids`` names the first ``most`` sources in order, joined by semicolons; ``sources`` counts them all.
+    """
+    held = rows.where(F.col(digest).isNotNull())
+    counts = held.groupBy(digest).agg(F.count("*").alias("records"), F.count_distinct(path).alias("paths"), *(F.count_if(F.col(part) == p).alias(f"{p}_records") for p in parts), F.count_distinct(source).alias("sources")).where("records > 1")
+    several = held.join(counts.select(digest), digest).where(F.col(source).isNotNull()).select(digest, F.col(source).cast("string").alias("_s")).distinct()
+    first = several.withColumn("_i", F.row_number().over(W.partitionBy(digest).orderBy("_s"))).where(F.col("_i") <= most)
+    named = first.groupBy(digest).agg(F.array_join(F.array_sort(F.collect_list("_s")), ";").alias("source_ids"))
+    out = counts.join(named, digest, "left")
+    return out.withColumn("source_ids", F.coalesce("source_ids", F.lit(""))).withColumn("is_cross_source", F.col("sources") > 1)
+
+
+def discordant(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows on which two columns differ; a null differs from any value, and not from a null."""
+    return rows.where(~F.col(first).eqNullSafe(F.col(second)))
+
+
+def augmentation_leak(rows: DataFrame, original: str, augmented: str, split: str = "split", train: str = "train") -> DataFrame:
+    """Originals of augmented training rows that a split other than training holds too, with how many rows each side has."""
+    own, other = (F.col(split) == train) & F.col(augmented), F.col(split) != train
+    held = rows.where(F.col(original).isNotNull()).groupBy(original).agg(F.count_if(own).alias("augmented_rows"), F.count_if(other).alias("held_out_rows"))
+    return held.where("augmented_rows > 0 AND held_out_rows > 0")
+
+
 def reconcile(template: DataFrame, reviews: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, outcome): missing, matched (all reviews equal), conflicting, or unmatched (not in the template)."""
     folded = reviews.groupBy(key).agg(F.countDistinct(F.struct(*(F.coalesce(F.trim(f), F.lit("")).alias(f) for f in fields))).alias("kinds"), F.count("*").alias("reviews"))
@@ -90,22 +149,28 @@ def grid(counts: DataFrame, keys: dict[str, list], fill: list[str]) -> DataFrame
     return out.join(counts, list(keys), "left").fillna(0, fill)
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds ``name``: the place of a row among those of its key, from 0, in the order of some columns that tell rows apart.
+def running_sums(rows: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Adds a running sum of each of ``sums`` over the rows of a key, the row itself included, in an order that tells rows apart.
 
-    No task holds a key: rows are sorted by range, numbered within each range, and the numbers of the ranges before
-    are added. The ranges are written first, since their borders come from a sample.
+    No task holds a key: rows are sorted by range once, summed within each range, and what the ranges before hold is
+    added. The ranges are written first, since their borders come from a sample.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    ranged = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), F.col("_range").alias("_of"), before.alias("_before"))
-    inside = ranged.withColumn("_inside", F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order)) - 1)
+    ranged = rows.withColumns({f"_x_{n}": c for n, c in sums.items()}).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    held = ranged.groupBy(*by, "_range").agg(*(F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums))
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = held.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    inside = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     same = F.col("_range") == F.col("_of")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
-    return inside.join(offsets, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
+    own = ranged.withColumns({f"_i_{n}": F.sum(f"_x_{n}").over(inside) for n in sums})
+    return own.join(offsets, same).select(*rows.columns, *((F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """Adds ``name``: the place of a row among those of its key, from 0, in the order of some columns that tell rows apart."""
+    return running_sums(rows, by, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
 
 
 def with_status(rows: DataFrame, index: DataFrame, key: str, path: str) -> DataFrame:
@@ -140,20 +205,22 @@ def unequal_ids(sources: dict[str, DataFrame], key: str) -> DataFrame:
 
 
 def by_fallback(rows: DataFrame, manifest: DataFrame, index: str, fallback: list[str], columns: list[str]) -> DataFrame:
-    """Rows with ``columns`` of the manifest row of the same index or, where that is null, of the same fallback key.
+    """Rows with ``columns`` of the manifest row of the same index or, where the manifest has no such index, of the same fallback key.
 
-    ``matched_by`` is index, fallback or none. A manifest key that several rows have matches the least of them.
+    ``matched_by`` is index, fallback, none, or ambiguous where the key that would match stands in several manifest rows:
+    such a row gets no values. Null keys match nothing, and rows with a null index aren't joined by it.
     """
-    least = lambda key: manifest.where(" AND ".join(f"{k} IS NOT NULL" for k in key)).groupBy(*key).agg(F.min(F.struct(*columns)).alias("_m"))
-    one = least([index]).select(F.col(index).alias("_index"), F.col("_m").alias("_first"))
-    two = least(fallback).select(*(F.col(k).alias(f"_k_{k}") for k in fallback), F.col("_m").alias("_second"))
-    same = F.lit(True)
-    for k in fallback:
-        same = same & (F.col(k) == F.col(f"_k_{k}"))
-    out = rows.join(one, F.col(index) == F.col("_index"), "left").join(two, F.col(index).isNull() & same, "left")
-    how = F.when(F.col("_first").isNotNull(), "index").when(F.col("_second").isNotNull(), "fallback").otherwise("none")
+    def once(key: list[str], name: str) -> DataFrame:
+        return manifest.dropna(subset=key).groupBy(*key).agg(F.struct(F.count("*").alias("n"), *(F.first(c).alias(c) for c in columns)).alias(name))
+
+    no_match = once([index], "_first").schema["_first"].dataType
+    indexed = rows.where(F.col(index).isNotNull()).join(once([index], "_first"), index, "left").select(*rows.columns, "_first")
+    every = indexed.unionByName(rows.where(F.col(index).isNull()).withColumn("_first", F.lit(None).cast(no_match)))
+    kept = every.where("_first IS NOT NULL").withColumn("_second", F.lit(None).cast(no_match))
+    rest = every.where("_first IS NULL").join(once(fallback, "_second"), fallback, "left").select(*rows.columns, "_first", "_second")
     taken = F.coalesce("_first", "_second")
-    return out.select(*(F.col(c) for c in rows.columns), *(taken[c].alias(c) for c in columns), how.alias("matched_by"))
+    how = F.when(taken.isNull(), "none").when(taken["n"] > 1, "ambiguous").when(F.col("_first").isNotNull(), "index").otherwise("fallback")
+    return kept.unionByName(rest).select(*rows.columns, *(F.when(taken["n"] == 1, taken[c]).alias(c) for c in columns), how.alias("matched_by"))
 
 
 def paired(models: dict[str, DataFrame], key: list[str], columns: list[str]) -> DataFrame:

@@ -1,16 +1,16 @@
-"""Split targets, a deterministic greedy assignment of groups by label needs, manifests and their audit."""
+"""Split targets, assignment of groups by what labels lack, repair of sizes, manifests and their audit."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.operators.relate import numbered
 
-#: The splits, their shares, what breaks ties between them, and the weights of a placement's cost.
-SPLITS, SHARES, TIES = ("train", "val", "test"), (0.8, 0.1), (0.0, 0.01, 0.02)
-OVERFULL_SPLIT, OVERFULL_LABEL, NEED = 10_000, 100, 10
+#: The splits and the shares of the first two.
+SPLITS, SHARES = ("train", "val", "test"), (0.8, 0.1)
 
 
 def targets(n: Column) -> dict[str, Column]:
@@ -19,52 +19,143 @@ def targets(n: Column) -> dict[str, Column]:
     return {"train": train, "val": val, "test": n - train - val}
 
 
-def quotas(total: np.ndarray) -> np.ndarray:
+def quotas(total: np.ndarray | int) -> np.ndarray:
     """The same for an array: a row of three numbers for each total."""
+    total = np.asarray(total)
     head = np.rint(np.multiply.outer(total, SHARES)).astype(np.int64)
     return np.concatenate((head, (total - head.sum(axis=-1))[..., None]), axis=-1)
 
 
-def deal(kinds: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The splits (0, 1, 2) of the groups of each kind in turn; row k of ``kinds`` has the labels of a kind, as 0 and 1.
+def apportion(n: int, open_: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """``n`` things dealt in proportion to what is open, by largest remainders; ``then`` decides between equal ones, then the order."""
+    open_ = np.maximum(open_, 0)
+    ideal = n * (open_ / open_.sum() if open_.sum() else np.append(SHARES, 1 - sum(SHARES)))
+    out = np.floor(ideal + 1e-9).astype(np.int64)
+    rest = np.lexsort((np.arange(len(out)), -then, -np.round(ideal - out, 9)))
+    out[rest[: n - out.sum()]] += 1
+    return out
+
+
+def deal(kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many groups of each kind go to each split; row k of ``kinds`` has the labels of a kind, as 0 and 1.
 
-    Room and lack are what splits and labels still miss of their quotas; a group goes where its cost is least.
+    The label of which fewest groups are left comes first; its kinds, those with most labels first, are apportioned to
+    what its quotas still lack, and remainders go where their other labels lack most. Kinds without labels fill the splits.
     """
-    size = quotas(sizes.sum())
-    room, lack = size.astype(float), quotas(sizes @ kinds).T.astype(float)  # of the splits; of the splits by label
-    out = []
-    for own, n in zip(kinds.astype(bool), sizes.tolist()):
-        placed = np.zeros(n, np.int8)
-        for i in range(n):
-            missing = lack[:, own]
-            cost = OVERFULL_SPLIT * np.maximum(1 - room, 0) + OVERFULL_LABEL * np.maximum(1 - missing, 0).sum(axis=1) - NEED * missing.sum(axis=1)
-            to = int((cost + (size - room + 1) / np.maximum(size, 1) + TIES).argmin())
-            placed[i] = to
-            room[to] -= 1
-            lack[to, own] -= 1
-        out.append(placed)
+    kinds = kinds.astype(bool)
+    out, lack, room = np.zeros((len(sizes), len(SPLITS)), np.int64), quotas(sizes @ kinds.astype(np.int64)), quotas(sizes.sum())
+    left = np.ones(len(sizes), bool)
+
+    def place(k: int, open_: np.ndarray) -> None:
+        others = lack[kinds[k]].sum(axis=0) if kinds[k].any() else room
+        out[k] = apportion(int(sizes[k]), open_, others)
+        lack[kinds[k]] -= out[k]
+        room[:] -= out[k]
+        left[k] = False
+
+    while (counts := (sizes * left) @ kinds.astype(np.int64)).any():
+        label = int(np.where(counts > 0, counts, counts.max() + 1).argmin())
+        for k in sorted(np.flatnonzero(left & kinds[:, label]), key=lambda k: (-kinds[k].sum(), k)):
+            place(k, lack[label])
+    for k in np.flatnonzero(left):
+        place(k, room)
+    # What rounding left over: moves of one group, as long as one brings labels and sizes nearer to their quotas.
+    counted = np.column_stack((kinds, np.ones(len(sizes), bool))).astype(np.int64)
+    off = counted.T @ out - quotas(sizes @ counted)
+    while len(sizes):
+        change = 2 * (counted @ off)[:, None, :] - 2 * (counted @ off)[:, :, None] + 2 * counted.sum(axis=1)[:, None, None]
+        change[(out == 0)[:, :, None] | np.eye(len(SPLITS), dtype=bool)[None]] = 0
+        k, a, b = np.unravel_index(change.argmin(), change.shape)
+        if change[k, a, b] >= 0:
+            break
+        out[k, a] -= 1
+        out[k, b] += 1
+        off[:, a] -= counted[k]
+        off[:, b] += counted[k]
     return out
 
 
-def greedy_split(groups: DataFrame) -> DataFrame:
-    """(id, split) of groups (id, labels): kinds with most labels first, within a kind by a hash of the id.
+def grouped_split(groups: DataFrame) -> DataFrame:
+    """(id, split) of groups (id, labels), so that splits hold their shares of every label; within a kind by a hash of the id.
 
-    A step depends on the labels of the groups before it, not on their ids. So groups of equal labels are one kind;
-    the driver sees each kind with its number of groups (a few bytes for a kind), deals those numbers in one pass, and
-    gives back runs of equal splits, which are joined to the groups by their place within the kind.
+    Groups of equal labels are one kind. The driver sees each kind with its number of groups (a few bytes for a kind) and
+    says how many of them each split gets; groups find their split by their place within the kind. Without labels (or with
+    null ones) a group is of the kind that has none.
     """
     spark = groups.sparkSession
-    kind = groups.select("id", F.array_sort(F.array_distinct("labels")).alias("labels"), F.sha2(F.concat(F.lit("42:"), F.col("id").cast("string")), 256).alias("rank"))
-    sizes = sorted(((tuple(r["labels"]), r["n"]) for r in kind.groupBy("labels").agg(F.count("*").alias("n")).collect()), key=lambda x: (-len(x[0]), x[0]))
+    own = F.array_sort(F.array_distinct(F.filter(F.coalesce("labels", F.array().cast(groups.schema["labels"].dataType)), lambda x: x.isNotNull())))
+    kind = groups.select("id", own.alias("labels"), F.sha2(F.concat(F.lit("42:"), F.col("id").cast("string")), 256).alias("rank"))
+    sizes = sorted((tuple(r["labels"]), r["n"]) for r in kind.groupBy("labels").agg(F.count("*").alias("n")).collect())
     names = sorted({c for labels, _ in sizes for c in labels})
     table = np.array([[c in labels for c in names] for labels, _ in sizes], np.int64).reshape(len(sizes), len(names))
-    runs = []
-    for (labels, n), placed in zip(sizes, deal(table, np.array([n for _, n in sizes], np.int64))):
-        begin = np.concatenate(([0], np.flatnonzero(np.diff(placed)) + 1)).tolist()
-        runs += [(list(labels), a, b, SPLITS[placed[a]]) for a, b in zip(begin, [*begin[1:], n])]
-    dealt = spark.createDataFrame(runs, f"labels {groups.schema['labels'].dataType.simpleString()}, begin long, end long, split string")
-    placed = numbered(kind, ["labels"], ["rank", "id"], "place").alias("g").join(dealt.alias("r"), F.expr("g.labels = r.labels AND g.place >= r.begin AND g.place < r.end"))
-    return placed.select("g.id", "r.split")
+    ends = np.cumsum(deal(table, np.array([n for _, n in sizes], np.int64)), axis=1).tolist()
+    dealt = spark.createDataFrame([(list(labels), *e[:2]) for (labels, _), e in zip(sizes, ends, strict=True)], f"labels {groups.schema['labels'].dataType.simpleString()}, a long, b long")
+    placed = numbered(kind, ["labels"], ["rank", "id"], "place").join(dealt, "labels")
+    return placed.select("id", F.when(F.col("place") < F.col("a"), SPLITS[0]).when(F.col("place") < F.col("b"), SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
+
+
+def repair_moves(counts: np.ndarray, kinds: np.ndarray, heads: list[list[list]], wanted: np.ndarray) -> list[tuple]:
+    """(id, from, to) of the moves that give each split its wanted number of rows.
+
+    ``counts`` has the rows of each kind in each split, ``heads`` their first ids. A move takes a row from a split with too
+    many to one with too few: that after which the labels of all splits are nearest to their shares (least squares); of
+    equal moves the one of the row with fewest labels, then of the least id, then of the first splits by name.
+    """
+    share = np.outer(wanted / wanted.sum(), counts.sum(axis=1) @ kinds)
+    held, size = counts.T @ kinds.astype(float), counts.sum(axis=0)
+    taken, out = np.zeros(counts.shape, np.int64), []
+    while (size != wanted).any():
+        off, best = held - share, None
+        for a in np.flatnonzero(size > wanted):
+            for b in np.flatnonzero(size < wanted):
+                # What the squares change by when a kind's labels leave a and come to b.
+                gain = np.round((kinds * (2 * (off[b] - off[a]) + 2)).sum(axis=1), 9)
+                for k in np.flatnonzero(counts[:, a] > taken[:, a]):
+                    key = (gain[k], kinds[k].sum(), heads[k][a][taken[k, a]], SPLITS[a], SPLITS[b])
+                    if best is None or key < best[0]:
+                        best = key, k, a, b
+        if best is None:
+            raise ValueError("the wanted sizes don't sum to the number of rows")
+        key, k, a, b = best
+        out.append((key[2], SPLITS[a], SPLITS[b]))
+        taken[k, a] += 1
+        held[a] -= kinds[k]
+        held[b] += kinds[k]
+        size[a] -= 1
+        size[b] += 1
+    return out
+
+
+def repair_sizes(assigned: DataFrame, wanted: dict[str, int], most_moves: int = 100_000) -> DataFrame:
+    """(id, split, moved_from) of rows (id, labels, split) after moves that give each split exactly its wanted number of rows.
+
+    A step looks at every kind of rows (equal labels) in every split, not at every row; the driver holds the kinds' counts
+    and, of each kind, as many first ids as its split has rows too many. Rows move at most once. Repairs of more than
+    ``most_moves`` rows are refused: they aren't rounding, and ``grouped_split`` deals any number.
+    """
+    spark = assigned.sparkSession
+    rows = assigned.select("id", F.array_sort(F.array_distinct(F.filter("labels", lambda x: x.isNotNull()))).alias("labels"), "split")
+    counted = rows.groupBy("labels", "split").agg(F.count("*").alias("n")).collect()
+    sizes = {s: sum(r["n"] for r in counted if r["split"] == s) for s in SPLITS}
+    over = {s: max(0, sizes[s] - wanted[s]) for s in SPLITS}
+    if sum(over.values()) > most_moves:
+        raise ValueError(f"{sum(over.values())} rows would have to move; at most {most_moves} may")
+    few = F.row_number().over(W.partitionBy("labels", "split").orderBy("id"))
+    limit = F.coalesce(*(F.when(F.col("split") == s, F.lit(n)) for s, n in over.items()))
+    # Rank limits of whole numbers cut in every task before rows meet.
+    first = rows.withColumn("_i", few).where(F.col("_i") <= max(over.values())).where(F.col("_i") <= limit).collect() if any(over.values()) else []
+    names = sorted({tuple(r["labels"]) for r in counted})
+    every = sorted({c for labels in names for c in labels})
+    kinds = np.array([[c in labels for c in every] for labels in names], np.int64).reshape(len(names), len(every))
+    counts, heads = np.zeros((len(names), len(SPLITS)), np.int64), [[[] for _ in SPLITS] for _ in names]
+    place = {labels: i for i, labels in enumerate(names)}
+    for r in counted:
+        counts[place[tuple(r["labels"])], SPLITS.index(r["split"])] = r["n"]
+    for r in sorted(first, key=lambda r: r["_i"]):
+        heads[place[tuple(r["labels"])]][SPLITS.index(r["split"])].append(r["id"])
+    moves = repair_moves(counts, kinds, heads, np.array([wanted[s] for s in SPLITS]))
+    moved = spark.createDataFrame(moves, f"id {assigned.schema['id'].dataType.simpleString()}, moved_from string, _to string")
+    return rows.join(moved, "id", "left").select("id", F.coalesce("_to", "split").alias("split"), "moved_from")
 
 
 def manifest(original: DataFrame, balanced: DataFrame, assigned: DataFrame, source: str) -> DataFrame:

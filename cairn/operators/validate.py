@@ -62,10 +62,18 @@ def path_reason(path: Column, forbidden: list[str], required: str) -> Column:
 
 
 def changes(before: DataFrame, after: DataFrame, name: str, digest: str) -> DataFrame:
-    """(name, change) of artifacts of either side: same, changed, added or removed."""
-    a, b = before.select(name, F.lit(True).alias("_a"), F.col(digest).alias("_x")), after.select(name, F.lit(True).alias("_b"), F.col(digest).alias("_y"))
-    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_x").eqNullSafe(F.col("_y")), "same").otherwise("changed")
-    return a.join(b, name, "full_outer").select(name, change.alias("change"))
+    """(name, change) of artifacts of either side: same, changed, added, removed, or ambiguous where a side names it with several digests.
+
+    Repeated equal rows are one; a null digest is a digest like others.
+    """
+    def one(rows: DataFrame, there: str, digest_as: str) -> DataFrame:
+        kinds = F.count_distinct(F.struct(digest))
+        return rows.groupBy(name).agg(F.first(digest).alias(digest_as), kinds.alias(there))
+
+    both = one(before, "_a", "_x").join(one(after, "_b", "_y"), name, "full_outer")
+    several = (F.coalesce("_a", F.lit(1)) > 1) | (F.coalesce("_b", F.lit(1)) > 1)
+    change = F.when(several, "ambiguous").when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_x").eqNullSafe(F.col("_y")), "same").otherwise("changed")
+    return both.select(name, change.alias("change"))
 
 
 def id_list_reason(ids: Column, classes: int) -> Column:

@@ -209,10 +209,13 @@ def epoch_deltas(spark, d):
     return history.deltas(_days(spark, d), ["event_type"], "epoch", "v").select("event_type", "epoch", F.round("from_previous", 4).alias("from_previous"), F.round("from_best", 4).alias("from_best"))
 
 
-@query(f"""WITH f AS (SELECT event_type, count(*) AS steps, max(epoch) AS last, arg_min(epoch, (v, epoch)) AS best_step, min(v) AS best_value FROM ({_DAYS}) GROUP BY 1)
-  SELECT event_type, CAST(steps AS BIGINT) AS steps, best_step, best_value, CASE WHEN steps < 5 THEN 'too_short' WHEN last - best_step >= 10 THEN 'no_improvement' ELSE 'still_improving' END AS reason FROM f""")
+@query(f"""WITH s AS (SELECT event_type, epoch, v, row_number() OVER w AS i, min(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({_DAYS}) WINDOW w AS (PARTITION BY event_type ORDER BY epoch)),
+  c AS (SELECT *, i - max(CASE WHEN before IS NULL OR v < before - 0.5 OR i <= 5 THEN i END) OVER (PARTITION BY event_type ORDER BY i) AS since FROM s),
+  e AS (SELECT *, min(CASE WHEN i >= 5 AND since >= 10 THEN i END) OVER (PARTITION BY event_type) AS stop FROM c),
+  t AS (SELECT *, first_value(v) OVER x - v AS change, regr_slope(v, i) OVER x AS slope FROM e WHERE stop IS NULL OR i <= stop WINDOW x AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+  SELECT event_type, CAST(count(*) AS BIGINT) AS steps, arg_min(epoch, (v, epoch)) AS best_step, min(v) AS best_value, CASE WHEN max(stop) IS NOT NULL THEN '{history.PATIENCE}' WHEN arg_max(change, i) > 0.5 AND arg_max(slope, i) < 0 THEN '{history.IMPROVING}' ELSE '{history.PLATEAU}' END AS reason FROM t GROUP BY 1""")
 def stop_reason(spark, d):
-    return history.stop_reason(_days(spark, d), ["event_type"], "epoch", "v", 5, 10)
+    return history.stop_reason(_days(spark, d), ["event_type"], "epoch", "v", 5, 10, 0.5)
 
 
 @query("SELECT event_type, round(sum(value * (user_id % 7)) / sum(user_id % 7)::DOUBLE, 5) AS weighted_mean, CAST(sum(user_id % 7) AS BIGINT) AS weight FROM events GROUP BY 1")
@@ -256,7 +259,7 @@ def label_cardinality(spark, d):
 @query()
 def evidence(spark, d):
     """What the differences of two models support, from the intervals of 10,000 replicates; tested on fixed intervals."""
-    from cairn.plans.catalogue import bootstrap_metrics_ci
+    from cairn.plans.models import bootstrap_metrics_ci
 
     ci = bootstrap_metrics_ci(spark, d)
     return ci.withColumn("conclusion", compare.conclusion(F.col("low"), F.col("high"), F.col("mean")))

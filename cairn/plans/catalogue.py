@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _register() -> None:
-    from cairn.plans import audits, inventory, models  # noqa: F401  their queries register themselves
+    from cairn.plans import audits, inventory, models, records, reviews  # noqa: F401  their queries register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -136,18 +136,12 @@ def same_key_conflicts(spark, d):
     return relate.conflicts(table(spark, d, "lineitem"), ["l_orderkey", "l_partkey"], "l_linenumber", ["l_returnflag"])
 
 
-@query("""WITH r AS (SELECT conv_id AS k, count(DISTINCT trim(coalesce(role, '')) || '|' || CAST(length(text) % 2 AS VARCHAR)) AS kinds, count(*) AS n FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1),
-  t AS (SELECT DISTINCT conv_id AS k FROM conversations WHERE conv_id % 5 <> 0)
+@query("""WITH r AS (SELECT conv_id AS k, count(DISTINCT trim(coalesce(role, '')) || '|' || coalesce(CAST(length(text) % 2 AS VARCHAR), '')) AS kinds, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1),
+  t AS (SELECT DISTINCT conv_id AS k FROM conversations WHERE role = 'user')
   SELECT coalesce(t.k, r.k) AS conv_id, CASE WHEN t.k IS NULL THEN 'unmatched' WHEN r.k IS NULL THEN 'missing' WHEN kinds = 1 THEN 'matched' ELSE 'conflicting' END AS outcome, CAST(coalesce(n, 0) AS BIGINT) AS reviews
   FROM t FULL JOIN r ON t.k = r.k""")
 def review_reconcile(spark, d):
-    c = table(spark, d, "conversations").withColumn("odd", (F.length("text") % 2).cast("string"))
-    return relate.reconcile(c.where("conv_id % 5 <> 0"), c.where("conv_id % 3 <> 0"), "conv_id", ["role", "odd"])
-
-
-@query()
-def review_reconcile_whole(spark, d):
-    """Conversations in which a user asks, against all turns of assistants. `review_reconcile` is held to slices of ids by its SQL."""
+    """Conversations in which a user asks, against all turns of assistants."""
     c = table(spark, d, "conversations").withColumn("odd", (F.length("text") % 2).cast("string"))
     return relate.reconcile(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", ["role", "odd"])
 
@@ -174,10 +168,11 @@ def grouping_sets_review(spark, d):
     return g.select(kind.alias("summary_type"), F.coalesce("role", F.lit("ALL")).alias("role"), F.coalesce("turn", F.lit("ALL")).alias("turn"), "n")
 
 
-@query(f"SELECT split, coalesce(lang, 'ALL') AS lang, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM ({SPLIT_DOCS}) WHERE lang IS NOT NULL GROUP BY ROLLUP (split, lang) HAVING split IS NOT NULL")
+@query(f"SELECT split, CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS lang, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM ({SPLIT_DOCS}) GROUP BY GROUPING SETS ((split), (split, lang))")
 def rollup_roi_counts(spark, d):
-    g = split_docs(spark, d).where("lang IS NOT NULL").rollup("split", "lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
-    return g.where("split IS NOT NULL").withColumn("lang", F.coalesce("lang", F.lit("ALL")))
+    """Documents without a language are a row of their own (null), beside the sum of the split."""
+    g = split_docs(spark, d).groupingSets([["split"], ["split", "lang"]], "split", "lang").agg(F.grouping("lang").alias("g"), F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+    return g.select("split", F.when(F.col("g") == 1, "ALL").otherwise(F.col("lang")).alias("lang"), "n", "sources")
 
 
 _IDS = "list_filter([CASE WHEN quality = 1 THEN 0 END, CASE WHEN toxic = 1 THEN 1 END], lambda x: x IS NOT NULL)"
@@ -252,12 +247,18 @@ def _versus(spark, d):
     return predictions(spark, d).crossJoin(F.broadcast(k)).withColumn("y", (F.col("truth") == F.col("class_id")).cast("int"))
 
 
+def _areas(spark, d, column, name="auroc"):
+    """A row for each class, also for one that no row has."""
+    found = metrics.one_against_rest(predictions(spark, d), "score", "truth", "vec_id").select(F.col("class").cast("int").alias("class_id"), r6(column).alias(name))
+    return spark.range(10).select(F.col("id").cast("int").alias("class_id")).join(found, "class_id", "left")
+
+
 _VERSUS = f"SELECT k.c AS class_id, vec_id, score, CAST(truth = k.c AS INT) AS y FROM ({PREDICTIONS}) CROSS JOIN range(10) k(c)"
 
 
 @query(f"""SELECT CAST(class_id AS INT) AS class_id, round(sum(CASE WHEN y = 0 THEN tp END)::DOUBLE / (sum(y) * sum(1 - y)), 6) AS auroc FROM (SELECT *, sum(y) OVER (PARTITION BY class_id ORDER BY score DESC, vec_id ROWS UNBOUNDED PRECEDING) AS tp FROM ({_VERSUS})) GROUP BY 1""")
 def auroc_stable(spark, d):
-    return metrics.auroc_stable(_versus(spark, d), "score", "y", "vec_id", ("class_id",)).withColumn("auroc", r6("auroc"))
+    return _areas(spark, d, "auroc_stable")
 
 
 _STEPS = f"SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS called FROM (SELECT class_id, score, sum(y) AS pos, sum(1 - y) AS neg FROM ({_VERSUS}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY class_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"
@@ -265,12 +266,12 @@ _STEPS = f"SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS called FROM
 
 @query(f"SELECT CAST(class_id AS INT) AS class_id, round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 6) AS auroc FROM ({_STEPS}) GROUP BY 1")
 def auroc_tied(spark, d):
-    return metrics.auroc_tied(_versus(spark, d), "score", "y", ("class_id",)).withColumn("auroc", r6("auroc"))
+    return _areas(spark, d, "auroc")
 
 
 @query(f"SELECT CAST(class_id AS INT) AS class_id, round(sum(pos * tp / called::DOUBLE) / sum(pos), 6) AS average_precision FROM ({_STEPS}) GROUP BY 1")
 def average_precision(spark, d):
-    return metrics.average_precision(_versus(spark, d), "score", "y", ("class_id",)).withColumn("average_precision", r6("average_precision"))
+    return _areas(spark, d, "average_precision", "average_precision")
 
 
 @query(f"""WITH c AS (SELECT class_id, t / 100.0::DOUBLE AS threshold, sum(CASE WHEN score >= t / 100.0::DOUBLE THEN y ELSE 0 END) AS tp, sum(CASE WHEN score >= t / 100.0::DOUBLE THEN 1 ELSE 0 END) AS called, sum(y) AS support FROM ({_VERSUS}) CROSS JOIN range(5, 96) g(t) GROUP BY 1, 2),
@@ -306,14 +307,9 @@ def multilabel_metrics(spark, d):
     return out.select(*(r6(x).alias(x) for x in out.columns))
 
 
-@query(f"SELECT CAST(truth AS INT) AS truth, round(avg(-ln(greatest(least(score, 1.0), 1e-300))), 6) AS log_loss FROM ({PREDICTIONS}) WHERE score > 0 GROUP BY 1")
-def log_loss(spark, d):
-    return predictions(spark, d).where("score > 0").groupBy(F.col("truth").cast("int").alias("truth")).agg(r6(metrics.log_loss(F.col("score"))).alias("log_loss"))
-
-
 @query(f"SELECT CAST(truth AS INT) AS truth, round(avg(-ln(greatest(least(score, 1.0), 1e-300))), 6) AS log_loss FROM ({PREDICTIONS}) GROUP BY 1")
-def log_loss_whole(spark, d):
-    """Over all predictions, those of probability 0 at the clip. `log_loss` leaves them out, as its SQL does."""
+def log_loss(spark, d):
+    """Over all predictions, those of probability 0 at the clip."""
     return predictions(spark, d).groupBy(F.col("truth").cast("int").alias("truth")).agg(r6(metrics.log_loss(F.col("score"))).alias("log_loss"))
 
 
@@ -419,17 +415,10 @@ def letterbox_geometry(spark, d):
     return x.withColumns(cols.letterbox(F.col("width"), F.col("height"), 224))
 
 
-@query("""WITH c AS (SELECT sha256(text) AS sha, lang || n_chars AS name, doc_id FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id, sha256(text) AS sha, lang || n_chars AS name FROM documents), o AS (SELECT sha, min(doc_id) AS f FROM c GROUP BY 1 HAVING count(*) = 1), n AS (SELECT name, min(doc_id) AS f FROM c GROUP BY 1)
+@query("""WITH r AS (SELECT doc_id, sha256(text) AS sha, lang || n_chars AS name FROM documents), o AS (SELECT sha, min(doc_id) AS f FROM r WHERE sha IS NOT NULL GROUP BY 1 HAVING count(*) = 1), n AS (SELECT name, min(doc_id) AS f FROM r WHERE name IS NOT NULL GROUP BY 1)
   SELECT r.doc_id, coalesce(o.f, n.f) AS found, CASE WHEN o.sha IS NOT NULL THEN 'sha256' WHEN n.name IS NOT NULL THEN 'image_id' ELSE 'none' END AS method FROM r LEFT JOIN o ON r.sha = o.sha LEFT JOIN n ON r.name = n.name""")
 def gt_lookup(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.concat("lang", F.col("n_chars").cast("string")).alias("name"))
-    known = rows.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "value")
-    return relate.lookup(rows, known, "sha", "name", "value").select("doc_id", "found", "method")
-
-
-@query()
-def gt_lookup_whole(spark, d):
-    """As gt_lookup, with all documents as the catalogue."""
+    """All documents, looked up in the catalogue of all documents."""
     rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.concat("lang", F.col("n_chars").cast("string")).alias("name"))
     return relate.lookup(rows, rows.withColumnRenamed("doc_id", "value"), "sha", "name", "value").select("doc_id", "found", "method")
 
@@ -454,16 +443,11 @@ def pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey % 400 AS node, o_orderkey % 907 AS k FROM orders WHERE o_orderkey % 13 = 0), e AS (SELECT DISTINCT a.node, b.node AS other FROM p a JOIN p b USING (k)),
-  r AS (SELECT node, node AS root FROM p UNION SELECT e.node, r.root FROM r JOIN e ON e.other = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS node, l_partkey AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL), c AS (SELECT k, min(node) AS other FROM p WHERE k IS NOT NULL GROUP BY 1),
+  s AS (SELECT node, other FROM p JOIN c USING (k) WHERE node <> other), e AS (SELECT node, other FROM s UNION SELECT other, node FROM s),
+  r AS (SELECT DISTINCT node, node AS root FROM p UNION SELECT e.node, r.root FROM r JOIN e ON e.other = r.node WHERE r.root < e.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def components(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 13 = 0").select((F.col("o_custkey") % 400).alias("node"), (F.col("o_orderkey") % 907).alias("k"))
-    return graph.shared_key_components(rows, "node", "k")
-
-
-@query()
-def components_whole(spark, d):
-    """Customers of all orders, joined by the parts that they ordered. `components` is held to a slice of ids by its SQL."""
+    """Customers of all orders, joined by the parts that they ordered."""
     parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("k"))
     return graph.shared_key_components(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("node")).join(parts, "o_orderkey", "left"), "node", "k")
 
@@ -483,15 +467,25 @@ def bootstrap_ci(spark, d):
     return out.withColumns({c: r6(c) for c in ("mean", "se", "low", "high", "p_above", "p_below")})
 
 
-@query("SELECT lang, CAST(n AS BIGINT) AS n, CAST(round_even(n * 0.8::DOUBLE, 0) AS BIGINT) AS train, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS val, CAST(n - round_even(n * 0.8::DOUBLE, 0) - round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS test FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1)")
+@query("SELECT lang, CAST(n AS BIGINT) AS n, CAST(round_even(n * 0.8::DOUBLE, 0) AS BIGINT) AS train, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS val, CAST(n - round_even(n * 0.8::DOUBLE, 0) - round_even(n * 0.1::DOUBLE, 0) AS BIGINT) AS test FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
 def split_targets(spark, d):
-    return table(spark, d, "documents").where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).withColumns(splits.targets(F.col("n")))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).withColumns(splits.targets(F.col("n")))
 
 
 @query()
 def greedy_split(spark, d):
-    groups = table(spark, d, "documents").where("source IS NOT NULL").select(F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 20).cast("string")).alias("id"), "lang")
-    return splits.greedy_split(groups.groupBy("id").agg(F.array_sort(F.collect_set("lang")).alias("labels")))
+    """Twenty neighbouring documents of a source are a group; one without a source is a group of its own. Tested on quotas."""
+    name = F.coalesce(F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 20).cast("string")), F.concat(F.lit("document/"), F.col("doc_id").cast("string")))
+    return splits.grouped_split(table(spark, d, "documents").groupBy(name.alias("id")).agg(F.array_sort(F.collect_set("lang")).alias("labels")))
+
+
+@query()
+def repaired_split(spark, d):
+    """The split of documents by a hash, moved to exactly 80, 10 and 10 of 100 with languages at their shares. Tested against the plain search."""
+    docs = split_docs(spark, d).select(F.col("doc_id").alias("id"), F.array_compact(F.array("lang")).alias("labels"), "split")
+    n = docs.count()
+    want = dict(zip(splits.SPLITS, splits.quotas(n).tolist(), strict=True))
+    return splits.repair_sizes(docs, want)
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity FROM lineitem), c AS (SELECT l_orderkey, l_partkey FROM b GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1)
@@ -507,12 +501,3 @@ def exclusion_reasons(spark, d):
 def exclusion_cascade(spark, d):
     kind = F.when(F.col("l_orderkey") % 17 == 0, "manual_fail").when(F.col("l_quantity") < 2, "low_quantity").when(F.col("l_discount") > 0.09, "discount").otherwise("kept")
     return table(spark, d, "lineitem").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query()
-def content_hash(spark, d):
-    """One hash of all (id, content hash) rows of each source, in id order; sources bound what a row holds."""
-    rows = split_docs(spark, d).where("source IS NOT NULL").groupBy("source", (F.col("doc_id") % 64).alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "sha"))).alias("x"))
-    part = F.sha2(F.array_join(F.transform("x", lambda r: F.concat(r["doc_id"].cast("string"), F.lit("\t"), F.coalesce(r["sha"], F.lit("")))), "\n"), 256)
-    parts = rows.select("source", "part", part.alias("h")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("p"))
-    return parts.select("source", F.sha2(F.array_join(F.transform("p", lambda r: r["h"]), "\n"), 256).alias("content_hash"))

@@ -117,12 +117,12 @@ def mcnemar_pairs_exact(spark, d):
 
 def _a(model: str) -> str:
     step = {"first": "vec_id % 5 = 0", "second": "vec_id % 7 = 0", "third": "vec_id % 11 = 0"}[model]
-    return f"SELECT CASE WHEN {step} THEN NULL ELSE vec_id END AS record_index, 'set' AS source, 'p/' || vec_id AS path, {MODELS[model]} AS predicted FROM ({THREE})"
+    return f"SELECT CASE WHEN {step} THEN NULL WHEN vec_id % 29 = 5 THEN -vec_id ELSE vec_id END AS record_index, 'set' AS source, 'p/' || vec_id AS path, {MODELS[model]} AS predicted FROM ({THREE})"
 
 
 def _model_rows(spark, d, model):
     step = {"first": 5, "second": 7, "third": 11}[model]
-    return three(spark, d).select(F.when(F.col("vec_id") % step != 0, F.col("vec_id")).alias("record_index"), F.lit("set").alias("source"), F.concat(F.lit("p/"), "vec_id").alias("path"), F.col(MODELS[model]).alias("predicted"))
+    return three(spark, d).select(F.when(F.col("vec_id") % step != 0, F.when(F.col("vec_id") % 29 == 5, -F.col("vec_id")).otherwise(F.col("vec_id"))).alias("record_index"), F.lit("set").alias("source"), F.concat(F.lit("p/"), "vec_id").alias("path"), F.col(MODELS[model]).alias("predicted"))
 
 
 def _manifest(spark, d):
@@ -131,7 +131,7 @@ def _manifest(spark, d):
 
 @query(f"""WITH m AS (SELECT vec_id AS record_index, 'set' AS source, 'p/' || vec_id AS path, vec_id AS "row", truth FROM ({PREDICTIONS}) WHERE vec_id % 23 <> 1)
   SELECT r.path, r.predicted, coalesce(a."row", b."row") AS "row", coalesce(a.truth, b.truth) AS truth, CASE WHEN a."row" IS NOT NULL THEN 'index' WHEN b."row" IS NOT NULL THEN 'fallback' ELSE 'none' END AS matched_by
-  FROM ({_a('first')}) r LEFT JOIN m a ON a.record_index = r.record_index LEFT JOIN m b ON r.record_index IS NULL AND b.source = r.source AND b.path = r.path""")
+  FROM ({_a('first')}) r LEFT JOIN m a ON a.record_index = r.record_index LEFT JOIN m b ON b.source = r.source AND b.path = r.path""")
 def fallback_pairing(spark, d):
     return relate.by_fallback(_model_rows(spark, d, "first"), _manifest(spark, d), "record_index", ["source", "path"], ["row", "truth"]).select("path", "predicted", "row", "truth", "matched_by")
 

@@ -51,19 +51,19 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", strict: bool =
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
-    """A small document with sorted keys, written beside its place and renamed; an existing one is replaced."""
-    jvm = spark.sparkContext._jvm
+    """A small document with sorted keys, written beside its place and renamed over it: readers see the old or the new one, never none."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    conf = context._jsc.hadoopConfiguration()
     target, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staging")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = target.getFileSystem(conf)
     out = fs.create(staging, True)
     try:
         out.write(bytearray((json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode()))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staging, target):
-        raise OSError(path)
+    over = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(staging), fs.makeQualified(target), over)
 
 
 def write_set(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> dict[str, int]:

@@ -37,10 +37,10 @@ def test_numbered_counts_within_keys(spark):
 
 
 def test_fallback_and_unpaired(spark):
-    rows = spark.createDataFrame([(1, "a"), (None, "b"), (None, "zz"), (9, "a")], "i long, path string")
-    manifest = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (None, "b", 15)], "i long, path string, v long")
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (None, "zz"), (9, "a"), (9, None), (3, "c"), (8, "d")], "i long, path string")
+    manifest = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (None, None, 15), (3, "c", 30), (3, "e", 31), (5, "d", 40), (6, "d", 41)], "i long, path string, v long")
     got = {(r["i"], r["path"]): (r["v"], r["matched_by"]) for r in relate.by_fallback(rows, manifest, "i", ["path"], ["v"]).collect()}
-    assert got == {(1, "a"): (10, "index"), (None, "b"): (15, "fallback"), (None, "zz"): (None, "none"), (9, "a"): (None, "none")}
+    assert got == {(1, "a"): (10, "index"), (None, "b"): (20, "fallback"), (None, "zz"): (None, "none"), (9, "a"): (10, "fallback"), (9, None): (None, "none"), (3, "c"): (None, "ambiguous"), (8, "d"): (None, "ambiguous")}
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k long"), spark.createDataFrame([(1,), (2,)], "k long")
     assert [tuple(r) for r in relate.unpaired({"a": a, "b": b}, ["k"]).collect()] == [(2, 2, 1)]
 
@@ -74,9 +74,9 @@ def test_vectors_of_odd_numbers(spark):
 
 def test_greedy_split_meets_targets(spark):
     groups = spark.createDataFrame([(i, ["a", "b"] if i % 4 == 0 else ["a"] if i % 2 else []) for i in range(100)], "id long, labels array<string>")
-    got = splits.greedy_split(groups)
+    got = splits.grouped_split(groups)
     counts = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
     assert got.select("id").distinct().count() == 100 and sum(counts.values()) == 100
     assert abs(counts["train"] - 80) <= 2 and abs(counts["val"] - 10) <= 2
-    again = {r["id"]: r["split"] for r in splits.greedy_split(groups.repartition(7)).collect()}
+    again = {r["id"]: r["split"] for r in splits.grouped_split(groups.repartition(7)).collect()}
     assert again == {r["id"]: r["split"] for r in got.collect()}

@@ -64,6 +64,6 @@ def test_early_stopping_components_targets(spark):
     got = spark.range(1).select(*(c.alias(k) for k, c in splits.targets(F.lit(25)).items())).first()
     assert tuple(got) == (20, 2, 3)
     groups = spark.createDataFrame([(f"g{i}", [i % 3]) for i in range(30)], "id string, labels array<int>")
-    got = splits.greedy_split(groups).groupBy("split").count().collect()
+    got = splits.grouped_split(groups).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in got} == {"train": 24, "val": 3, "test": 3}
     assert spark.range(1).select(cols.ratio(F.lit(1), F.lit(0))).first()[0] == 0.0

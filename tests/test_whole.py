@@ -19,7 +19,7 @@ def test_components_of_all_orders(spark, tmp_path):
     r = random.Random(4)
     orders = [(i, r.randrange(1000)) for i in range(1, 700)]
     lines = [(i, r.randrange(1500)) for i, _ in orders if i % 5]
-    got = run(spark, tmp_path, "components_whole", orders=(orders, "o_orderkey long, o_custkey long"), lineitem=(lines, "l_orderkey long, l_partkey long"))
+    got = run(spark, tmp_path, "components", orders=(orders, "o_orderkey long, o_custkey long"), lineitem=(lines, "l_orderkey long, l_partkey long"))
     root, first, customer = {c: c for _, c in orders}, {}, dict(orders)
 
     def find(x):
@@ -35,14 +35,14 @@ def test_components_of_all_orders(spark, tmp_path):
 
 def test_reconcile_and_lookup_of_whole_tables(spark, tmp_path):
     turns = [(3, "user", "a"), (3, "assistant", "b"), (5, "user", "a"), (6, "assistant", "bb"), (15, "user", "a"), (15, "assistant", "b"), (15, "assistant", "bb")]
-    got = run(spark, tmp_path, "review_reconcile_whole", conversations=(turns, "conv_id long, role string, text string"))
+    got = run(spark, tmp_path, "review_reconcile", conversations=(turns, "conv_id long, role string, text string"))
     assert sorted(got) == [(3, "matched", 1), (5, "missing", 0), (6, "unmatched", 1), (15, "conflicting", 2)]
-    got = run(spark, tmp_path, "gt_lookup_whole", documents=([(1, "x", "en", 1), (3, "y", "de", 7), (5, "y", "de", 7)], "doc_id long, text string, lang string, n_chars long"))
+    got = run(spark, tmp_path, "gt_lookup", documents=([(1, "x", "en", 1), (3, "y", "de", 7), (5, "y", "de", 7)], "doc_id long, text string, lang string, n_chars long"))
     assert sorted(got) == [(1, 1, "sha256"), (3, 3, "image_id"), (5, 3, "image_id")]
 
 
 def test_log_loss_counts_predictions_of_probability_zero(spark, tmp_path):
-    got = run(spark, tmp_path, "log_loss_whole", embeddings=([(0, 0), (50, 0)], "vec_id long, label int"))
+    got = run(spark, tmp_path, "log_loss", embeddings=([(0, 0), (50, 0)], "vec_id long, label int"))
     assert got == [(0, pytest.approx(690.775528))]
 
 
