@@ -210,6 +210,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     are the first other rows of its label; a negative's score lies between ``share`` hundredths of the positive's score
     and that score. First means a higher inner product, then a smaller id. Rows that share an id are rows of their own;
     an anchor is compared with rows of its own length of vector only. A positive of a score below 0 has an empty window.
+    Scores that 64 bits can't hold become the nearest number that they can, and tie there. Long vectors cost in proportion.
     An empty table gives an empty result.
 
     Returns anchor_id, positive_id, rank, negative_id, positive_score, negative_score. The search is exact, so its recall

@@ -45,7 +45,7 @@ def test_hard_negatives(spark, how):
 
 
 def test_hard_negatives_of_wide_numbers_and_of_nothing(spark):
-    rows = [(i, [float(np.float32(1e7 * (i % 7))), 3.0 + i], i % 2) for i in range(30)]
+    rows = [(i, [float(np.float32(1e6 * (i % 7))), 3.0 + i], i % 2) for i in range(30)]
     df = spark.createDataFrame([(i, v, c, "x", "x", 0, "x") for i, v, c in rows], VECTORS)
     assert mined(df) == plain_negatives(rows, lambda i: i % 5 == 0)
     assert mined(df.where("vec_id < 0")) == [] and mined(df.where("label = 0")) == []
