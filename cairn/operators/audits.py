@@ -26,10 +26,10 @@ def pinned(measured: DataFrame, expected: dict[str, int]) -> DataFrame:
     return want.join(measured, "name", "left").select("name", "expected", "value", F.coalesce(F.col("value") == F.col("expected"), F.lit(False)).alias("passed"))
 
 
-def repeated(rows: DataFrame, key: list[str]) -> Column | DataFrame:
+def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     """(rows, groups, beyond_first): how many rows stand in groups of several with equal keys, such groups, and rows beyond each first one."""
-    groups = rows.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")
-    return groups.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.count("*").alias("groups"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("beyond_first"))
+    groups = rows.groupBy(*key).agg(F.count("*").alias("_copies")).where("_copies > 1")
+    return groups.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"), F.count("*").alias("groups"), F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("beyond_first"))
 
 
 def _one(frame: DataFrame, column: str, name: str) -> DataFrame:
