@@ -11,6 +11,12 @@ def best_row(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_i = 1").drop("_i")
 
 
+def strict_gains(rows: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
+    """Adds is_best: whether a step's value is above all before; the first step is. A tie is no gain."""
+    before = F.max(value).over(W.partitionBy(*by).orderBy(step).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("is_best", before.isNull() | (F.col(value) > before))
+
+
 def trailing(rows: DataFrame, by: list[str], step: str, value: str, size: int) -> DataFrame:
     """Adds change_<size> (first less last of the last rows) and slope_<size> (least squares; 0 for one row).
 

@@ -242,9 +242,13 @@ def unpaired(models: dict[str, DataFrame], key: list[str]) -> DataFrame:
     return summed.where(" OR ".join(f"n_{n} <> 1" for n in models))
 
 
-def by_rules(rows: DataFrame, labels: str, rules: DataFrame) -> DataFrame:
-    """Rules (position, label, text) that apply to each row's array of labels, in the rules' order: one row for each."""
-    return rows.withColumn("label", F.explode(labels)).join(F.broadcast(rules), "label").drop(labels)
+def by_rules(rows: DataFrame, labels: str, rules: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rules (position, label, text) that apply to each row's array of labels, in the rules' order: one row for each.
+
+    Up to ``most`` rules are broadcast; more of them meet the rows by label.
+    """
+    few = rules.limit(most + 1).count() <= most
+    return rows.withColumn("label", F.explode(labels)).join(F.broadcast(rules) if few else rules, "label").drop(labels)
 
 
 def corrections(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _register() -> None:
-    from cairn.plans import audits, inventory, models, records, reviews, sets  # noqa: F401  their queries register themselves
+    from cairn.plans import audits, inventory, models, records, reviews, scans, sets  # noqa: F401  their queries register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

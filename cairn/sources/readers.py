@@ -15,7 +15,7 @@ IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "dicom", "dcm")
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """All columns as text, as the files hold them; empty cells are empty strings."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.fillna("")
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: How CSV is written and read: quotes are doubled, blanks and line ends within cells stay.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Cells as text: twelve decimals, TRUE and FALSE."""
     kinds = dict(df.dtypes)
@@ -40,10 +44,11 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", strict: bool =
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
         raise FileExistsError(path)
-    options = {"header": True} if form == "csv" else {}
+    options = CSV if form == "csv" else {}
     counted = Observation()  # the rows that the write itself sees, so the plan runs once
     (canonical(df) if form == "csv" else df).observe(counted, F.count("*").alias("rows")).write.mode("overwrite").format(form).options(**options).save(f"{path}.staging")
-    expected, written = counted.get["rows"], spark.read.format(form).options(**options).load(f"{path}.staging").count()
+    again = {"multiLine": True} if form == "csv" else {}
+    expected, written = counted.get["rows"], spark.read.format(form).options(**options, **again).load(f"{path}.staging").count()
     if expected != written or not fs.rename(staging, target):
         fs.delete(staging, True)
         raise OSError(f"{path}: {written} rows written, {expected} expected")
