@@ -113,6 +113,16 @@ def letterbox(width: Column, height: Column, size: int) -> dict[str, Column]:
     return {"resized_width": w, "resized_height": h, "pad_left": left, "pad_top": top, "pad_right": size - w - left, "pad_bottom": size - h - top}
 
 
+def crop_name(source: Column, class_id: Column, box: Column) -> Column:
+    """<source>_class<k>_bbox<0007>: the name of a crop."""
+    return F.format_string("%s_class%d_bbox%04d", source.cast("string"), class_id, box)
+
+
+def with_prefix(path: Column, old: str, new: str) -> Column:
+    """Every ``old`` within a path as ``new``, with slashes for backslashes."""
+    return F.replace(F.replace(path, F.lit("\\"), F.lit("/")), F.lit(old), F.lit(new))
+
+
 #: Names like img_1_class2_radR8_bbox0007__aug_brightness_0003_f097.png; the middle and last parts may be absent.
 ROI_NAME = r"^(.+)_class(\d+)(?:_rad([^_]+))?_bbox(\d+)(?:__aug_brightness_(\d+)_f(\d+))?\.[A-Za-z]+$"
 

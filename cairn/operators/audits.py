@@ -177,6 +177,16 @@ def record(parts: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def views(rows: DataFrame, named: dict[str, list[str]]) -> DataFrame:
+    """(view, a column a key, n): counts of several groupings from one scan; a key that a view doesn't group by is ALL, a null key stays null."""
+    keys = list(dict.fromkeys(k for own in named.values() for k in own))
+    texts = rows.select(*(F.col(k).cast("string").alias(k) for k in keys))
+    counted = texts.groupingSets(list(named.values()), *keys).agg(F.grouping_id().alias("_g"), *(F.grouping(k).alias(f"_g_{k}") for k in keys), F.count("*").alias("n"))
+    number = {sum((k not in own) << (len(keys) - 1 - i) for i, k in enumerate(keys)): name for name, own in named.items()}
+    view = F.try_element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), F.col("_g").cast("int"))
+    return counted.select(view.alias("view"), *(F.when(F.col(f"_g_{k}") == 1, "ALL").otherwise(F.col(k)).alias(k) for k in keys), "n")
+
+
 def availability(rows: DataFrame, by: list[str], image: str, requested: int) -> DataFrame:
     """(by, available, requested, rendered): different images of a group, how many are asked for, and how many can be shown."""
     out = rows.groupBy(*by).agg(F.count_distinct(image).alias("available"))

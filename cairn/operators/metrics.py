@@ -182,6 +182,23 @@ def thresholded(rows: DataFrame, score: str, truth: str, by: str, threshold: flo
     return out.join(score_steps(rows, score, truth, (by,)).groupBy(by).agg(*(c.alias(n) for n, c in _areas().items())), by)
 
 
+def probability_rows(rows: DataFrame, key: list[str], p: str, t: str) -> DataFrame:
+    """(key, class_id, p, threshold, decision): an array of probabilities as a row a class, with its threshold and whether it is reached."""
+    each = rows.select(*key, F.posexplode(F.arrays_zip(F.col(p).alias("p"), F.col(t).alias("t"))).alias("class_id", "x"))
+    return each.select(*key, "class_id", F.col("x.p").alias("p"), F.col("x.t").alias("threshold"), (F.col("x.p") >= F.col("x.t")).alias("decision"))
+
+
+def multilabel_summary(rows: DataFrame, truth: Column, predicted: Column, classes: int) -> DataFrame:
+    """One row: micro_f1, macro_f1, hamming and subset_accuracy of 0/1 vectors; ratios without a denominator are 0."""
+    both = F.zip_with(truth, predicted, lambda t, p: F.struct(t.alias("t"), p.alias("p")))
+    v = rows.select(both.alias("v"))
+    wrong = F.aggregate("v", F.lit(0), lambda a, x: a + F.abs(x["t"] - x["p"]))
+    by_row = v.agg(F.avg(wrong / float(classes)).alias("hamming"), F.avg((wrong == 0).cast("double")).alias("subset_accuracy"))
+    c = v.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum(F.col("x.t") * F.col("x.p")).alias("tp"), F.sum("x.t").alias("s"), F.sum("x.p").alias("q"))
+    by_class = c.agg(ratio(2 * F.sum("tp"), F.sum(F.col("s") + F.col("q"))).alias("micro_f1"), F.avg(ratio(2 * F.col("tp"), F.col("s") + F.col("q"))).alias("macro_f1"))
+    return by_class.crossJoin(by_row)
+
+
 def multilabel_f1(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     """weighted_f1 (by the classes' support) and samples_f1 (mean over rows; 0 for a row with neither labels nor predictions)."""
     both = F.zip_with(truth, predicted, lambda t, p: F.struct(t.alias("t"), p.alias("p")))

@@ -14,6 +14,12 @@ def shuffled(rows: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     return rows.orderBy(rank, key).limit(n).orderBy(key)
 
 
+def stratified(rows: DataFrame, by: list[str], key: str, n: int, seed: str = "42") -> DataFrame:
+    """The first ``n`` rows of each group by a hash of the key, with their place as ``pick``."""
+    rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    return rows.withColumn("pick", F.row_number().over(W.partitionBy(*by).orderBy(rank, key))).where(F.col("pick") <= n)
+
+
 def priority(rows: DataFrame, label: str, split: str, first: Column, key: str, per_label: int, most: int, seed: str = "42") -> DataFrame:
     """Up to ``per_label`` rows of each label and ``most`` in all: one of each split first, then those to which ``first`` applies, then by hash.
 

@@ -14,6 +14,27 @@ def first_violation(rules: dict[str, Column]) -> Column:
     return out
 
 
+def cascade(rows: DataFrame, rules: dict[str, Column], kept: str = "kept") -> DataFrame:
+    """(kind, n): how many rows the first rule that they break takes away, and how many are kept; kinds without rows are absent."""
+    reason = first_violation(rules)
+    return rows.groupBy(F.when(reason == "", kept).otherwise(reason).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def exclusions(parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """(key, reason) of the rows that any of some tables names, each pair once; a row may have several reasons."""
+    out = None
+    for reason, rows in parts.items():
+        one = rows.select(*key, F.lit(reason).alias("reason"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def presence(rows: DataFrame, by: list[str], column: str, values: list[str], name: str = "has") -> DataFrame:
+    """(by, <name>_<value> as 0 or 1.., rows, several): which values a group holds; ``several`` holds where there is more than one."""
+    flags = [F.max(F.coalesce(F.col(column) == v, F.lit(False)).cast("int")).alias(f"{name}_{v}") for v in values]
+    return rows.groupBy(*by).agg(*flags, F.count("*").alias("rows"), (F.countDistinct(column) > 1).alias("several"))
+
+
 def violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
     """(key, reason) for each rule that a row breaks; rows of one key report a reason once."""
     broken = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules.items())))

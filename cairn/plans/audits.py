@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import compare, history, relate, samples, splits, validate, vectors
+from cairn.functions import cols
+from cairn.operators import audits as sets
+from cairn.operators import compare, history, metrics, relate, samples, splits, validate, vectors
 from cairn.plans.catalogue import _DAYS, _days, query, r6
 from cairn.plans.tables import PREDICTIONS, SPLIT_DOCS, predictions, split_docs, table
 
@@ -50,8 +52,8 @@ def probability_checks(spark, d):
 
 @query(f"""SELECT vec_id, CAST(i AS INT) AS class_id, CASE WHEN i = 0 THEN score ELSE 1 - score END AS p, CASE WHEN i = 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS threshold, CASE WHEN i = 0 THEN score >= 0.5 ELSE 1 - score >= 0.3::DOUBLE END AS decision FROM ({PREDICTIONS}) CROSS JOIN range(2) q(i)""")
 def probability_rows(spark, d):
-    p = predictions(spark, d).select("vec_id", F.posexplode(F.arrays_zip(F.array("score", 1 - F.col("score")).alias("p"), F.array(F.lit(0.5), F.lit(0.3)).alias("threshold"))).alias("class_id", "x"))
-    return p.select("vec_id", "class_id", "x.p", "x.threshold", (F.col("x.p") >= F.col("x.threshold")).alias("decision"))
+    arrays = predictions(spark, d).select("vec_id", F.array("score", 1 - F.col("score")).alias("p"), F.array(F.lit(0.5), F.lit(0.3)).alias("t"))
+    return metrics.probability_rows(arrays, ["vec_id"], "p", "t")
 
 
 @query(f"SELECT vec_id, score AS probability_0, 1 - score AS probability_1, 0.5::DOUBLE AS threshold_0, 0.3::DOUBLE AS threshold_1, CAST(score >= 0.5 AS INT) AS decision_0, CAST(1 - score >= 0.3::DOUBLE AS INT) AS decision_1 FROM ({PREDICTIONS})")
@@ -68,9 +70,8 @@ def path_tokens(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, printf('%d_class%d_bbox%04d', l_orderkey, l_linenumber, l_partkey % 10000) AS crop_id, replace('raw/' || l_orderkey || '/raw/' || l_linenumber, 'raw/', 'final/') AS path FROM lineitem")
 def crop_names(spark, d):
-    name = F.format_string("%d_class%d_bbox%04d", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey") % 10000)
     path = F.concat(F.lit("raw/"), F.col("l_orderkey"), F.lit("/raw/"), F.col("l_linenumber"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", name.alias("crop_id"), F.replace(path, F.lit("raw/"), F.lit("final/")).alias("path"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cols.crop_name(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey") % 10000).alias("crop_id"), cols.with_prefix(path, "raw/", "final/").alias("path"))
 
 
 @query("""SELECT d.doc_id, l.path, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.path = '' THEN 'error' ELSE 'copied' END AS status
@@ -143,18 +144,13 @@ def split_audit(spark, d):
 @query(f"""SELECT CASE grouping(lang, split, source) WHEN 3 THEN 'lang' WHEN 5 THEN 'split' WHEN 6 THEN 'source' WHEN 1 THEN 'lang_split' ELSE 'all' END AS view, CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS lang, CASE WHEN grouping(split) = 1 THEN 'ALL' ELSE split END AS split, CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS source, CAST(count(*) AS BIGINT) AS n
   FROM ({SPLIT_DOCS}) GROUP BY GROUPING SETS ((lang), (split), (source), (lang, split), ())""")
 def review_views(spark, d):
-    keys = ["lang", "split", "source"]
-    g = split_docs(spark, d).groupingSets([["lang"], ["split"], ["source"], ["lang", "split"], []], *keys).agg(F.grouping_id().alias("g"), *(F.grouping(k).alias(f"g_{k}") for k in keys), F.count("*").alias("n"))
-    view = F.when(F.col("g") == 3, "lang").when(F.col("g") == 5, "split").when(F.col("g") == 6, "source").when(F.col("g") == 1, "lang_split").otherwise("all")
-    return g.select(view.alias("view"), *(F.when(F.col(f"g_{k}") == 1, "ALL").otherwise(F.col(k)).alias(k) for k in keys), "n")
+    return sets.views(split_docs(spark, d), {"lang": ["lang"], "split": ["split"], "source": ["source"], "lang_split": ["lang", "split"], "all": []})
 
 
 @query("""SELECT conv_id, CAST(max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS INT) AS has_user, CAST(max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS INT) AS has_assistant, CAST(max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS INT) AS has_system,
   CAST(count(*) AS BIGINT) AS turns, count(DISTINCT role) > 1 AS several FROM conversations GROUP BY 1""")
 def presence_flags(spark, d):
-    roles = ("user", "assistant", "system")
-    flags = [F.max((F.coalesce(F.col("role") == r, F.lit(False))).cast("int")).alias(f"has_{r}") for r in roles]
-    return table(spark, d, "conversations").groupBy("conv_id").agg(*flags, F.count("*").alias("turns"), (F.countDistinct("role") > 1).alias("several"))
+    return validate.presence(table(spark, d, "conversations"), ["conv_id"], "role", ["user", "assistant", "system"]).withColumnRenamed("rows", "turns")
 
 
 @query("SELECT doc_id, 0 AS class_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 1 FROM labels WHERE toxic = 1")

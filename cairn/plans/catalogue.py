@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import cols
-from cairn.operators import graph, history, metrics, relate, resampling, splits
+from cairn.operators import graph, history, metrics, relate, resampling, samples, splits, validate
 from cairn.plans.tables import BOXES, PREDICTIONS, SPLIT_DOCS, boxes, predictions, split_docs, table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,8 +208,7 @@ def single_label_disposition(spark, d):
 
 @query(f"""SELECT split, lang, doc_id, CAST(i AS INT) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY split, lang ORDER BY sha256('42:' || doc_id), doc_id) AS i FROM ({SPLIT_DOCS})) WHERE i <= 10""")
 def stratified_sample(spark, d):
-    w = W.partitionBy("split", "lang").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256), "doc_id")
-    return split_docs(spark, d).withColumn("pick", F.row_number().over(w)).where("pick <= 10").select("split", "lang", "doc_id", "pick")
+    return samples.stratified(split_docs(spark, d), ["split", "lang"], "doc_id", 10).select("split", "lang", "doc_id", "pick")
 
 
 @query(f"SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY lang, doc_id) - 1 AS record_index FROM ({SPLIT_DOCS})")
@@ -297,13 +296,7 @@ _MULTI = f"SELECT k, CAST(k = truth OR k = other AS INT) AS t, CAST(k = predicte
 @query(f"""WITH m AS ({_MULTI}), c AS (SELECT k, sum(t * p) AS tp, sum(t) AS s, sum(p) AS q FROM m GROUP BY 1), r AS (SELECT vec_id, sum(abs(t - p)) AS wrong FROM m GROUP BY 1)
   SELECT (SELECT round(2.0::DOUBLE * sum(tp) / (sum(s) + sum(q)), 6) FROM c) AS micro_f1, (SELECT round(avg(CASE WHEN s + q = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (s + q) END), 6) FROM c) AS macro_f1, (SELECT round(avg(wrong / 10.0::DOUBLE), 6) FROM r) AS hamming, (SELECT round(avg(CASE WHEN wrong = 0 THEN 1.0 ELSE 0.0 END), 6) FROM r) AS subset_accuracy""")
 def multilabel_metrics(spark, d):
-    both = F.zip_with(cols.label_vector(F.array("truth", "other"), 10), cols.label_vector(F.array("predicted", "truth"), 10), lambda t, p: F.struct(t.alias("t"), p.alias("p")))
-    rows = predictions(spark, d).select(both.alias("v"))
-    wrong = F.aggregate("v", F.lit(0), lambda a, x: a + F.abs(x["t"] - x["p"]))
-    by_row = rows.agg(F.avg(wrong / 10.0).alias("hamming"), F.avg((wrong == 0).cast("double")).alias("subset_accuracy"))
-    c = rows.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum(F.col("x.t") * F.col("x.p")).alias("tp"), F.sum("x.t").alias("s"), F.sum("x.p").alias("q"))
-    by_class = c.agg(cols.ratio(2 * F.sum("tp"), F.sum(F.col("s") + F.col("q"))).alias("micro_f1"), F.avg(cols.ratio(2 * F.col("tp"), F.col("s") + F.col("q"))).alias("macro_f1"))
-    out = by_class.crossJoin(by_row)
+    out = metrics.multilabel_summary(predictions(spark, d), cols.label_vector(F.array("truth", "other"), 10), cols.label_vector(F.array("predicted", "truth"), 10), 10)
     return out.select(*(r6(x).alias(x) for x in out.columns))
 
 
@@ -489,15 +482,13 @@ def repaired_split(spark, d):
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity FROM lineitem), c AS (SELECT l_orderkey, l_partkey FROM b GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1)
-  SELECT l_orderkey, l_linenumber, 'manual_fail' AS reason FROM b WHERE l_orderkey % 17 = 0 UNION ALL SELECT l_orderkey, l_linenumber, 'class_conflict' FROM b JOIN c USING (l_orderkey, l_partkey) UNION ALL SELECT l_orderkey, l_linenumber, 'low_quantity' FROM b WHERE l_quantity < 2""")
+  SELECT l_orderkey, l_linenumber, 'manual_fail' AS reason FROM b WHERE l_orderkey % 17 = 0 UNION SELECT l_orderkey, l_linenumber, 'class_conflict' FROM b JOIN c USING (l_orderkey, l_partkey) UNION SELECT l_orderkey, l_linenumber, 'low_quantity' FROM b WHERE l_quantity < 2""")
 def exclusion_reasons(spark, d):
     b = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
-    conflict = b.groupBy("l_orderkey", "l_partkey").agg(F.countDistinct("l_returnflag").alias("k")).where("k > 1").select("l_orderkey", "l_partkey")
-    one = lambda x, reason: x.select("l_orderkey", "l_linenumber", F.lit(reason).alias("reason"))
-    return one(b.where("l_orderkey % 17 = 0"), "manual_fail").unionByName(one(b.join(conflict, ["l_orderkey", "l_partkey"], "left_semi"), "class_conflict")).unionByName(one(b.where("l_quantity < 2"), "low_quantity"))
+    conflict = validate.ambiguous_keys(b, ["l_orderkey", "l_partkey"], "l_returnflag").select("l_orderkey", "l_partkey")
+    return validate.exclusions({"manual_fail": b.where("l_orderkey % 17 = 0"), "class_conflict": b.join(conflict, ["l_orderkey", "l_partkey"], "left_semi"), "low_quantity": b.where("l_quantity < 2")}, ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN l_orderkey % 17 = 0 THEN 'manual_fail' WHEN l_quantity < 2 THEN 'low_quantity' WHEN l_discount > 0.09 THEN 'discount' ELSE 'kept' END AS kind FROM lineitem) GROUP BY 1")
 def exclusion_cascade(spark, d):
-    kind = F.when(F.col("l_orderkey") % 17 == 0, "manual_fail").when(F.col("l_quantity") < 2, "low_quantity").when(F.col("l_discount") > 0.09, "discount").otherwise("kept")
-    return table(spark, d, "lineitem").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return validate.cascade(table(spark, d, "lineitem"), {"manual_fail": F.col("l_orderkey") % 17 == 0, "low_quantity": F.col("l_quantity") < 2, "discount": F.col("l_discount") > 0.09})
\ No newline at end of file
