@@ -146,6 +146,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def collapsed(text: Column, most: int | None = None) -> Column:
+    """White space of any kind as single blanks, none at the ends; cut to ``most`` characters, of which three dots are the last."""
+    plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return plain if most is None else F.when(F.length(plain) > most, F.concat(F.rtrim(F.substring(plain, 1, most - 3)), F.lit("..."))).otherwise(plain)
+
+
+def folded(text: Column) -> Column:
+    """Text for comparison without case: lower case after upper case, so that a sharp s equals two."""
+    return F.lower(F.upper(text))
+
+
 def section(text: Column, heading: str, following: str = "\n## ") -> Column:
     """What stands between the first place of a heading and the next heading, or the end; empty where it is absent."""
     at = F.instr(text, heading)

@@ -40,6 +40,35 @@ def contract_checks(files: DataFrame, expected: DataFrame, marked: tuple[str, ..
     return counted.crossJoin(sizes).select(F.inline(F.array(*rows)))
 
 
+def png_size(head: Column) -> Column:
+    """Width and height from the first 24 bytes of a PNG, without its pixels; null if they aren't a PNG's."""
+    number = lambda at: F.conv(F.hex(F.substring(head, at, 4)), 16, 10).cast("long")
+    first = SIGNATURES["png"] + b"\x00\x00\x00\rIHDR"
+    size = F.struct(number(17).alias("width"), number(21).alias("height"))
+    return F.when((F.substring(head, 1, len(first)) == F.lit(bytes(first))) & (F.octet_length(head) >= 24), size)
+
+
+def image_faults(manifest: DataFrame, files: DataFrame, path: str, width: int, height: int, status: str | None = None) -> DataFrame:
+    """(path, fault, detail) of the images that a manifest names, from a listing with at least 24 first bytes (``file_tree``).
+
+    duplicate_output_path (detail: rows), failed_status (a status other than success), missing_image, empty_image,
+    unreadable_image (no PNG by its first bytes), wrong_size (detail: the size). Paths are compared in lower case with
+    slashes; pixels aren't read, so an image of one colour isn't found.
+    """
+    rows = manifest.withColumn("_path", F.lower(F.replace(F.trim(F.col(path)), F.lit("\\"), F.lit("/"))))
+    held = files.where("kind = 'file'").select(F.lower("path").alias("_path"), "size", "head").dropDuplicates(["_path"])
+    several = rows.groupBy("_path").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_path").alias("path"), F.lit("duplicate_output_path").alias("fault"), F.col("n").cast("string").alias("detail"))
+    size = png_size(F.col("head"))
+    fault = F.when(F.col("size").isNull(), "missing_image").when(F.col("size") == 0, "empty_image").when(size.isNull(), "unreadable_image").when((size["width"] != width) | (size["height"] != height), "wrong_size")
+    detail = F.when(fault == "wrong_size", F.concat_ws("x", size["width"], size["height"])).otherwise("")
+    own = rows.select("_path").distinct().join(held, "_path", "left").select(F.col("_path").alias("path"), fault.alias("fault"), detail.alias("detail")).where("fault IS NOT NULL")
+    out = several.unionByName(own)
+    if status:
+        failed = rows.where(~F.lower(F.trim(status)).eqNullSafe("success"))
+        out = out.unionByName(failed.select(F.col("_path").alias("path"), F.lit("failed_status").alias("fault"), F.coalesce(status, F.lit("")).alias("detail")))
+    return out
+
+
 def folder_faults(files: DataFrame, manifest: DataFrame, folders: list[str], forbidden: list[str], counts: dict[str, int] | None = None, path: str = "path", key: tuple[str, ...] = ()) -> DataFrame:
     """(subject, fault, detail) of a folder of class folders against its manifest; ``path`` is from the folder's root.
 

@@ -17,6 +17,11 @@ def strict_gains(rows: DataFrame, by: list[str], step: str, value: str) -> DataF
     return rows.withColumn("is_best", before.isNull() | (F.col(value) > before))
 
 
+def resumed(rows: DataFrame, starts: DataFrame, by: list[str], step: str, start: str = "start") -> DataFrame:
+    """The steps that a resumed training keeps: those before its ``start``; a run that doesn't resume keeps all."""
+    return rows.join(starts.groupBy(*by).agg(F.min(start).alias("_start")), by, "left").where(F.col("_start").isNull() | (F.col(step) < F.col("_start"))).select(*rows.columns)
+
+
 def trailing(rows: DataFrame, by: list[str], step: str, value: str, size: int) -> DataFrame:
     """Adds change_<size> (first less last of the last rows) and slope_<size> (least squares; 0 for one row).
 

@@ -14,6 +14,11 @@ def shuffled(rows: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     return rows.orderBy(rank, key).limit(n).orderBy(key)
 
 
+def first_where(rows: DataFrame, condition: Column, order: list[str]) -> DataFrame:
+    """The first row by ``order`` to which a condition applies, or none; each task hands on one row."""
+    return rows.where(condition).orderBy(*order).limit(1)
+
+
 def stratified(rows: DataFrame, by: list[str], key: str, n: int, seed: str = "42") -> DataFrame:
     """The first ``n`` rows of each group by a hash of the key, with their place as ``pick``."""
     rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)

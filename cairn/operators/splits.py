@@ -164,6 +164,12 @@ def manifest(original: DataFrame, balanced: DataFrame, assigned: DataFrame, sour
     return balanced.join(assigned.where("split = 'train'"), source).unionByName(held_out)
 
 
+def source_manifest(rows: DataFrame, assigned: DataFrame, source: str, label: str, classes: list, seed: int) -> DataFrame:
+    """(source, split, <label>_<class>_present as 0 or 1.., random_seed): a row a source; one without a split has a null."""
+    flags = [F.max(F.coalesce(F.col(label) == c, F.lit(False)).cast("int")).alias(f"{label}_{c}_present") for c in classes]
+    return rows.where(F.col(source).isNotNull()).groupBy(source).agg(*flags).join(assigned, source, "left").select(source, "split", *(f"{label}_{c}_present" for c in classes), F.lit(seed).alias("random_seed"))
+
+
 def audit(assigned: DataFrame, label: str) -> DataFrame:
     """(label, split, n, target, difference_from_target) for each label and split, zeros included."""
     total = assigned.groupBy(label).agg(F.count("*").alias("total"), *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import audits, compare
-from cairn.plans.catalogue import query, r6
+from cairn.functions import cols
+from cairn.operators import audits, compare, history, integrity, reviews, samples, splits
+from cairn.plans.audits import _assigned, _SOURCES
+from cairn.plans.catalogue import _days, _DAYS, query, r6
 from cairn.plans.models import _by_class, _classes, MODELS, THREE, three
 from cairn.plans.reviews import _ERRORS, _REVIEWS, _view
-from cairn.plans.tables import BOXES, PREDICTIONS, boxes, predictions, table
-from cairn.operators import reviews
+from cairn.plans.tables import BOXES, PREDICTIONS, SPLIT_DOCS, boxes, predictions, split_docs, table
 
 _NAMES = {0: "quality", 1: "toxic"}
 _TOLD = """SELECT CAST(CASE WHEN doc_id % 50 = 7 THEN doc_id + 100000000 ELSE doc_id END AS VARCHAR) AS image_id, CAST(quality AS VARCHAR) AS class_id, CASE WHEN doc_id % 40 = 3 THEN 'toxic' WHEN quality = 1 THEN 'toxic' ELSE 'quality' END AS class_name FROM labels UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(quality AS VARCHAR), CASE WHEN quality = 1 THEN 'toxic' ELSE 'quality' END FROM labels WHERE toxic = 1"""
@@ -118,3 +119,69 @@ def overlay_availability(spark, d):
 def inference_rows(spark, d):
     s = F.col("score")
     return audits.inference_rows(predictions(spark, d).select("vec_id", F.array(s, 1 - s, s / 2).alias("p")), "p", [0.5, 0.3, 0.4], ["low", "mid", "high"])
+
+
+_TOP = "CASE WHEN vec_id % 17 = 3 THEN (predicted + 1) % 10 ELSE predicted END"
+
+
+def _predicted(spark, d):
+    """Predictions with nine tenths of the probability on one class, some of them with a fault."""
+    p = predictions(spark, d)
+    top = F.expr(_TOP)
+    arrays = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == top, F.lit(0.91)).otherwise(F.when(F.col("vec_id") % 29 == 4, F.lit(0.02)).otherwise(F.lit(0.01))))
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    return p.select("vec_id", F.col("truth").alias("true_class_id"), name("truth").alias("true_class_name"), F.when(F.col("vec_id") % 31 == 5, 12).otherwise(F.col("predicted")).alias("predicted_class_id"), F.when(F.col("vec_id") % 37 == 6, "?").otherwise(name("predicted")).alias("predicted_class_name"), arrays.alias("probabilities"), F.when(F.col("vec_id") % 41 == 7, F.lit(0.5)).otherwise(F.lit(0.91)).alias("confidence"), (F.col("truth") == F.col("predicted")).alias("is_correct"))
+
+
+_FAULTS = {"invalid_class": "vec_id % 31 = 5", "class_name_mismatch": "vec_id % 37 = 6 AND vec_id % 31 <> 5", "bad_sum": "vec_id % 29 = 4", "not_the_top": "vec_id % 29 <> 4 AND top <> called", "confidence_mismatch": "vec_id % 29 <> 4 AND vec_id % 41 = 7", "correctness_mismatch": "(truth = predicted) <> (truth = called)"}
+
+
+@query(f"WITH p AS (SELECT *, {_TOP} AS top, CASE WHEN vec_id % 31 = 5 THEN 12 ELSE predicted END AS called FROM ({PREDICTIONS})) " + " UNION ALL ".join(f"SELECT vec_id, '{n}' AS error FROM p WHERE {c}" for n, c in _FAULTS.items()))
+def prediction_errors(spark, d):
+    return integrity.prediction_errors(_predicted(spark, d), "vec_id", {k: f"c{k}" for k in range(10)})
+
+
+_PARTS = {"train": 800, "val": 100, "test": 100}
+_PAIRS_OF = [("train", "val"), ("train", "test"), ("val", "test")]
+
+
+@query(f"""WITH d AS ({SPLIT_DOCS}), v AS (SELECT 'master_rows' AS k, count(*) = 1000 AS ok, count(*) AS n FROM d UNION ALL SELECT 'unknown_split', count(*) FILTER (split NOT IN ('train', 'val', 'test')) = 0, count(*) FILTER (split NOT IN ('train', 'val', 'test')) FROM d
+  UNION ALL """ + " UNION ALL ".join(f"SELECT '{s}_rows', count(*) FILTER (split = '{s}') = {n}, count(*) FILTER (split = '{s}') FROM d" for s, n in _PARTS.items()) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{s}_long_{g}', count(*) FILTER (split = '{s}' AND {c}) > 0, count(*) FILTER (split = '{s}' AND {c}) FROM d" for s in _PARTS for g, c in (("positive", "n_chars > 3000"), ("negative", "n_chars <= 3000")))
+  + " UNION ALL " + " UNION ALL ".join(f"SELECT 'duplicate_{f}', count({f}) = count(DISTINCT {f}), count({f}) - count(DISTINCT {f}) FROM d" for f in ("doc_id", "sha")) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{a}_{b}_{f}', count(*) = 0, count(*) FROM (SELECT {f} FROM d WHERE split = '{a}' AND {f} IS NOT NULL INTERSECT SELECT {f} FROM d WHERE split = '{b}')" for f in ("sha", "source") for a, b in _PAIRS_OF) + """) SELECT k AS "check", ok AS passed, CAST(n AS BIGINT) AS n FROM v""")
+def split_integrity(spark, d):
+    """Sizes, repeats, values that splits share and presence of a class, for documents split by a hash."""
+    return integrity.split_integrity(split_docs(spark, d), _PARTS, ["doc_id", "sha"], ["sha", "source"], {"long": F.col("n_chars") > 3000})
+
+
+@query("""SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'toxic ' || toxic END, '') AS manual_crop_review_status, coalesce('label ' || e.label, 'not_sampled') AS manual_output_review_status, coalesce(quality = 1, false) AS include_for_model, CASE WHEN quality IS DISTINCT FROM 1 THEN 'missing_from_final' WHEN n_chars < 40 THEN 'conversion_not_success' ELSE '' END AS error
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+def master_rows(spark, d):
+    """Documents as a manifest, labels as what is final, vectors as reviews of outputs."""
+    manifest = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("source_crop_path"), F.col("doc_id").alias("output_path"), F.when(F.col("n_chars") < 40, "short").otherwise("success").alias("conversion_status"))
+    final = table(spark, d, "labels").select(F.col("doc_id").alias("source_crop_path"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("manual_review_status"), (F.col("quality") == 1).alias("include"))
+    manual = table(spark, d, "embeddings").select(F.col("vec_id").alias("output_path"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("review_status"))
+    return integrity.master(manifest, final, manual).select("doc_id", "manual_crop_review_status", "manual_output_review_status", "include_for_model", "error")
+
+
+@query(f"""SELECT d.source, split, CAST(max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) AS INT) AS lang_de_present, CAST(max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS INT) AS lang_en_present, CAST(max(CASE WHEN lang = 'es' THEN 1 ELSE 0 END) AS INT) AS lang_es_present, CAST(max(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS INT) AS lang_fr_present, 42 AS random_seed
+  FROM documents d LEFT JOIN ({_SOURCES}) a ON a.source = d.source WHERE d.source IS NOT NULL GROUP BY 1, 2""")
+def source_manifest(spark, d):
+    return splits.source_manifest(table(spark, d, "documents"), _assigned(spark, d), "source", "lang", _LANGS, 42)
+
+
+@query("SELECT event_type, epoch, v FROM (" + _DAYS + ") JOIN (SELECT event_type, max(epoch) - 5 AS start FROM (" + _DAYS + ") GROUP BY 1) USING (event_type) WHERE epoch < start")
+def resumed_steps(spark, d):
+    """Histories cut before the step at which a training resumes, five steps before their end."""
+    days = _days(spark, d)
+    return history.resumed(days, days.groupBy("event_type").agg((F.max("epoch") - 5).alias("start")), ["event_type"], "epoch")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars BETWEEN 200 AND 400 ORDER BY doc_id LIMIT 1")
+def first_readable(spark, d):
+    return samples.first_where(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), F.col("n_chars").between(200, 400), ["doc_id"])
+
+
+@query(r"SELECT doc_id, CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 57)) || '...' ELSE t END AS excerpt, lower(upper(lang)) AS folded FROM (SELECT doc_id, lang, trim(regexp_replace(text, '[ \t\n\r\v\f]+', ' ', 'g')) AS t FROM documents)")
+def excerpts(spark, d):
+    """Texts on one line, cut to sixty characters."""
+    return table(spark, d, "documents").select("doc_id", cols.collapsed(F.col("text"), 60).alias("excerpt"), cols.folded(F.col("lang")).alias("folded"))

@@ -31,6 +31,22 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def id_set(spark: SparkSession, paths: list[str], column: str) -> DataFrame:
+    """(id) of the different values of a column in CSV files of which some may be absent or lack it; blanks are none.
+
+    Whether a path exists is asked of its own file system, so any that Spark reads will do.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.createDataFrame([], "id string")
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            rows = read_csv(spark, path)
+            if column in rows.columns:
+                out = out.unionByName(rows.select(F.trim(column).alias("id")))
+    return out.where("id <> ''").distinct()
+
+
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
