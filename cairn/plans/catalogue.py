@@ -321,9 +321,13 @@ def mcnemar_counts(spark, d):
     return n.withColumn("chi2", r6(cols.ratio(F.pow(F.abs(F.col("b") - F.col("c")) - 1, F.lit(2)), F.col("b") + F.col("c"))))
 
 
-@query()
+#: The two-sided tail term by term, which a second engine can do for the counts of these tables.
+_TAIL = "round(least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::DOUBLE))))), 9)"
+
+
+@query(f"SELECT b, c, round(CASE WHEN b + c = 0 THEN 0.0 ELSE pow(abs(b - c) - 1, 2) / (b + c)::DOUBLE END, 6) AS chi2, {_TAIL} AS p FROM (SELECT CAST(count(*) FILTER (WHERE {_AGREE['first_only']}) AS BIGINT) AS b, CAST(count(*) FILTER (WHERE {_AGREE['second_only']}) AS BIGINT) AS c FROM ({PREDICTIONS}))")
 def mcnemar_exact(spark, d):
-    return mcnemar_counts(spark, d).withColumn("p", metrics.exact_tail(F.col("b"), F.col("c")))
+    return mcnemar_counts(spark, d).withColumn("p", F.round(metrics.exact_tail(F.col("b"), F.col("c")), 9))
 
 
 @query("""WITH t AS (SELECT event_type AS name, (count(*) % 97) / 1000.0::DOUBLE AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM t)

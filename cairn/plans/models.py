@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import cols
 from cairn.operators import compare, metrics, relate, resampling
-from cairn.plans.catalogue import _versus, _VERSUS, _STEPS, query, r6
+from cairn.plans.catalogue import _STEPS, _TAIL, _versus, _VERSUS, query, r6
 from cairn.plans.tables import PREDICTIONS, predictions, table
 
 MODELS = {"first": "predicted", "second": "other", "third": "third"}
@@ -103,16 +103,21 @@ def three_model_agreement(spark, d):
 _PAIRS = [("first", "second"), ("first", "third"), ("second", "third")]
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}_{b}' AS pair, b, c, round(CASE WHEN b + c = 0 THEN 0.0 ELSE pow(abs(b - c) - 1, 2) / (b + c)::DOUBLE END, 6) AS chi2 FROM (SELECT CAST(count(*) FILTER (WHERE {_RIGHT[a]} AND NOT {_RIGHT[b]}) AS BIGINT) AS b, CAST(count(*) FILTER (WHERE {_RIGHT[b]} AND NOT {_RIGHT[a]}) AS BIGINT) AS c FROM ({THREE}))" for a, b in _PAIRS))
+_COUNTED = " UNION ALL ".join(f"SELECT '{a}_{b}' AS pair, b, c, round(CASE WHEN b + c = 0 THEN 0.0 ELSE pow(abs(b - c) - 1, 2) / (b + c)::DOUBLE END, 6) AS chi2 FROM (SELECT CAST(count(*) FILTER (WHERE {_RIGHT[a]} AND NOT {_RIGHT[b]}) AS BIGINT) AS b, CAST(count(*) FILTER (WHERE {_RIGHT[b]} AND NOT {_RIGHT[a]}) AS BIGINT) AS c FROM ({THREE}))" for a, b in _PAIRS)
+
+
+@query(_COUNTED)
 def mcnemar_pairs(spark, d):
     return metrics.mcnemar_pairs(three(spark, d), "truth", {f"{a}_{b}": (MODELS[a], MODELS[b]) for a, b in _PAIRS}).withColumn("chi2", r6("chi2"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT *, {_TAIL} AS p FROM ({_COUNTED})), o AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS i FROM t), a AS (SELECT *, least(1.0, max((3 - i + 1) * p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS adjusted FROM o)
+  SELECT pair, b, c, chi2, p, round(adjusted, 9) AS adjusted, adjusted < 0.05 AS rejected FROM a""")
 def mcnemar_pairs_exact(spark, d):
-    """With exact two-sided tails and their step-down adjustment; tested against integer arithmetic."""
-    found = metrics.mcnemar_pairs(three(spark, d), "truth", {f"{a}_{b}": (MODELS[a], MODELS[b]) for a, b in _PAIRS})
-    return metrics.holm(found.withColumn("p", metrics.exact_tail(F.col("b"), F.col("c"))), "p", "pair")
+    """With exact two-sided tails and their step-down adjustment; tested against integer arithmetic too."""
+    found = metrics.mcnemar_pairs(three(spark, d), "truth", {f"{a}_{b}": (MODELS[a], MODELS[b]) for a, b in _PAIRS}).withColumn("chi2", r6("chi2"))
+    tested = metrics.holm(found.withColumn("p", F.round(metrics.exact_tail(F.col("b"), F.col("c")), 9)), "p", "pair")
+    return tested.withColumn("adjusted", F.round("adjusted", 9))
 
 
 def _a(model: str) -> str:
