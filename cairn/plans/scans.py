@@ -68,6 +68,12 @@ def log_seconds(spark, d):
     return readers.wall_seconds(lines, "error", "click", "event_id")
 
 
+@query("SELECT url AS path, stem, CAST(c AS BIGINT) AS copies FROM (SELECT *, count(*) OVER (PARTITION BY stem) AS c FROM (SELECT url, regexp_extract(url, '([^/]+?)(?:\\.[^./]+)?$', 1) AS stem FROM pages)) WHERE c > 1")
+def stem_members(spark, d):
+    """Pages whose address ends like another's; `path_stems` lists them in one row a stem."""
+    return readers.stem_members(table(spark, d, "pages"), "url")
+
+
 _NAME = "l_orderkey || '_class' || l_linenumber || CASE WHEN l_partkey % 2 = 0 THEN '_radR' || l_partkey % 9 ELSE '' END || '_bbox' || l_suppkey || CASE WHEN l_returnflag = 'A' THEN '__aug_brightness_' || l_partkey || '_f097' ELSE '' END || CASE WHEN l_linestatus = 'F' THEN '.png' ELSE '' END"
 
 

@@ -86,6 +86,13 @@ def stems(files: DataFrame, path: str = "path") -> DataFrame:
     return out.withColumn("paths", F.when(F.col("copies") > 1, F.col("paths")))
 
 
+def stem_members(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path, stem, copies) of the files whose stem several files share: a row a file, so a frequent stem is no large row."""
+    named = files.select(F.col(path).alias("path"), F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1).alias("stem"))
+    several = named.groupBy("stem").agg(F.count("*").alias("copies")).where("copies > 1")
+    return named.join(several, "stem").select("path", "stem", "copies")
+
+
 def class_folders(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """Images in folders named by class: path, class_folder, the parts of each name, and ``reason``, why a file is unsound.
 
