@@ -71,6 +71,31 @@ def split_integrity(rows: DataFrame, sizes: dict[str, int], unique: list[str], a
     return stacked(parts)
 
 
+def manifest_checks(rows: DataFrame, index: str, required: list[str], unique: list[str], per_class: dict, label: str = "class_id") -> DataFrame:
+    """(check, passed, n) of a manifest: n counts what breaks the check, or the rows of a class.
+
+    index_null, index_repeated (rows beyond the first of an index) and index_gaps (numbers from 0 to the greatest one that
+    no row has); blank_<column> of ``required``; duplicate_<column> of ``unique`` (blanks are none); class_<k>_rows against
+    ``per_class``, and other_classes (rows of none of them). Sums and groups only; no row order is relied upon.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    check = lambda name, passed, n: F.struct(F.lit(name).alias("check"), passed.alias("passed"), n.cast("long").alias("n"))
+    none = lambda name, n: check(name, F.coalesce(n, F.lit(0)) == 0, F.coalesce(n, F.lit(0)))
+    own = [none("index_null", F.count_if(F.col(index).isNull())), *(none(f"blank_{c}", F.count_if(blank(c))) for c in required)]
+    for k, n in per_class.items():
+        held = F.count_if(F.col(label) == k)
+        own.append(check(f"class_{k}_rows", held == n, held))
+    own.append(none("other_classes", F.count_if(~F.coalesce(F.col(label).isin(list(per_class)), F.lit(False)))))
+    parts = [rows.agg(F.array(*own).alias("x")).select(F.inline("x"))]
+    numbers = rows.where(F.col(index).isNotNull()).groupBy(F.col(index).alias("_i")).agg(F.count("*").alias("_c"))
+    gaps = F.max("_i") + 1 - F.count_if(F.col("_i") >= 0)
+    parts.append(numbers.agg(F.array(none("index_repeated", F.sum(F.col("_c") - 1)), none("index_gaps", gaps)).alias("x")).select(F.inline("x")))
+    for c in unique:
+        several = rows.where(~blank(c)).groupBy(c).agg(F.count("*").alias("_c"))
+        parts.append(several.agg(F.array(none(f"duplicate_{c}", F.sum(F.col("_c") - 1))).alias("x")).select(F.inline("x")))
+    return stacked(parts)
+
+
 def threshold_reason(payload: Column, names: list[str]) -> Column:
     """Why a JSON text is no export of thresholds from validation; empty text if it is one.
 

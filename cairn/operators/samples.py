@@ -14,6 +14,11 @@ def shuffled(rows: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     return rows.orderBy(rank, key).limit(n).orderBy(key)
 
 
+def gallery(rows: DataFrame, picked: DataFrame, by: list[str], key: str, rank: str = "pick") -> DataFrame:
+    """(by, n, shown, first_pick) of groups of rows: how many there are, how many of them were picked, and the least rank among those."""
+    return rows.join(picked.select(key, rank).dropDuplicates([key]), key, "left").groupBy(*by).agg(F.count("*").alias("n"), F.count(rank).alias("shown"), F.min(rank).alias("first_pick"))
+
+
 def first_where(rows: DataFrame, condition: Column, order: list[str]) -> DataFrame:
     """The first row by ``order`` to which a condition applies, or none; each task hands on one row."""
     return rows.where(condition).orderBy(*order).limit(1)

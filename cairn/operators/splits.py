@@ -170,6 +170,18 @@ def source_manifest(rows: DataFrame, assigned: DataFrame, source: str, label: st
     return rows.where(F.col(source).isNotNull()).groupBy(source).agg(*flags).join(assigned, source, "left").select(source, "split", *(f"{label}_{c}_present" for c in classes), F.lit(seed).alias("random_seed"))
 
 
+def report(rows: DataFrame, source: str, label: str, split: str = "split") -> DataFrame:
+    """(split, rows, sources, classes, shared) of manifests as one table: different sources, a map of rows by class (as text; a
+    null is blank), and how many of a split's sources another split holds too."""
+    classes = rows.groupBy(split, F.coalesce(F.col(label).cast("string"), F.lit("")).alias("k")).agg(F.count("*").alias("n"))
+    counts = classes.groupBy(split).agg(F.sum("n").alias("rows"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("classes"))
+    held = rows.where(F.col(source).isNotNull() & F.col(split).isNotNull()).select(split, F.col(source).alias("_s")).distinct()
+    several = held.groupBy("_s").agg((F.count("*") > 1).alias("_several"))
+    sources = held.join(several, "_s").groupBy(split).agg(F.count("*").alias("sources"), F.count_if("_several").alias("shared"))
+    out = counts.join(sources, split, "left")
+    return out.select(split, "rows", F.coalesce("sources", F.lit(0)).alias("sources"), "classes", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 def audit(assigned: DataFrame, label: str) -> DataFrame:
     """(label, split, n, target, difference_from_target) for each label and split, zeros included."""
     total = assigned.groupBy(label).agg(F.count("*").alias("total"), *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS))

@@ -185,3 +185,41 @@ def first_readable(spark, d):
 def excerpts(spark, d):
     """Texts on one line, cut to sixty characters."""
     return table(spark, d, "documents").select("doc_id", cols.collapsed(F.col("text"), 60).alias("excerpt"), cols.folded(F.col("lang")).alias("folded"))
+
+
+_RULED = {"index_null": "count(*) FILTER (doc_id IS NULL)", "blank_lang": "count(*) FILTER (trim(coalesce(lang, '')) = '')", "blank_source": "count(*) FILTER (trim(coalesce(source, '')) = '')", "index_repeated": "count(doc_id) - count(DISTINCT doc_id)", "index_gaps": "max(doc_id) + 1 - count(DISTINCT doc_id)", "duplicate_n_chars": "count(n_chars) - count(DISTINCT n_chars)", "other_classes": "count(*) FILTER (coalesce(lang, '') NOT IN ('de', 'en', 'es'))"}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS "check", {v} = 0 AS passed, CAST({v} AS BIGINT) AS n FROM documents""" for k, v in _RULED.items()) + " UNION ALL " + " UNION ALL ".join(f"SELECT 'class_{k}_rows', count(*) FILTER (lang = '{k}') = {n}, count(*) FILTER (lang = '{k}') FROM documents" for k, n in (("de", 129), ("en", 600), ("es", 100))))
+def manifest_checks(spark, d):
+    """Documents as a manifest with numbered rows; one of its languages isn't expected."""
+    return integrity.manifest_checks(table(spark, d, "documents"), "doc_id", ["lang", "source"], ["n_chars"], {"de": 129, "en": 600, "es": 100}, "lang")
+
+
+@query(f"""WITH d AS ({SPLIT_DOCS}), c AS (SELECT split, coalesce(lang, '') AS k, count(*) AS n FROM d GROUP BY 1, 2), s AS (SELECT DISTINCT split, source FROM d WHERE source IS NOT NULL), m AS (SELECT source, count(*) > 1 AS several FROM s GROUP BY 1)
+  SELECT c.split, CAST(sum(n) AS BIGINT) AS rows, (SELECT count(*) FROM s WHERE s.split = c.split) AS sources, string_agg(k || '=' || n, ';' ORDER BY k) AS classes, (SELECT count(*) FROM s JOIN m USING (source) WHERE s.split = c.split AND several) AS shared FROM c GROUP BY 1""")
+def split_report(spark, d):
+    out = splits.report(split_docs(spark, d), "source", "lang")
+    return out.withColumn("classes", F.array_join(F.transform(F.array_sort(F.map_entries("classes")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, row_number() OVER (PARTITION BY split ORDER BY sha256('42:' || doc_id), doc_id) AS pick FROM ({SPLIT_DOCS})) SELECT lang, n_chars > 3000 AS long, CAST(count(*) AS BIGINT) AS n, CAST(count(pick) AS BIGINT) AS shown, CAST(min(pick) AS INT) AS first_pick FROM documents LEFT JOIN (SELECT * FROM p WHERE pick <= 9) USING (doc_id) GROUP BY 1, 2""")
+def gallery_groups(spark, d):
+    """Documents by language and length, with how many of each kind a sample of nine a split shows."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") > 3000).alias("long"))
+    return samples.gallery(docs, samples.stratified(split_docs(spark, d), ["split"], "doc_id", 9), ["lang", "long"], "doc_id")
+
+
+_RUNS = "SELECT event_type, count(*) AS steps, sum(epoch % 5 + 1) AS seconds, max(epoch % 9) AS memory, avg(1.0::DOUBLE / (epoch % 5 + 1)) AS rate, max(v) AS best_score FROM (" + _DAYS + ") GROUP BY 1"
+_LONG = "SELECT unnest(['steps', 'seconds', 'memory', 'rate', 'best_score']) AS metric, unnest([steps::DOUBLE, seconds::DOUBLE, memory::DOUBLE, rate, best_score]) AS value FROM (" + _RUNS + ") WHERE event_type = '{}'"
+
+
+@query(f"""SELECT metric, round(a.value, 6) AS first, round(b.value, 6) AS second, round(b.value - a.value, 6) AS difference, round(100 * (b.value - a.value) / nullif(a.value, 0), 6) AS relative_percent, CASE WHEN abs(b.value - a.value) <= 1e-12 THEN 'tie' WHEN (b.value > a.value) = (metric IN ('rate', 'best_score')) THEN 'second' ELSE 'first' END AS better
+  FROM ({_LONG.format('click')}) a JOIN ({_LONG.format('view')}) b USING (metric)""")
+def efficiency_comparison(spark, d):
+    """Two trainings side by side: fewer steps, seconds and memory are better."""
+    runs = _days(spark, d).withColumns({"seconds": F.col("epoch") % 5 + 1, "memory": F.col("epoch") % 9})
+    each = history.efficiency(runs, ["event_type"], "epoch", "v", "seconds", "memory").drop("best_step")
+    one = lambda kind: compare.long_metrics(each.where(F.col("event_type") == kind).drop("event_type"))
+    out = compare.versus(one("click"), one("view"), [], ("first", "second"), ("steps", "seconds", "memory"))
+    return out.select("metric", *(r6(c).alias(c) for c in ("first", "second", "difference", "relative_percent")), "better")

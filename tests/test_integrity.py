@@ -83,3 +83,16 @@ def test_small_parts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,n\n 1 ,x\n2,y\n,z\n")
     (tmp_path / "b.csv").write_text("other\n7\n")
     assert sorted(r["id"] for r in readers.id_set(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv", "none.csv")], "id").collect()) == ["1", "2"]
+
+
+def test_manifests_and_galleries(spark):
+    rows = spark.createDataFrame([(0, "a", "p", "x"), (1, "a", "p", "x"), (1, "b", " ", "y"), (4, None, None, "x"), (None, "c", "q", "x")], "i long, class_id string, path string, other string")
+    got = {r["check"]: (r["passed"], r["n"]) for r in integrity.manifest_checks(rows, "i", ["path", "other"], ["path"], {"a": 2, "b": 2}).collect()}
+    assert got == {"index_null": (False, 1), "blank_path": (False, 2), "blank_other": (True, 0), "class_a_rows": (True, 2), "class_b_rows": (False, 1), "other_classes": (False, 2), "index_repeated": (False, 1), "index_gaps": (False, 2), "duplicate_path": (False, 1)}
+    nothing = {r["check"]: r["passed"] for r in integrity.manifest_checks(rows.limit(0), "i", ["path"], ["path"], {"a": 1}).collect()}
+    assert nothing == {"index_null": True, "blank_path": True, "class_a_rows": False, "other_classes": True, "index_repeated": True, "index_gaps": True, "duplicate_path": True}
+    held = spark.createDataFrame([("train", "s", 1), ("train", "s", 2), ("train", "t", None), ("val", "s", 1), ("test", None, 1)], "split string, source string, label int")
+    assert {r["split"]: tuple(r)[1:] for r in splits.report(held, "source", "label").collect()} == {"train": (3, 2, {"": 1, "1": 1, "2": 1}, 1), "val": (1, 1, {"1": 1}, 1), "test": (1, 0, {"1": 1}, 0)}
+    picked = spark.createDataFrame([(1, 2), (3, 1), (3, 1)], "i long, pick int")
+    shown = samples.gallery(spark.createDataFrame([(1, "g"), (2, "g"), (3, "g"), (4, None)], "i long, g string"), picked, ["g"], "i")
+    assert {tuple(r) for r in shown.collect()} == {("g", 3, 2, 1), (None, 1, 0, None)}
