@@ -146,6 +146,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def moment(text: Column) -> Column:
+    """A timestamp from text in ISO form, with or without a time, fraction or zone; null where it is none."""
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")))
+
+
+def slug(time: Column) -> Column:
+    """A timestamp as 20240131_235959, for names."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")
+
+
+def seconds_between(begin: Column, end: Column) -> Column:
+    """Seconds with their fraction from one timestamp to another; negative where the second is earlier."""
+    return (F.unix_micros(end) - F.unix_micros(begin)) / F.lit(1e6)
+
+
 def collapsed(text: Column, most: int | None = None) -> Column:
     """White space of any kind as single blanks, none at the ends; cut to ``most`` characters, of which three dots are the last."""
     plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -117,3 +117,11 @@ def whole_texts(spark, d):
     texts.repartition(max(1, texts.count())).write.option("lineSep", "\u0001").text(folder)
     held = files.read_texts(spark, f"{folder}/part-*").withColumn("t", F.explode(F.array_remove(F.split("text", "\u0001"), "")))
     return held.select(F.sha2("t", 256).alias("sha256"), F.length(F.encode("t", "UTF-8")).cast("long").alias("size"), "encoding")
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y%m%d_%H%M%S') AS first_slug, strftime(max(ts), '%Y%m%d_%H%M%S') AS last_slug, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE, 3) AS seconds, CAST(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS INT) AS days FROM events GROUP BY 1""")
+def user_spans(spark, d):
+    """The first and last moment of each user, written as text and read again, as slugs and differences."""
+    text = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("t"))
+    spans = text.withColumn("at", cols.moment(F.col("t"))).groupBy("user_id").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    return spans.select("user_id", cols.slug(F.col("a")).alias("first_slug"), cols.slug(F.col("b")).alias("last_slug"), F.round(cols.seconds_between(F.col("a"), F.col("b")), 3).alias("seconds"), F.datediff("b", "a").alias("days"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.cols import roi_name
+from cairn.operators.folders import png_size
+from cairn.operators.relate import numbered
 from cairn.operators.validate import first_violation
 
 #: Suffixes that count as images.
@@ -93,16 +95,44 @@ def stem_members(files: DataFrame, path: str = "path") -> DataFrame:
     return named.join(several, "stem").select("path", "stem", "copies")
 
 
-def class_folders(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
-    """Images in folders named by class: path, class_folder, the parts of each name, and ``reason``, why a file is unsound.
-
-    Reasons: suffix, name (it doesn't parse), class (the folder's number isn't the name's). Only paths and sizes are
-    read. Spark's file source lists no file without bytes, so an empty image is missing here, not unsound.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+def _judged(files: DataFrame, suffixes: tuple[str, ...], more: dict) -> DataFrame:
+    """Files (path and more) with class_folder, the parts of their names, and the first reason why one is unsound."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     folder = F.regexp_extract("path", r"(\d+)[^/]*/[^/]+$", 1).try_cast("int")
-    parts = files.select("path", "length", folder.alias("class_folder"), *(c.alias(k) for k, c in roi_name(name).items()))
+    parts = files.withColumns({"class_folder": folder} | roi_name(name))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rules = {"suffix": ~suffix.isin(*suffixes), "name": F.col("class_id").isNull(), "class": ~F.col("class_folder").eqNullSafe(F.col("class_id"))}
-    return parts.withColumn("reason", first_violation(rules))
+    rules = {"suffix": ~suffix.isin(*suffixes), "empty": F.col("length") == 0, "name": F.col("class_id").isNull(), "class": ~F.col("class_folder").eqNullSafe(F.col("class_id"))}
+    return parts.withColumn("reason", first_violation(rules | more))
+
+
+def class_folders(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, files: DataFrame | None = None) -> DataFrame:
+    """Images in folders named by class: path, length, class_folder, the parts of each name, and ``reason``, why a file is unsound.
+
+    Reasons: suffix, empty, name (it doesn't parse), class (the folder's number isn't the name's). Only paths and sizes are
+    read. Spark's file source lists no file without bytes; a listing by ``file_tree``, given as ``files``, has those too.
+    """
+    if files is not None:
+        listed = files.where("kind = 'file'").select("path", F.col("size").alias("length"))
+    else:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return _judged(listed, suffixes, {})
+
+
+def balanced_scan(spark: SparkSession, root: str, width: int, height: int, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
+    """Every image below ``root`` with its digest, its size by its first bytes, its lineage and its verdict: one row a file.
+
+    Columns: path, length, sha256, width, height, class_folder, source_image_id, class_id, rad_id, annotation_index,
+    augmented, original_roi_id, reason, and feature_index, the place among sound files by path. reason is one of
+    ``class_folders``, then unreadable (no PNG by its first bytes), wrong_size, or original (an augmented file whose original
+    isn't among the sound files). Files are hashed where they are read; their bytes aren't shuffled.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    size = png_size(F.substring("content", 1, 24))
+    read = files.select("path", "length", F.sha2("content", 256).alias("sha256"), size["width"].alias("width"), size["height"].alias("height"))
+    judged = _judged(read, suffixes, {"unreadable": F.col("width").isNull(), "wrong_size": (F.col("width") != width) | (F.col("height") != height)})
+    own = judged.where("reason = '' AND NOT augmented").select("original_roi_id", F.lit(True).alias("_there")).distinct()
+    whole = judged.join(own, "original_roi_id", "left")
+    whole = whole.withColumn("reason", F.when((F.col("reason") == "") & F.col("augmented") & F.col("_there").isNull(), "original").otherwise(F.col("reason")))
+    whole = whole.select(*judged.columns).withColumn("_sound", F.col("reason") == "")
+    placed = numbered(whole, ["_sound"], ["path"], "feature_index")
+    return placed.withColumn("feature_index", F.when(F.col("_sound"), F.col("feature_index"))).drop("_sound")

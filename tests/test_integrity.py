@@ -96,3 +96,18 @@ def test_manifests_and_galleries(spark):
     picked = spark.createDataFrame([(1, 2), (3, 1), (3, 1)], "i long, pick int")
     shown = samples.gallery(spark.createDataFrame([(1, "g"), (2, "g"), (3, "g"), (4, None)], "i long, g string"), picked, ["g"], "i")
     assert {tuple(r) for r in shown.collect()} == {("g", 3, 2, 1), (None, 1, 0, None)}
+
+
+def test_scans_of_class_folders(spark, tmp_path):
+    name = "i1_class0_bbox0001"
+    held = {f"class0/{name}.png": png(9, 9), f"class0/{name}__aug_brightness_0001_f097.png": png(9, 9), "class0/i2_class0_bbox0002__aug_brightness_0001_f097.png": png(9, 9), "class1/i3_class0_bbox0003.png": png(9, 9), "class1/i4_class1_bbox0004.png": png(9, 8), "class1/i5_class1_bbox0005.png": b"none", "class1/other.png": png(9, 9), "class1/i6_class1_bbox0006.txt": b"x", "class1/i7_class1_bbox0007.png": b""}
+    for at, data in held.items():
+        (tmp_path / at).parent.mkdir(exist_ok=True)
+        (tmp_path / at).write_bytes(data)
+    short = lambda r: r["path"].rsplit("/", 1)[1][:2] + ("+" if r["augmented"] else "")
+    got = {short(r): (r["reason"], r["feature_index"]) for r in readers.balanced_scan(spark, str(tmp_path), 9, 9).collect()}
+    assert got == {"i1": ("", 0), "i1+": ("", 1), "i2+": ("original", None), "i3": ("class", None), "i4": ("wrong_size", None), "i5": ("unreadable", None), "ot": ("name", None), "i6": ("suffix", None)}
+    listed = {short(r): r["reason"] for r in readers.class_folders(spark, str(tmp_path), files=files.file_tree(spark, str(tmp_path))).collect()}
+    assert listed == {"i1": "", "i1+": "", "i2+": "", "i3": "class", "i4": "", "i5": "", "ot": "name", "i6": "suffix", "i7": "empty"}
+    one = spark.createDataFrame([("2024-01-31T23:59:59.5Z",), ("2024-01-31",), ("2024-01-31 10:30",), ("never",), (None,)], "t string").select(cols.moment(F.col("t")).alias("m"))
+    assert [r[0] for r in one.select(cols.slug(F.col("m"))).collect()] == ["20240131_235959", "20240131_000000", "20240131_103000", None, None]
