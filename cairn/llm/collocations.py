@@ -232,7 +232,8 @@ def frequent_phrases(cut: DataFrame, least: int = 30, words_per_bucket: int = 2_
     """(g, f, lang, word): words and phrases of up to four words that occur ``least`` times or more in a language.
 
     ``g`` lists the numbers of a phrase's words, which each language has for itself; lang and word are set for single
-    words alone. Pairs meet in buckets by a hash, of about ``words_per_bucket`` words of the texts each, as packed chunks.
+    words alone. Pairs meet in buckets by a hash, of about ``words_per_bucket`` words of the texts each, as packed chunks;
+    with very many shards a chunk holds few pairs and costs what rows would, never more than one a pair.
     """
     each = cut.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("a", "w")).select("shard", "lang", "a", "w.*").where("counts > 0")
     words = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)

@@ -51,8 +51,8 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(src, dst, w): links between different hosts, and each host's tie with the domain above it, once each way.
 
     ``pages`` has ``host``. Relative links stay on their host and say nothing. Domains without a dot tie nothing, since
-    hosts of one top-level domain have nothing else in common.
-    Pages of a host are summed before they are shuffled, so a host with a third of the pages is no large group.
+    hosts of one top-level domain have nothing else in common. Pages of a host are summed before they are shuffled, so a
+    host with a third of the pages is no large group.
     """
     to = F.explode(F.transform(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)), lower)).alias("dst")
     links = pages.select(F.col("host").alias("src"), to).where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
