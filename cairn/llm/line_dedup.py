@@ -51,12 +51,27 @@ def edits(length, tau: int, least: int):
     return np.where(np.asarray(length) >= least, tau, np.asarray(length) * tau // max(least, 1))
 
 
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    return mix64((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_PLANE = _mixed(np.arange(1 << 16))
+
+
+def code_hashes(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each code point; those of the basic plane are looked up."""
+    if not len(codes) or codes.max() < len(_PLANE):
+        return _PLANE[codes]
+    out, far = _PLANE[np.minimum(codes, len(_PLANE) - 1)], codes >= len(_PLANE)
+    out[far] = _mixed(codes[far])
+    return out
+
+
 class LineKeys:
     """Keys of the segments and substrings of several lines, as arrays of (line, key), and the lines' sketches."""
 
     def __init__(self, lines: list[str], tau: int, least: int = 0) -> None:
-        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.hashes = mix64((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        self.hashes = code_hashes(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32))
         self.tau, self.least, self.sums = tau, least, Sums(self.hashes)
         self.length = np.fromiter(map(len, lines), np.int64, len(lines))
         self.start = np.cumsum(self.length) - self.length
@@ -96,7 +111,8 @@ class LineKeys:
     def sketches(self) -> np.ndarray:
         """Parities of the numbers of neighbouring pairs of characters, by class of pair; of lines that aren't empty."""
         bits = np.zeros(len(self.hashes), np.uint64)
-        bits[:-1] = np.uint64(1) << (mix64(self.hashes[:-1] * np.uint64(0xA0761D6478BD642F) + self.hashes[1:]) >> np.uint64(58))
+        # Hashes are mixed already, so the upper bits of a sum of them are as good as any.
+        np.left_shift(np.uint64(1), (self.hashes[:-1] * np.uint64(0xA0761D6478BD642F) + self.hashes[1:]) >> np.uint64(58), out=bits[:-1])
         bits[self.start + self.length - 1] = 0
         return np.bitwise_xor.reduceat(bits, self.start) if len(bits) else bits
 
