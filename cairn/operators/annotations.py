@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import cols
@@ -42,11 +43,13 @@ def audit(rows: DataFrame, images: DataFrame, key: list[str], image: str, order:
     In this order: duplicate_annotation (an earlier row by ``order`` has the key), missing_image (``images`` lacks it),
     image_read_error (``images`` gives an ``error``), then why the box is invalid within the image's own ``width`` and
     ``height``. So a duplicate of a row whose image is missing is a duplicate. Null parts of a key are values like others.
-    ``order`` tells rows of a key apart (several columns as a struct). The first row of each key is found before rows meet it, so a frequent key is summed where
-    it stands.
+    ``order`` puts rows of a key in order (several columns as a struct), nulls last; of rows that are equal in it, one is the first.
+    The first row of each key is found before rows meet it, so a frequent key is summed where it stands; only rows that are equal
+    in key and order are numbered together.
     """
     first = rows.groupBy(*key).agg(F.min(order).alias("_first"))
-    marked = joined(rows, first, key).withColumn("_late", F.col("_first") != F.col(order)).drop("_first")
+    copy = F.row_number().over(W.partitionBy(*key, order).orderBy(F.lit(1)))
+    marked = joined(rows.withColumn("_copy", copy), first, key).withColumn("_late", ~F.col("_first").eqNullSafe(F.col(order)) | (F.col("_copy") > 1)).drop("_first", "_copy")
     own = images.groupBy(image).agg(*(F.min(c).alias(f"_{c}") for c in ("width", "height", "error")), F.lit(True).alias("_there"))
     out = marked.join(own, image, "left")
     edges = [F.col(c) for c in (*BOX, "_width", "_height")]

@@ -2,9 +2,12 @@
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import annotations, audits, relate, reviews
+from cairn.plans import catalogue
 
 NAN = float("nan")
 ROWS = "i long, image string, class_id string, class_name string, x0 string, y0 string, x1 string, y1 string, split string"
@@ -144,3 +147,20 @@ def test_reports(spark):
     scores = spark.createDataFrame([(1, [0.5, 0.5, 0.1]), (2, [0.0, None, 0.0])], "i int, p array<double>")
     got = {r["i"]: tuple(r)[1:] for r in audits.inference_rows(scores, "p", [0.5, 0.4, 0.2], ["x", "y", "z"]).collect()}
     assert got == {1: ("0|1", "x|y", 2, 0, "x"), 2: ("", "", 0, 0, "x")}
+
+
+COPIED = ["annotation_audit"]
+
+
+@pytest.mark.parametrize("name", COPIED)
+def test_of_lines_equal_in_everything_one_stands(spark, tmp_path, name):
+    lines = [(o, n, q, p, 0.05, f) for o in range(1, 9) for n, q, p, f in [(1, 20.0, 1015.0, "A"), (1, 20.0, 1015.0, "A"), (1, 20.0, 1015.0, "A"), (2, 21.0, 1015.0, "A"), (3, 20.0, 1000.0, "N"), (3, 20.0, 1000.0, "N")]]
+    orders = [(o, "P" if o == 2 else "O", "4-NOT SPECIFIED" if o == 3 else "5-LOW") for o in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
