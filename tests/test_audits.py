@@ -149,7 +149,7 @@ def test_reports(spark):
     assert got == {1: ("0|1", "x|y", 2, 0, "x"), 2: ("", "", 0, 0, "x")}
 
 
-COPIED = ["annotation_audit", "annotation_class_counts", "annotation_images"]
+COPIED = ["annotation_audit", "annotation_class_counts", "annotation_images", "annotation_routes"]
 
 
 @pytest.mark.parametrize("name", COPIED)
