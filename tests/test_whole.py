@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cairn.operators import resampling
+from cairn.operators import graph, resampling
 from cairn.plans import catalogue
 
 
@@ -33,6 +33,12 @@ def test_components_of_all_orders(spark, tmp_path):
     assert sorted(got) == sorted((c, find(c)) for c in root)
 
 
+def test_components_go_on_with_ends_only(spark):
+    line = [(i, k) for i in range(200) for k in (i, i + 1)] + [(500, None), (501, 900), (502, 900), (501, 900), (None, 900)]
+    got = graph.shared_key_components(spark.createDataFrame(line, "n long, k long"), "n", "k", rounds=2).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(200)] + [(500, 500), (501, 501), (502, 501)]
+
+
 def test_reconcile_and_lookup_of_whole_tables(spark, tmp_path):
     turns = [(3, "user", "a"), (3, "assistant", "b"), (5, "user", "a"), (6, "assistant", "bb"), (15, "user", "a"), (15, "assistant", "b"), (15, "assistant", "bb")]
     got = run(spark, tmp_path, "review_reconcile", conversations=(turns, "conv_id long, role string, text string"))
