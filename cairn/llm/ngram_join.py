@@ -151,10 +151,10 @@ class _Join:
         postings = prefixes.select("class", "n", F.posexplode("grams").alias("pos", "gram"))
         met = postings.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
         shared = postings.join(met, "gram").dropDuplicates(["gram", "class"]).checkpoint()
-        own = shared.groupBy("class").agg(F.count("*").alias("met"))
-        # gram, class, n, pos, alone, sketch: the prefix grams that several classes hold
-        self.shared = shared.join(own.join(sketches, "class"), "class").withColumn("alone", self.prefix(F.col("n")) - F.col("met")).drop("met").checkpoint()
-        self.parts = self.shared.groupBy("class").agg(F.collect_list("gram").alias("grams"))
+        own = shared.groupBy("class").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("held"))
+        # class, n, held, alone, sketch: the prefix grams of a class that several classes hold, in order
+        self.sets = own.join(sketches, "class").withColumn("alone", self.prefix(F.col("n")) - F.size("held")).checkpoint()
+        self.parts = self.sets.select("class", F.col("held.gram").alias("grams"))
 
     def prefix(self, n: Column) -> Column:
         return n - F.ceil(self.percent * n / 100) + 1
@@ -167,20 +167,33 @@ class _Join:
         differ = sum((F.bit_count(F.col(sketch)[i].bitwiseXOR(F.col(other)[i])) for i in range(4)), F.lit(0))
         return self.fits(n, m) & (differ <= F.col(n) + F.col(m) - 2 * _needed(F.col(n), F.col(m), self.percent))
 
+    def postings(self, sets: DataFrame) -> DataFrame:
+        """A row for each of the ``held`` grams: gram, pos, and before, the gram that precedes it among them (null at the first)."""
+        told = F.transform("held", lambda x, i: F.struct(x["gram"].alias("gram"), x["pos"].alias("pos"), F.get(F.col("held.gram"), i - 1).alias("before")))
+        return sets.withColumn("_x", F.explode(told)).select("_x.*", *(c for c in sets.columns if c != "held"))
+
     def led(self) -> DataFrame:
         """Candidates of each member of a prefix group with the member that has the fewest prefix grams of its own."""
-        lead = self.shared.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "sketch")).alias("lead"))
-        pairs = self.shared.join(lead, "gram").where((F.col("class") != F.col("lead.class")) & self.alike("n", "lead.n", "sketch", "lead.sketch"))
+        shared = self.postings(self.sets).drop("pos", "before")
+        lead = shared.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "sketch")).alias("lead"))
+        pairs = shared.join(lead, "gram").where((F.col("class") != F.col("lead.class")) & self.alike("n", "lead.n", "sketch", "lead.sketch"))
         return self.ordered(pairs.select("class", "n", F.col("lead.class").alias("other"), F.col("lead.n").alias("m")))
 
     def across(self, roots: DataFrame) -> DataFrame:
-        """Candidates in different components: the longer set's prefix against the shorter one's index prefix."""
-        labelled = self.shared.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        """Candidates in different components: the longer set's prefix against the shorter one's index prefix.
+
+        A linked pair meets at its first common n-gram in any case. So a pair is left out at an n-gram after which too few
+        remain of either set, and where both sets hold the same n-gram just before, since it isn't the first one then.
+        Near sets that share many n-grams in a row leave few rows, not one for each.
+        """
+        labelled = self.postings(self.sets.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")))
         several = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / SHARE).cast("int").alias("salts")).where("least <> most").select("gram", "salts")
-        left = labelled.join(several, "gram").select("gram", "class", "n", "pos", "root", "sketch", "salts").checkpoint()
+        left = labelled.join(several, "gram").select("gram", "before", "class", "n", "pos", "root", "sketch", "salts").checkpoint()
         index = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent))).withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).drop("salts")
-        long = left.select("gram", F.col("class").alias("other"), F.col("n").alias("m"), F.col("root").alias("far"), F.col("sketch").alias("seen"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        pairs = index.join(long, ["gram", "salt"]).where(F.expr("root <> far AND (n < m OR n = m AND class < other)") & self.alike("n", "m", "sketch", "seen"))
+        long = left.select("gram", F.col("before").alias("ahead"), F.col("class").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("far"), F.col("sketch").alias("seen"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        needed = _needed(F.col("n"), F.col("m"), self.percent)
+        first = F.expr("before IS NULL OR ahead IS NULL OR before <> ahead") & (F.col("pos") <= F.col("n") - needed) & (F.col("at") <= F.col("m") - needed)
+        pairs = index.join(long, ["gram", "salt"]).where(F.expr("root <> far AND (n < m OR n = m AND class < other)") & first & self.alike("n", "m", "sketch", "seen"))
         return self.ordered(pairs.select("class", "n", "other", "m"))
 
     def ordered(self, pairs: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import decontaminate, divergence, lang_id, license_scan, line_dedup, ngram_join, packing, rule_ensemble, substring, token_counts
+from cairn.llm import common, decontaminate, divergence, lang_id, license_scan, line_dedup, ngram_join, packing, rule_ensemble, substring, token_counts
 from cairn.llm.bpe_transducer import Tokenizer
 from cairn.llm.registry import vocabulary_path
 from tests.llm import brute
@@ -394,3 +395,26 @@ def test_ngram_join_of_rows_without_ids(spark):
     chain = [" ".join(words[k : k + 90]) for k in (0, 7, 14)]
     rows = spark.createDataFrame([(4, chain[0]), (None, chain[1]), (9, chain[2])], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.jaccard_components(rows).collect()) == [(0, 4), (4, 4), (9, 4)]
+
+
+def test_near_sets_leave_few_candidate_rows(spark, monkeypatch):
+    """Sets just below the similarity share hundreds of n-grams of their prefixes; a pair of them is no row for each."""
+    words = [f"w{i}" for i in range(3_000)]
+    cut = lambda d, step: [f"x{d}_{i}" if i % step == step // 2 + d else w for i, w in enumerate(words)]
+    texts = [" ".join(cut(d, 46)) for d in range(8)] + [" ".join(cut(40, 200)), " ".join(cut(60, 200))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows, ordered = [], ngram_join._Join.ordered
+
+    def counted(self, pairs):
+        rows.append((pairs.count(), pairs.distinct().count()))
+        return ordered(self, pairs)
+
+    keyed = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("id"), "text")
+    common.ensure_checkpoint_dir(spark)
+    join = ngram_join._Join(keyed, "bigint", 5, 80, 1000, 1000)
+    monkeypatch.setattr(ngram_join._Join, "ordered", counted)
+    found = join.linked(join.across(spark.createDataFrame([], "node long, root long")))
+    assert found.count() == 1  # the last two; no other pair reaches the similarity
+    assert 1 <= rows[0][1] <= 45 and rows[0][0] <= 60 * rows[0][1], rows
+    groups = by_id(ngram_join.jaccard_components(docs))
+    assert {i: tuple(x[1:]) for i, x in groups.items()} == brute.jaccard_components(list(enumerate(texts)))
