@@ -146,14 +146,13 @@ class _Join:
         self.held = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, n, frequent))
         signed = _signatures(docs, kind, n, percent, self.held).checkpoint()
         self.members = signed.select("key", "id", "n", "class")
-        prefixes = signed.where("grams IS NOT NULL").select("class", "n", "grams")
-        sketches = signed.where("sketch IS NOT NULL").select("class", "sketch").dropDuplicates(["class"])
-        postings = prefixes.select("class", "n", F.posexplode("grams").alias("pos", "gram"))
-        met = postings.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-        shared = postings.join(met, "gram").dropDuplicates(["gram", "class"]).checkpoint()
-        own = shared.groupBy("class").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("held"))
-        # class, n, held, alone, sketch: the prefix grams of a class that several classes hold, in order
-        self.sets = own.join(sketches, "class").withColumn("alone", self.prefix(F.col("n")) - F.size("held")).checkpoint()
+        # Keys of rows stand for classes while n-grams are shuffled: they are near each other, so they take fewer bytes.
+        grams = signed.where("grams IS NOT NULL").select("key", F.posexplode("grams").alias("pos", "gram"))
+        met = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+        held = grams.join(met, "gram").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("held"))
+        once = signed.where("sketch IS NOT NULL").select("key", "class", "n", "sketch").dropDuplicates(["class"])
+        # class, n, sketch, held, alone: the prefix grams of a class that several rows hold, in order
+        self.sets = once.join(held, "key").drop("key").withColumn("alone", self.prefix(F.col("n")) - F.size("held")).checkpoint()
         self.parts = self.sets.select("class", F.col("held.gram").alias("grams"))
 
     def prefix(self, n: Column) -> Column:
@@ -174,10 +173,13 @@ class _Join:
 
     def led(self) -> DataFrame:
         """Candidates of each member of a prefix group with the member that has the fewest prefix grams of its own."""
-        shared = self.postings(self.sets).drop("pos", "before")
-        lead = shared.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "sketch")).alias("lead"))
-        pairs = shared.join(lead, "gram").where((F.col("class") != F.col("lead.class")) & self.alike("n", "lead.n", "sketch", "lead.sketch"))
-        return self.ordered(pairs.select("class", "n", F.col("lead.class").alias("other"), F.col("lead.n").alias("m")))
+        shared = self.postings(self.sets.select("class", "held", "alone")).drop("pos", "before")
+        lead = shared.groupBy("gram").agg(F.min(F.struct("alone", "class")).alias("lead"))
+        met = shared.join(lead, "gram").select("class", F.col("lead.class").alias("other")).where("class <> other").distinct()
+        one = self.sets.select("class", "n", "sketch")
+        two = one.select(F.col("class").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("seen"))
+        pairs = met.join(one, "class").join(two, "other").where(self.alike("n", "m", "sketch", "seen"))
+        return self.ordered(pairs.select("class", "n", "other", "m"))
 
     def across(self, roots: DataFrame) -> DataFrame:
         """Candidates in different components: the longer set's prefix against the shorter one's index prefix.
