@@ -157,6 +157,22 @@ def within(a: str, b: str, tau: int) -> bool:
     return distance <= tau
 
 
+def dealt(of: np.ndarray, part: np.ndarray, lines: np.ndarray, hot: np.ndarray, salts: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays (line, key) with hot keys dealt: such a key becomes one of several by a hash of the line, for probes all of them."""
+    if not len(hot):
+        return of, part
+    place = np.minimum(np.searchsorted(hot, part.view(np.int64)), len(hot) - 1)
+    times = np.where(hot[place] == part.view(np.int64), salts[place], 1)
+    if probes:
+        at = np.repeat(np.arange(len(part)), times)
+        salt = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        of, part = of[at], part[at]
+    else:
+        salt = mix64(lines[of].view(np.uint64)) % times.astype(np.uint64)
+    salt = salt.astype(np.uint64)
+    return of, np.where(salt > 0, mix64(part ^ salt * np.uint64(0x9E3779B97F4A7C15)), part)
+
+
 def _salt(of: Column) -> Column:
     """A number below ``salts``, by row; 0 where the key isn't hot."""
     return F.coalesce(F.pmod(F.xxhash64(of), F.col("salts")), F.lit(0)).cast("int")
@@ -230,9 +246,10 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
 
     def cut(batches: Iterator[pa.RecordBatch], side: str) -> Iterator[pa.RecordBatch]:
         for found, hashes in unmet(batches):
-            keys = LineKeys(found, tau, least)
+            keys, lines = LineKeys(found, tau, least), np.array(hashes, np.int64)
             of, part = getattr(keys, side)()
-            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(np.array(hashes, np.int64)[of]), pa.array(keys.sketches().view(np.int64)[of])], ["part", "line", "sketch"])
+            of, part = dealt(of, part, lines, *held.value, side == "probes")
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(lines[of]), pa.array(keys.sketches().view(np.int64)[of])], ["part", "line", "sketch"])
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments that several lines of a slice have, with their number, and under part null the number of all."""
@@ -244,13 +261,13 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 24, id_col: str = "d
     counted = text.mapInArrow(releasing(often), "part long, c long").groupBy("part").agg(F.sum("c").alias("c")).checkpoint()
     every = counted.where("part IS NULL").agg(F.sum("c")).first()[0] or 0
     share = max(HOT, every // HOT_KEYS)  # so at most HOT_KEYS segments have more
-    hot = counted.where(F.col("part").isNotNull() & (F.col("c") > share)).select("part", F.ceil(F.col("c") / share).cast("int").alias("salts"))
+    hot = counted.where(F.col("part").isNotNull() & (F.col("c") > share)).select("part", F.ceil(F.col("c") / share).cast("long").alias("salts")).toPandas().sort_values("part")
+    held = spark.sparkContext.broadcast((hot["part"].to_numpy(np.int64), hot["salts"].to_numpy(np.int64)))
     index = text.mapInArrow(releasing(lambda b: cut(b, "index")), "part long, line long, sketch long")
     probes = text.mapInArrow(releasing(lambda b: cut(b, "probes")), "part long, line long, sketch long").withColumnsRenamed({"line": "other", "sketch": "seen"})
-    index = index.join(F.broadcast(hot), "part", "left").withColumn("salt", _salt(F.col("line"))).drop("salts")
-    probes = probes.join(F.broadcast(hot), "part", "left").withColumn("salt", F.explode(_salts())).drop("salts")
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("seen"))) <= 4 * tau
-    pairs = index.join(probes, ["part", "salt"]).where((F.col("line") != F.col("other")) & near)
+    # A task's part of the index is far smaller than what probes it, and no key has more than its share: it is held, nothing is sorted.
+    pairs = probes.join(index.hint("shuffle_hash"), "part").where((F.col("line") != F.col("other")) & near)
     pairs = pairs.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct().checkpoint()
     wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:

@@ -418,3 +418,19 @@ def test_near_sets_leave_few_candidate_rows(spark, monkeypatch):
     assert 1 <= rows[0][1] <= 45 and rows[0][0] <= 60 * rows[0][1], rows
     groups = by_id(ngram_join.jaccard_components(docs))
     assert {i: tuple(x[1:]) for i, x in groups.items()} == brute.jaccard_components(list(enumerate(texts)))
+
+
+def test_hot_segments_are_dealt_in_tasks_and_nothing_is_sorted_for_them(spark, monkeypatch):
+    """Each index row of a hot key meets each of its probes once, and results are those without dealing."""
+    part, lines = np.array([5, 7, 5, 5, 9], np.uint64), np.arange(5, dtype=np.int64) * 77 - 100
+    hot, salts, of = np.array([5, 9], np.int64), np.array([3, 2], np.int64), np.arange(5)
+    at, key = line_dedup.dealt(of, part, lines, hot, salts, False)
+    to, probe = line_dedup.dealt(of, part, lines, hot, salts, True)
+    assert len(key) == 5 and len(probe) == 3 * 3 + 1 + 2
+    assert sorted((int(a), int(b)) for a, x in zip(at, key) for b, y in zip(to, probe) if x == y) == [(a, b) for a in range(5) for b in range(5) if part[a] == part[b]]
+    base = prose(12, 7)
+    rows = spark.createDataFrame([(i, f"{base} {c}{'x' * (i % 4)}\nown {prose(9, i)}") for i, c in enumerate("abcdefghijklmnop")], "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup.dedup_lines(rows).collect()))
+    assert sum(r[4] for r in want) > 5
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    assert sorted(map(tuple, line_dedup.dedup_lines(rows).collect())) == want
