@@ -2,7 +2,8 @@
 
 N-grams are ordered: those that few documents hold first, by hash, then the frequent ones by frequency. Each set is
 cut by that order. Its first part, the prefix, finds candidates: two sets that link share an n-gram of their prefixes,
-and with it more than a fixed number of them. For candidates, the whole order is cut into fragments at fixed n-grams;
+and with it more than a fixed number of them. Which n-grams several prefixes hold is found on packs of them by range
+of hashes; only those become rows. For candidates, the whole order is cut into fragments at fixed n-grams;
 each fragment counts the overlap of its part of two sets, and the counts are summed per pair.
 
 A group of near copies is never expanded into its pairs while one member can stand for it: pairs with the member of a
@@ -21,15 +22,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ensure_checkpoint_dir, gram_hashes, hash_words, mix64, releasing, slices, small, texts_of
+from cairn.llm.common import ensure_checkpoint_dir, gram_hashes, hash_words, mix64, releasing, slices, small, stored, texts_of
 from cairn.llm.components import components
 
 SLICE_CHARS = 500_000
 #: Rows of which the n-grams that several hold are counted at a time.
 COUNTED_ROWS = 5_000
 FRAGMENTS = 8
+#: N-grams of prefixes that a task packs at a time.
+PACKED = 500_000
 #: Sets that a task compares with the others of one n-gram; those of more are dealt. Changes the work, never a result.
 SHARE = 1_000
+#: Sets of an n-gram that meet in one task without being dealt.
+FEW = 100
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -104,35 +109,111 @@ def frequent_grams(docs: DataFrame, n: int, most: int) -> np.ndarray:
     return rows.sort_values(["c", "gram"])["gram"].to_numpy(np.int64).view(np.uint64)
 
 
-def _signatures(docs: DataFrame, kind: str, n: int, percent: int, held) -> DataFrame:
-    """(key, id, n, class, grams, sketch): the prefix and the sketch of a set.
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs: that width, then all first bytes, all second ones and so on."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    Both are left out (null) where a task has met the class before, as far as a bounded memory tells.
+
+def widen(packed: bytes) -> np.ndarray:
+    """The numbers that ``narrow`` packed, as unsigned 64-bit ones."""
+    width = packed[0]
+    out = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+PACK = "bucket int, least long, base long, grams binary, rows binary, places binary"
+HELD = "key long, pos int, gram long"
+
+
+def packs(keys: np.ndarray, prefixes: list[np.ndarray], buckets: int) -> tuple[list[list[tuple[int, int]]], list[tuple]]:
+    """The n-grams of some prefixes: for each prefix (pos, gram) of those that another one holds too, and packs of all by range of hashes.
+
+    A pack lists n-grams once each, in ascending order, as steps from the least one. With one that a single prefix
+    holds go its row (its key less the base) and its place, counted from 1; place 0 tells that several hold it.
+    """
+    sure: list[list[tuple[int, int]]] = [[] for _ in prefixes]
+    sizes = np.array([len(p) for p in prefixes], np.int64)
+    grams = np.concatenate([np.zeros(0, np.uint64), *prefixes])
+    if not len(grams):
+        return sure, []
+    base = int(keys.min())
+    row, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found, first, back, count = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(count[back] > 1).tolist():
+        sure[row[i]].append((int(pos[i]), int(grams[i].view(np.int64))))
+    rows = np.where(count > 1, 0, keys[row[first]] - base)
+    places = np.where(count > 1, 0, pos[first] + 1)
+    bucket = ((found >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets).astype(bool))
+    out = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        out.append((int(bucket[a]), int(found[a].view(np.int64)), base, narrow(np.diff(found[a:b], prepend=found[a])), narrow(rows[a:b]), narrow(places[a:b])))
+    return sure, out
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """(key, pos, gram) of the n-grams that more than one of a bucket's packs hold and one row of its pack does."""
+    column = lambda name: table.column(name).to_pylist()
+    grams = np.concatenate([np.cumsum(widen(g), dtype=np.uint64) + np.int64(x).view(np.uint64) for g, x in zip(column("grams"), column("least"))])
+    keys = np.concatenate([widen(r).astype(np.int64) + x for r, x in zip(column("rows"), column("base"))])
+    places = np.concatenate([widen(p).astype(np.int64) for p in column("places")])
+    _, back, count = np.unique(grams, return_inverse=True, return_counts=True)
+    met = (count[back] > 1) & (places > 0)
+    return pa.table({"key": keys[met], "pos": (places[met] - 1).astype(np.int32), "gram": grams[met].view(np.int64)})
+
+
+def _signatures(docs: DataFrame, kind: str, n: int, percent: int, held, buckets: int) -> DataFrame:
+    """(key, id, n, class, sketch, sure): a set, its sketch, and (pos, gram) of the prefix's n-grams that a set near it in its task holds too.
+
+    Sketch and prefix are left out (null) where a task has met the class before, as far as a bounded memory tells. All
+    n-grams of prefixes are in rows of their own, the packs, where only the columns of packs are filled.
     """
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("sure", pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.int64())])))])
+    pack = pa.schema([("bucket", pa.int32()), ("least", pa.int64()), ("base", pa.int64()), ("grams", pa.binary()), ("rows", pa.binary()), ("places", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, met = Order(held.value), set()
-        for batch in (part for b in batches for part in small(b)):
-            texts = [(t or "").encode() for t in texts_of(batch)]
-            sizes, classes, prefixes, sketches = [], [], [], []
-            if len(met) > 200_000:
-                met.clear()
-            for a, b in slices(texts, SLICE_CHARS):
-                for grams in gram_sets(texts[a:b], n):
-                    size = len(grams)
-                    key = set_key(grams) if size else None
-                    sizes.append(size)
-                    classes.append(key)
-                    if size and key not in met:
-                        met.add(key)
-                        prefixes.append(order.sort(grams)[: size - -(-percent * size // 100) + 1].view(np.int64))
-                        sketches.append(sketch(grams))
-                    else:
-                        prefixes.append(None)
-                        sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["key", "id", "n", "class", "grams", "sketch"])
-
-    return docs.select("key", "id", "text").mapInArrow(releasing(sign), f"key long, id {kind}, n long, class long, grams array<long>, sketch array<long>")
+        for batch in (part for b in batches for part in small(b, COUNTED_ROWS)):
+            keys, begin, waiting, rows = batch.column(0).to_numpy(), 0, 0, []
+
+            def done(end: int) -> Iterator[pa.RecordBatch]:
+                size, key, prefix, seen = (list(x) for x in zip(*rows))
+                at = [i for i, p in enumerate(prefix) if p is not None]
+                sure, packed = packs(keys[begin:end][at], [prefix[i] for i in at], buckets)
+                told = [None] * len(rows)
+                for i, x in zip(at, sure):
+                    told[i] = [{"pos": p, "gram": g} for p, g in x]
+                ids = batch.column(1).slice(begin, end - begin)
+                own = [pa.array(x, f.type) for x, f in zip((keys[begin:end], size, key, seen, told), schema)]
+                names = ["key", "id", *schema.names[1:], *pack.names]
+                yield pa.RecordBatch.from_arrays([own[0], ids, *own[1:], *(pa.nulls(len(rows), f.type) for f in pack)], names)
+                if packed:
+                    none = [pa.nulls(len(packed), f.type) for f in schema]
+                    yield pa.RecordBatch.from_arrays([none[0], pa.nulls(len(packed), ids.type), *none[1:], *(pa.array(x, f.type) for x, f in zip(zip(*packed), pack))], names)
+
+            for part in small(batch):
+                texts = [(t or "").encode() for t in texts_of(part)]
+                if len(met) > 200_000:
+                    met.clear()
+                for a, b in slices(texts, SLICE_CHARS):
+                    for grams in gram_sets(texts[a:b], n):
+                        size = len(grams)
+                        key = set_key(grams) if size else None
+                        new = size > 0 and key not in met
+                        if new:
+                            met.add(key)
+                        prefix = order.sort(grams)[: size - -(-percent * size // 100) + 1] if new else None
+                        rows.append((size, key, prefix, sketch(grams) if new else None))
+                        waiting += len(prefix) if new else 0
+                    if waiting > PACKED:
+                        yield from done(begin + len(rows))
+                        begin, waiting, rows = begin + len(rows), 0, []
+            if rows:
+                yield from done(begin + len(rows))
+
+    return docs.select("key", "id", "text").mapInArrow(releasing(sign), f"key long, id {kind}, n long, class long, sketch array<long>, sure array<struct<pos: int, gram: long>>, {PACK}")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -144,16 +225,18 @@ class _Join:
     def __init__(self, docs: DataFrame, kind: str, n: int, percent: int, frequent: int, broadcast_rows: int) -> None:
         self.docs, self.n, self.percent, self.broadcast_rows = docs, n, percent, broadcast_rows
         self.held = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, n, frequent))
-        signed = _signatures(docs, kind, n, percent, self.held).checkpoint()
-        self.members = signed.select("key", "id", "n", "class")
-        # Keys of rows stand for classes while n-grams are shuffled: they are near each other, so they take fewer bytes.
-        grams = signed.where("grams IS NOT NULL").select("key", F.posexplode("grams").alias("pos", "gram"))
-        met = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-        held = grams.join(met, "gram").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("held"))
-        once = signed.where("sketch IS NOT NULL").select("key", "class", "n", "sketch").dropDuplicates(["class"])
-        # class, n, sketch, held, alone: the prefix grams of a class that several rows hold, in order
-        self.sets = once.join(held, "key").drop("key").withColumn("alone", self.prefix(F.col("n")) - F.size("held")).checkpoint()
-        self.parts = self.sets.select("class", F.col("held.gram").alias("grams"))
+        buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        signed = _signatures(docs, kind, n, percent, self.held, buckets).checkpoint()
+        self.members = signed.where("bucket IS NULL").select("key", "id", "n", "class")
+        # N-grams are shuffled once, packed; rows of their own have only those that several prefixes hold.
+        packed = signed.where("bucket IS NOT NULL").select(*(c.split()[0] for c in PACK.split(", ")))
+        sure = signed.where("sure IS NOT NULL").select("key", F.inline("sure"))
+        held = packed.groupBy("bucket").applyInArrow(meet, HELD).unionByName(sure).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("held"))
+        # The row with the smallest key stands for its class. Keys are near each other, so they take fewer bytes than classes.
+        once = signed.where("sketch IS NOT NULL").groupBy("class").agg(F.min(F.struct("key", "n", "sketch")).alias("_x")).select("class", "_x.*")
+        # key, class, n, sketch, held, alone: the prefix grams of a class that several rows hold, in order
+        self.sets = stored(once.join(held, "key").withColumn("alone", self.prefix(F.col("n")) - F.size("held")))
+        self.parts = self.sets.select("key", F.col("held.gram").alias("grams"))
 
     def prefix(self, n: Column) -> Column:
         return n - F.ceil(self.percent * n / 100) + 1
@@ -168,18 +251,19 @@ class _Join:
 
     def postings(self, sets: DataFrame) -> DataFrame:
         """A row for each of the ``held`` grams: gram, pos, and before, the gram that precedes it among them (null at the first)."""
-        told = F.transform("held", lambda x, i: F.struct(x["gram"].alias("gram"), x["pos"].alias("pos"), F.get(F.col("held.gram"), i - 1).alias("before")))
-        return sets.withColumn("_x", F.explode(told)).select("_x.*", *(c for c in sets.columns if c != "held"))
+        ahead = F.concat(F.array(F.lit(None).cast("long")), F.slice("held.gram", 1, F.size("held") - 1))
+        told = sets.withColumn("before", ahead).withColumn("_x", F.explode(F.arrays_zip("held.gram", "held.pos", "before")))
+        return told.select("_x.*", *(c for c in sets.columns if c != "held"))
 
     def led(self) -> DataFrame:
         """Candidates of each member of a prefix group with the member that has the fewest prefix grams of its own."""
-        shared = self.postings(self.sets.select("class", "held", "alone")).drop("pos", "before")
-        lead = shared.groupBy("gram").agg(F.min(F.struct("alone", "class")).alias("lead"))
-        met = shared.join(lead, "gram").select("class", F.col("lead.class").alias("other")).where("class <> other").distinct()
-        one = self.sets.select("class", "n", "sketch")
-        two = one.select(F.col("class").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("seen"))
-        pairs = met.join(one, "class").join(two, "other").where(self.alike("n", "m", "sketch", "seen"))
-        return self.ordered(pairs.select("class", "n", "other", "m"))
+        shared = self.postings(self.sets.select("key", "held", "alone")).drop("pos", "before")
+        lead = shared.groupBy("gram").agg(F.min(F.struct("alone", "key")).alias("lead"))
+        met = shared.join(lead, "gram").select("key", F.col("lead.key").alias("other")).where("key <> other").distinct()
+        one = self.sets.select("key", "n", "sketch")
+        two = one.select(F.col("key").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("seen"))
+        pairs = met.join(one, "key").join(two, "other").where(self.alike("n", "m", "sketch", "seen"))
+        return self.ordered(pairs.select("key", "n", "other", "m"))
 
     def across(self, roots: DataFrame) -> DataFrame:
         """Candidates in different components: the longer set's prefix against the shorter one's index prefix.
@@ -187,58 +271,76 @@ class _Join:
         A linked pair meets at its first common n-gram in any case. So a pair is left out at an n-gram after which too few
         remain of either set, and where both sets hold the same n-gram just before, since it isn't the first one then.
         Near sets that share many n-grams in a row leave few rows, not one for each.
+
+        Sets of an n-gram that few hold meet without being dealt or stored before. Those of the others are dealt, if they
+        are of several components.
         """
-        labelled = self.postings(self.sets.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")))
-        several = labelled.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / SHARE).cast("int").alias("salts")).where("least <> most").select("gram", "salts")
-        left = labelled.join(several, "gram").select("gram", "before", "class", "n", "pos", "root", "sketch", "salts").checkpoint()
-        index = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent))).withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).drop("salts")
-        long = left.select("gram", F.col("before").alias("ahead"), F.col("class").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("far"), F.col("sketch").alias("seen"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        # Of stored tables Spark knows the size, so it sends small ones to the sets instead of shuffling these.
+        often = stored(self.sets.select(F.explode("held.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > FEW).select("gram"))
+        often = F.broadcast(often) if often.count() <= self.broadcast_rows else often
+        labelled = self.postings(self.sets.drop("class", "alone").join(stored(roots.select(F.col("node").alias("key"), "root")), "key", "left").withColumn("root", F.coalesce("root", "key")))
+        labelled = labelled.select("gram", "before", "key", "n", "pos", "root", "sketch")
+        other = lambda rows: rows.select("gram", F.col("before").alias("ahead"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("far"), F.col("sketch").alias("seen"), *(c for c in ("salts",) if c in rows.columns))
+        indexed = F.col("pos") <= F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent))
         needed = _needed(F.col("n"), F.col("m"), self.percent)
         first = F.expr("before IS NULL OR ahead IS NULL OR before <> ahead") & (F.col("pos") <= F.col("n") - needed) & (F.col("at") <= F.col("m") - needed)
-        pairs = index.join(long, ["gram", "salt"]).where(F.expr("root <> far AND (n < m OR n = m AND class < other)") & first & self.alike("n", "m", "sketch", "seen"))
-        return self.ordered(pairs.select("class", "n", "other", "m"))
+        kept = F.expr("root <> far AND (n < m OR n = m AND key < other)") & first & self.alike("n", "m", "sketch", "seen")
+        few = labelled.join(often, "gram", "left_anti")
+        pairs = few.where(indexed).join(other(few), "gram").where(kept).select("key", "n", "other", "m")
+
+        many = labelled.join(often, "gram", "left_semi")
+        several = many.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / SHARE).cast("int").alias("salts")).where("least <> most").select("gram", "salts")
+        left = many.join(several, "gram").checkpoint()
+        index = left.where(indexed).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")).drop("salts")
+        long = other(left).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        dealt = index.join(long, ["gram", "salt"]).where(kept).select("key", "n", "other", "m")
+        return self.ordered(pairs.unionByName(dealt))
 
     def ordered(self, pairs: DataFrame) -> DataFrame:
-        swap = F.col("class") > F.col("other")
+        swap = F.col("key") > F.col("other")
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-        pairs = pairs.where(self.fits("n", "m")).select(pick("class", "other").alias("a"), pick("n", "m").alias("n_a"), pick("other", "class").alias("b"), pick("m", "n").alias("n_b"))
+        pairs = pairs.where(self.fits("n", "m")).select(pick("key", "other").alias("a"), pick("n", "m").alias("n_a"), pick("other", "key").alias("b"), pick("m", "n").alias("n_b"))
         return pairs.dropDuplicates(["a", "b"])
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. First the prefixes' overlap must leave it possible; then all fragments are counted."""
-        parts = lambda x: self.parts.select(F.col("class").alias(x), F.col("grams").alias(f"g_{x}"))
+        parts = lambda x: self.parts.select(F.col("key").alias(x), F.col("grams").alias(f"g_{x}"))
         both = pairs.join(parts("a"), "a").join(parts("b"), "b")
         # Of two prefixes, one ends first in the order; beyond it, that set has only its rest to offer.
         rest = F.greatest(F.col("n_a") - self.prefix(F.col("n_a")), F.col("n_b") - self.prefix(F.col("n_b")))
         likely = both.where(F.size(F.array_intersect("g_a", "g_b")) + rest >= _needed(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "n_a", "b", "n_b").checkpoint()
-        wanted = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
-        fragments = self.fragments(wanted)
-        side = lambda x: fragments.select(F.col("class").alias(x), "fragment", F.col("grams").alias(f"g_{x}"))
-        counted = likely.join(side("a"), "a").join(side("b"), ["b", "fragment"]).withColumn("overlap", F.size(F.array_intersect("g_a", "g_b")))
+        fragments = self.fragments(likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct())
+        side = lambda x: fragments.select(F.col("key").alias(x), "fragment", F.col("grams").alias(f"g_{x}"))
+        # Both sides meet by set and fragment, so fragments are shuffled once.
+        asked = likely.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+        counted = asked.join(side("a"), ["a", "fragment"]).join(side("b"), ["b", "fragment"]).withColumn("overlap", F.size(F.array_intersect("g_a", "g_b")))
         summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
         return summed.where(100 * F.col("overlap") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
     def fragments(self, wanted: DataFrame) -> DataFrame:
-        """(class, fragment, grams) of the wanted classes, each once, from one document of each."""
-        keyed = self.members.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"))
+        """(key, fragment, grams) of the wanted sets."""
         few = wanted.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
-        keys = wanted.join(keyed, "class").select("key")
-        n, held, texts = self.n, self.held, self.docs.select("key", "text").join(F.broadcast(keys) if few else keys, "key")
+        n, held, texts = self.n, self.held, self.docs.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = Order(held.value)
             for batch in (part for b in batches for part in small(b)):
-                texts = [(t or "").encode() for t in texts_of(batch)]
-                classes, numbers, parts = [], [], []
+                texts, rows = [(t or "").encode() for t in texts_of(batch)], iter(batch.column(0).to_pylist())
+                keys, numbers, parts = [], [], []
                 for a, b in slices(texts, SLICE_CHARS):
-                    for grams in gram_sets(texts[a:b], n):
-                        if len(grams):
-                            for i, part in enumerate(order.cut(grams, FRAGMENTS)):
-                                if len(part):
-                                    classes.append(set_key(grams)), numbers.append(i), parts.append(part.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["class", "fragment", "grams"])
+                    for grams, key in zip(gram_sets(texts[a:b], n), rows):
+                        for i, part in enumerate(order.cut(grams, FRAGMENTS)):
+                            if len(part):
+                                keys.append(key), numbers.append(i), parts.append(part.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["key", "fragment", "grams"])
+
+        return texts.select("key", "text").mapInArrow(releasing(cut), "key long, fragment int, grams array<long>")
 
-        return texts.select("key", "text").mapInArrow(releasing(cut), "class long, fragment int, grams array<long>").dropDuplicates(["class", "fragment"])
+    def labelled(self, roots: DataFrame) -> DataFrame:
+        """(class, root) of the linked classes; root is a class."""
+        names = self.sets.select("key", "class")
+        ends = names.select(F.col("key").alias("root"), F.col("class").alias("far"))
+        return roots.withColumnRenamed("node", "key").join(names, "key").join(ends, "root").select("class", F.col("far").alias("root"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -260,7 +362,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     more = join.linked(join.across(roots)).checkpoint()
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    members = join.members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    members = join.members.join(join.labelled(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = members.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
     out = members.join(least, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,6 +421,56 @@ def test_near_sets_leave_few_candidate_rows(spark, monkeypatch):
     assert {i: tuple(x[1:]) for i, x in groups.items()} == brute.jaccard_components(list(enumerate(texts)))
 
 
+def test_ngrams_of_prefixes_meet_in_packs():
+    """Packs give back all n-grams that several prefixes hold, and those only, however the prefixes are dealt."""
+    r = np.random.default_rng(3)
+    for values in ([], [0], [255, 256], [2**64 - 1, 0, 2**40], r.integers(0, 70_000, 300)):
+        values = np.array(values, np.uint64)
+        assert ngram_join.widen(ngram_join.narrow(values)).tolist() == values.tolist()
+    pool = r.integers(0, 2**64, 3_000, np.uint64)
+    pool[:2] = 0, 2**64 - 1
+    prefixes = [r.choice(pool, k, replace=False) for k in r.integers(0, 300, 40)]
+    keys = 2**33 * 5 + np.arange(40)
+    want = {(k, i, g) for k, p in zip(keys.tolist(), prefixes) for i, g in enumerate(p.tolist()) if sum(g in q for q in prefixes) > 1}
+    for step in (1, 7, 40):
+        got, buckets = [], {}
+        for a in range(0, 40, step):
+            sure, packed = ngram_join.packs(keys[a : a + step], prefixes[a : a + step], 6)
+            got += [(k, i, g) for k, x in zip(keys[a : a + step].tolist(), sure) for i, g in x]
+            for x in packed:
+                buckets.setdefault(x[0], []).append(x)
+        for x in buckets.values():
+            found = ngram_join.meet(pa.table(dict(zip(("bucket", "least", "base", "grams", "rows", "places"), map(list, zip(*x))))))
+            got += list(zip(*(found.column(c).to_pylist() for c in ("key", "pos", "gram"))))
+        assert len(buckets) == 6 and len(got) == len(want)
+        assert {(k, i, g % 2**64) for k, i, g in got} == want
+
+
+def test_ngrams_that_one_set_holds_are_shuffled_once(spark):
+    """An n-gram of a prefix takes about the bytes of its hash in shuffles, not rows of several."""
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(404))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert ngram_join.jaccard_components(docs).where("component_id = doc_id AND n_shingles = 400").count() == 500
+    assert written() - before < 20 * 500 * 81
+
+
+def test_ngram_join_with_dealt_and_packed_parts(spark, monkeypatch):
+    """Results are the same where packs are small, n-grams are frequent and their sets are dealt."""
+    r = random.Random(8)
+    bases = [prose(90, 300 + i) for i in range(6)]
+    rows = [(i, edited(bases[i % 6], r.choice((0, 1, 2, 3, 4)), i)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).checkpoint()
+    want = brute.jaccard_components(rows)
+    assert 6 < len({x[1] for x in want.values()}) < 80
+    for packed, few, share in ((500_000, 100, 1_000), (1, 2, 3)):
+        for name, value in (("PACKED", packed), ("FEW", few), ("SHARE", share)):
+            monkeypatch.setattr(ngram_join, name, value)
+        for broadcast_rows in (0, 1_000):
+            assert {i: tuple(x[1:]) for i, x in by_id(ngram_join.jaccard_components(docs, broadcast_rows=broadcast_rows)).items()} == want
+
+
 def test_hot_segments_are_dealt_in_tasks_and_nothing_is_sorted_for_them(spark, monkeypatch):
     """Each index row of a hot key meets each of its probes once, and results are those without dealing."""
     part, lines = np.array([5, 7, 5, 5, 9], np.uint64), np.arange(5, dtype=np.int64) * 77 - 100
