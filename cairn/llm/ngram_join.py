@@ -30,7 +30,7 @@ SLICE_CHARS = 500_000
 COUNTED_ROWS = 5_000
 FRAGMENTS = 8
 #: N-grams of prefixes that a task packs at a time.
-PACKED = 500_000
+PACKED = 200_000
 #: Sets that a task compares with the others of one n-gram; those of more are dealt. Changes the work, never a result.
 SHARE = 1_000
 #: Sets of an n-gram that meet in one task without being dealt.
@@ -127,22 +127,21 @@ PACK = "bucket int, least long, base long, grams binary, rows binary, places bin
 HELD = "key long, pos int, gram long"
 
 
-def packs(keys: np.ndarray, prefixes: list[np.ndarray], buckets: int) -> tuple[list[list[tuple[int, int]]], list[tuple]]:
-    """The n-grams of some prefixes: for each prefix (pos, gram) of those that another one holds too, and packs of all by range of hashes.
+def packs(keys: np.ndarray, prefixes: list[np.ndarray], buckets: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple]]:
+    """The n-grams of some prefixes: (prefix, pos, gram) of those that another one holds too, in order, and packs of all by range of hashes.
 
     A pack lists n-grams once each, in ascending order, as steps from the least one. With one that a single prefix
     holds go its row (its key less the base) and its place, counted from 1; place 0 tells that several hold it.
     """
-    sure: list[list[tuple[int, int]]] = [[] for _ in prefixes]
     sizes = np.array([len(p) for p in prefixes], np.int64)
     grams = np.concatenate([np.zeros(0, np.uint64), *prefixes])
+    row, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     if not len(grams):
-        return sure, []
+        return (row, pos, grams.view(np.int64)), []
     base = int(keys.min())
-    row, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     found, first, back, count = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
-    for i in np.flatnonzero(count[back] > 1).tolist():
-        sure[row[i]].append((int(pos[i]), int(grams[i].view(np.int64))))
+    several = count[back] > 1
+    sure = row[several], pos[several], grams[several].view(np.int64)
     rows = np.where(count > 1, 0, keys[row[first]] - base)
     places = np.where(count > 1, 0, pos[first] + 1)
     bucket = ((found >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -182,11 +181,11 @@ def _signatures(docs: DataFrame, kind: str, n: int, percent: int, held, buckets:
                 size, key, prefix, seen = (list(x) for x in zip(*rows))
                 at = [i for i, p in enumerate(prefix) if p is not None]
                 sure, packed = packs(keys[begin:end][at], [prefix[i] for i in at], buckets)
-                told = [None] * len(rows)
-                for i, x in zip(at, sure):
-                    told[i] = [{"pos": p, "gram": g} for p, g in x]
+                count = np.zeros(len(rows), np.int64)
+                count[at] = np.bincount(sure[0], minlength=len(at))
+                told = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.StructArray.from_arrays([pa.array(sure[1], pa.int32()), pa.array(sure[2])], ["pos", "gram"]))
                 ids = batch.column(1).slice(begin, end - begin)
-                own = [pa.array(x, f.type) for x, f in zip((keys[begin:end], size, key, seen, told), schema)]
+                own = [pa.array(x, f.type) for x, f in zip((keys[begin:end], size, key, seen), schema)] + [told]
                 names = ["key", "id", *schema.names[1:], *pack.names]
                 yield pa.RecordBatch.from_arrays([own[0], ids, *own[1:], *(pa.nulls(len(rows), f.type) for f in pack)], names)
                 if packed:
@@ -230,7 +229,7 @@ class _Join:
         self.members = signed.where("bucket IS NULL").select("key", "id", "n", "class")
         # N-grams are shuffled once, packed; rows of their own have only those that several prefixes hold.
         packed = signed.where("bucket IS NOT NULL").select(*(c.split()[0] for c in PACK.split(", ")))
-        sure = signed.where("sure IS NOT NULL").select("key", F.inline("sure"))
+        sure = signed.where("bucket IS NULL").select("key", F.inline("sure"))
         held = packed.groupBy("bucket").applyInArrow(meet, HELD).unionByName(sure).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("held"))
         # The row with the smallest key stands for its class. Keys are near each other, so they take fewer bytes than classes.
         once = signed.where("sketch IS NOT NULL").groupBy("class").agg(F.min(F.struct("key", "n", "sketch")).alias("_x")).select("class", "_x.*")
@@ -311,7 +310,7 @@ class _Join:
         likely = both.where(F.size(F.array_intersect("g_a", "g_b")) + rest >= _needed(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "n_a", "b", "n_b").checkpoint()
         fragments = self.fragments(likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct())
         side = lambda x: fragments.select(F.col("key").alias(x), "fragment", F.col("grams").alias(f"g_{x}"))
-        # Both sides meet by set and fragment, so fragments are shuffled once.
+        # Both sides meet by set and fragment, so they may share one shuffle of fragments.
         asked = likely.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
         counted = asked.join(side("a"), ["a", "fragment"]).join(side("b"), ["b", "fragment"]).withColumn("overlap", F.size(F.array_intersect("g_a", "g_b")))
         summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))

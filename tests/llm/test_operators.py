@@ -436,7 +436,7 @@ def test_ngrams_of_prefixes_meet_in_packs():
         got, buckets = [], {}
         for a in range(0, 40, step):
             sure, packed = ngram_join.packs(keys[a : a + step], prefixes[a : a + step], 6)
-            got += [(k, i, g) for k, x in zip(keys[a : a + step].tolist(), sure) for i, g in x]
+            got += list(zip(keys[a : a + step][sure[0]].tolist(), sure[1].tolist(), sure[2].tolist()))
             for x in packed:
                 buckets.setdefault(x[0], []).append(x)
         for x in buckets.values():
